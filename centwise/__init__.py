@@ -1 +1,8 @@
 """centwise: household spend reconciliation as PySpark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to Python workers travel whole, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

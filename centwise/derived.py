@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
+from centwise.schemas import star_schema
+
 RECEIPT_STORES = ["COSTCO WHSE", "TRADER JOE S", "WALMART", "HOME DEPOT", "CVS PHARMACY"]
 AS_OF = "1998-06-01"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(star_schema(name)).parquet(f"{d}/{name}.parquet")
 
 
 def pad(c: Column, n: int) -> Column:

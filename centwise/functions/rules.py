@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from centwise.functions.taxonomy import clamp_to_taxonomy
-from centwise.functions.text import pattern, present
+from centwise.functions.text import ascii_fold, present
 
 # Fixed values: (category, keyword pattern), tried in this order, case ignored.
 KEYWORD_RULES = [
@@ -32,9 +32,10 @@ KEYWORD_RULES = [
 
 def keyword_category(text: Column, rules: list[tuple[str, str]] = KEYWORD_RULES) -> Column:
     """``struct(category, keyword)`` of the first rule that matches, else null."""
+    text = ascii_fold(text)
     out = None
     for category, raw in rules:
-        regex = "(?i)" + pattern(raw)
+        regex = "(?i)" + raw
         hit = F.struct(F.lit(category).alias("category"), F.regexp_extract(text, regex, 0).alias("keyword"))
         out = F.when(text.rlike(regex), hit) if out is None else out.when(text.rlike(regex), hit)
     return out

@@ -1,10 +1,13 @@
-"""Which bank merchants can give an itemised receipt."""
+"""Which bank merchants can give an itemised receipt.
+
+Patterns are applied to normalised merchants, which are ASCII.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import normalize_merchant, normalize_store, pattern
+from centwise.functions.text import normalize_merchant, normalize_store
 
 # Fixed values: (chain, pattern, pattern that vetoes it), tried in this order.
 RECEIPT_CHAINS = [
@@ -45,7 +48,7 @@ GENERIC_WORDS = [
 
 
 def is_fuel(line: Column) -> Column:
-    return line.rlike(pattern(FUEL_WORDS))
+    return line.rlike(FUEL_WORDS)
 
 
 def builtin_chain(merchant: Column) -> Column:
@@ -53,9 +56,9 @@ def builtin_chain(merchant: Column) -> Column:
     line = normalize_merchant(merchant)
     out = F.when(is_fuel(line) | (line == ""), F.lit(None).cast("string"))
     for name, pat, veto in RECEIPT_CHAINS:
-        hit = line.rlike(pattern(pat))
+        hit = line.rlike(pat)
         if veto:
-            hit = hit & ~line.rlike(pattern(veto))
+            hit = hit & ~line.rlike(veto)
         out = out.when(hit, F.lit(name))
     return out
 

@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from centwise import derived
 from centwise.functions.money import to_pct
 from centwise.operators import candidates, matching, refunds, rollup
 from centwise.plans import reconcile as engine
 from centwise.registry import sql_engine  # noqa: F401  (registers fragments)
 from centwise.registry.catalog import query
+from centwise.registry.stored import household
 from centwise.sources.tables import Inputs, load_inputs
 
 PCT = "CAST(floor(confidence * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS confidence_pct"
 
 
 def inputs(spark, d) -> Inputs:
+    def t(name: str):
+        return household(spark, d, name)
+
     return load_inputs(
-        derived.transactions(spark, d), derived.orders(spark, d), derived.order_items(spark, d), derived.receipts(spark, d),
-        derived.receipt_items(spark, d), derived.store_credit(spark, d), confirmed=derived.confirmed(spark, d),
+        t("transactions"), t("orders"), t("order_items"), t("receipts"), t("receipt_items"), t("store_credit"), confirmed=t("confirmed"),
     )
 
 
@@ -82,7 +84,7 @@ SELECT household_id, transaction_id, receipt_id, CASE WHEN receipt_id IS NULL TH
 WHERE status = 'manual' AND (receipt_id IS NOT NULL OR order_id IS NOT NULL)
 QUALIFY row_number() OVER (PARTITION BY household_id, transaction_id ORDER BY id) = 1""")
 def first_manual_links(spark, d):
-    return matching.first_manual_links(derived.matches(spark, d))
+    return matching.first_manual_links(household(spark, d, "matches"))
 
 
 @query("card_refunds", "SELECT household_id, event_id, signed_spend_cents, occurred_on, transaction_id FROM e_events WHERE event_id LIKE 'refund-card-%'")

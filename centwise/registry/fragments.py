@@ -38,7 +38,10 @@ def compose(sql: str) -> str:
     if not order:
         return sql.strip()
     body = ",\n".join(f"{n} AS (\n{FRAGMENTS[n]}\n)" for n in order)
-    return f"WITH RECURSIVE {body}\n{sql.strip()}"
+    sql = sql.strip()
+    if sql.upper().startswith("WITH "):
+        return f"WITH RECURSIVE {body},\n{sql[5:]}"
+    return f"WITH RECURSIVE {body}\n{sql}"
 
 
 # ---------------------------------------------------------------- household views
