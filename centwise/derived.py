@@ -288,3 +288,40 @@ def confirmed(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("store").isin(RECEIPT_STORES), F.concat(F.lit("r-"), k12)).alias("receipt_id"),
         F.when(F.col("store") == "AMAZON", F.concat(F.lit("o-"), k12)).alias("order_id"),
     )
+
+
+def sku_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """Entries as older runs left them, under the store spelling and number each run used."""
+    r = receipts(spark, d).select(F.col("id").alias("receipt_id"), "store", "source")
+    lines_ = receipt_items(spark, d).filter("category_id IS NOT NULL").join(r, "receipt_id")
+    photo = F.col("source") == "photo"
+    return (
+        lines_.groupBy("household_id", "store", F.when(photo, F.lower("sku")).otherwise(F.col("sku")).alias("sku_or_abbrev"), F.when(photo, "human").otherwise("auto").alias("source"))
+        .agg(F.min("raw_description").alias("canonical_name"), F.min("category_id").alias("category"), F.max("line_price_cents").alias("updated_at"))
+        .select("household_id", "store", "sku_or_abbrev", "canonical_name", "category", F.lit(0.9).alias("name_confidence"), F.lit(0.9).alias("category_confidence"), "source", "updated_at")
+    )
+
+
+def incoming_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """One day's review clicks: on every receipt line, receipt and bank line."""
+    q = F.col("quantity")
+    category = F.when(F.col("line_no") == 1, "zebra").otherwise("Groceries")
+    payload = F.when(q < 25, None).when(q < 35, F.concat(F.lit('{"variant":"pickCategoryId","categoryId":"'), category, F.lit('"}'))).otherwise(
+        F.lit('{"variant":"editResolution","canonicalName":"Fixed","category":"Pet Care"}'))
+    on_items = receipt_items(spark, d).select(
+        "household_id", F.lit(1).cast("bigint").alias("seq"), F.lit("sku_resolution").alias("item_type"), F.col("id").alias("item_id"),
+        F.when(q < 15, "confirm").when(q < 25, "dismiss").otherwise("correct").alias("decision"), payload.alias("payload_json"),
+    )
+    none = F.lit(None).cast("string")
+    r = receipts(spark, d)
+    twice = r.select("household_id", F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("seq"), F.lit("flagged_receipt").alias("item_type"), F.col("id").alias("item_id"))
+    on_slips = twice.withColumn("decision", F.when(F.col("seq") == 1, "confirm").otherwise("dismiss")).withColumn("payload_json", none)
+    odd = r.filter("source = 'photo'").select("household_id", F.lit(3).cast("bigint").alias("seq"), F.lit("gossip").alias("item_type"), F.col("id").alias("item_id"), F.lit("confirm").alias("decision"), none.alias("payload_json"))
+    t = transactions(spark, d)
+    pick = F.concat(F.lit('{"variant":"pickMatchCandidateId","candidateId":"h-ri-'), F.substring("id", 4, 12), F.lit('-3"}'))
+    small = F.col("amount_cents") > -3000
+    on_lines = t.select("household_id", F.lit(4).cast("bigint").alias("seq"), F.lit("ambiguous_match").alias("item_type"), F.col("id").alias("item_id"),
+                        F.when(small, "correct").otherwise("confirm").alias("decision"), F.when(small, pick).alias("payload_json"))
+    asks = t.select("household_id", F.lit(5).cast("bigint").alias("seq"), F.lit("missing_receipt").alias("item_type"), F.col("id").alias("item_id"),
+                    F.when(F.col("direction") == "credit", "confirm").otherwise("dismiss").alias("decision"), none.alias("payload_json"))
+    return on_items.unionByName(on_slips).unionByName(odd).unionByName(on_lines).unionByName(asks)

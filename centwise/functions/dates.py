@@ -20,30 +20,22 @@ def _month_number(word: Column) -> Column:
     return table[F.lower(word)]
 
 
-def _build(year: Column, month: Column, day: Column) -> Column:
-    text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
-    complete = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(complete, F.try_to_date(text, "yyyy-MM-dd"))
-
-
 def to_date_any(c: Column) -> Column:
     """ISO (with optional time), Y/M/D, US M/D/Y and M-D-Y, ``Jan 5, 2026``, ``5 Jan 2026``; else null."""
     s = trim(c)
-
-    def part(p: str, i: int) -> Column:
-        return F.regexp_extract(s, p, i)
-
-    iso = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[T ].*)?$"
-    ymd = r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$"
-    mdy = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$"
     word_first = rf"^([A-Za-z]+)\.?{SPACE}+([0-9]{{1,2}}),?{SPACE}+([0-9]{{4}})$"
     day_first = rf"^([0-9]{{1,2}}){SPACE}+([A-Za-z]+)\.?,?{SPACE}+([0-9]{{4}})$"
-    return (
-        F.when(s.rlike(iso), _build(part(iso, 1), part(iso, 2), part(iso, 3)))
-        .when(s.rlike(ymd), _build(part(ymd, 1), part(ymd, 2), part(ymd, 3)))
-        .when(s.rlike(mdy), _build(part(mdy, 3), part(mdy, 1), part(mdy, 2)))
-        .when(s.rlike(word_first), _build(part(word_first, 3), _month_number(part(word_first, 1)), part(word_first, 2)))
-        .when(s.rlike(day_first), _build(part(day_first, 3), _month_number(part(day_first, 2)), part(day_first, 1)))
+
+    def spelled(p: str, word: int, day: int) -> Column:
+        month = _month_number(F.regexp_extract(s, p, word))
+        return F.try_to_date(F.concat_ws("-", F.regexp_extract(s, p, 3), month.cast("string"), F.regexp_extract(s, p, day)), "yyyy-M-d")
+
+    return F.coalesce(
+        F.try_to_date(F.regexp_extract(s, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$", 1), "yyyy-M-d"),
+        F.try_to_date(F.regexp_extract(s, r"^([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})$", 1), "yyyy/M/d"),
+        F.try_to_date(F.regexp_replace(F.regexp_extract(s, r"^([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})$", 1), "-", "/"), "M/d/yyyy"),
+        spelled(word_first, 1, 2),
+        spelled(day_first, 2, 1),
     )
 
 

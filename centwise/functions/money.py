@@ -4,31 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import SPACE, trim
+from centwise.functions.text import SPACE
 
 
 def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("bigint")
 
 
+_SIGNED = rf"([-+]?){SPACE}*([^()]*?){SPACE}*(-?)"
+_PRINTED = rf"(?s)^{SPACE}*(?:\({SPACE}*{_SIGNED}{SPACE}*\)|{_SIGNED}){SPACE}*$"
+
+
 def amount_to_cents(c: Column) -> Column:
     """Parse a printed amount; null where it cannot be read.
 
     Accepts accounting brackets, a leading or trailing sign, currency marks and
     thousands separators.  The magnitude is rounded before the sign is applied.
     """
-    s0 = trim(c)
-    bracket = s0.startswith("(") & s0.endswith(")") & (F.length(s0) >= 2)
-    s1 = F.when(bracket, trim(F.regexp_replace(s0, r"(?s)^\((.*)\)$", "$1"))).otherwise(s0)
-    lead_minus = s1.startswith("-")
-    s2 = F.when(s1.rlike(r"^[-+]"), trim(F.substring(s1, 2, 1 << 20))).otherwise(s1)
-    tail_minus = s2.endswith("-")
-    s3 = F.when(tail_minus, trim(F.regexp_replace(s2, r"-$", ""))).otherwise(s2)
-    bare = F.regexp_replace(s3, f"[,$£€]|{SPACE}", "")
-    ok = bare.rlike(r"^[0-9]+(\.[0-9]+)?$|^\.[0-9]+$|^[0-9]+\.$")
-    magnitude = half_up(F.when(ok, bare).try_cast("double") * F.lit(100.0))
-    flips = bracket.cast("int") + lead_minus.cast("int") + tail_minus.cast("int")
-    return F.when(flips % 2 == 1, -magnitude).otherwise(magnitude)
+    def part(bracketed: int, plain: int) -> Column:
+        return F.concat(F.regexp_extract(c, _PRINTED, bracketed), F.regexp_extract(c, _PRINTED, plain))
+
+    digits = F.regexp_replace(part(2, 5), f"[,$£€]|{SPACE}", "")
+    number = F.regexp_extract(digits, r"^([0-9]+(?:\.[0-9]*)?|\.[0-9]+)$", 1).try_cast("double")
+    minus = c.rlike(rf"^{SPACE}*\(").cast("int") + (part(1, 4) == "-").cast("int") + (part(3, 6) == "-").cast("int")
+    return half_up(number * F.lit(100.0)) * F.when(minus % 2 == 1, -1).otherwise(1)
 
 
 def dollars_to_cents(c: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import normalize_merchant, normalize_store
+from centwise.functions.text import let, normalize_merchant, normalize_store
 
 # Fixed values: (chain, pattern, pattern that vetoes it), tried in this order.
 RECEIPT_CHAINS = [
@@ -69,9 +69,12 @@ def learned_key(store: Column) -> Column:
 
 
 def learnable(key: Column) -> Column:
-    words = F.size(F.split(key, " "))
-    weak_word = (words < 2) & ((F.length(key) < 4) | key.isin(GENERIC_WORDS))
-    return (key != "") & ~key.rlike(r"^[0-9]+$") & ~weak_word & ~is_fuel(key)
+    def fits(k: Column) -> Column:
+        words = F.size(F.split(k, " "))
+        weak_word = (words < 2) & ((F.length(k) < 4) | k.isin(GENERIC_WORDS))
+        return (k != "") & ~k.rlike(r"^[0-9]+$") & ~weak_word & ~is_fuel(k)
+
+    return let(key, fits)
 
 
 def leads(longer: Column, shorter: Column) -> Column:

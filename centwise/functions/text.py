@@ -7,6 +7,8 @@ not word characters whatever the JVM's own defaults are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -28,6 +30,11 @@ def ascii_fold(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, wide_space, " "), "[^\\x00-\\x7F]", chr(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -58,16 +65,20 @@ def _key(c: Column) -> Column:
 STORE_NOISE = ["WHSE", "WHOLESALE", "INC", "LLC", "CORP"]
 
 
-def normalize_store(c: Column) -> Column:
-    plain = _key(c)
-    kept = F.filter(
+def _identity_words(plain: Column) -> Column:
+    return F.filter(
         F.split(plain, " "),
         lambda t: ~t.rlike(r"^#[0-9]+$") & ~t.isin(STORE_NOISE) & ~t.rlike(r"^[^A-Z0-9]+$"),
     )
-    joined = F.array_join(kept, " ")
-    # trailing all-digit words go, but one word always stays
-    without_numbers = F.regexp_replace(joined, r"^(.*?[^ ])(?: [0-9]+)+$", "$1")
-    return F.when(F.size(kept) == 0, plain).otherwise(without_numbers)
+
+
+def normalize_store(c: Column) -> Column:
+    def rest(plain: Column) -> Column:
+        # trailing all-digit words go, but one word always stays
+        joined = F.regexp_replace(F.array_join(_identity_words(plain), " "), r"^(.*?[^ ])(?: [0-9]+)+$", "$1")
+        return F.coalesce(F.nullif(joined, F.lit("")), plain)
+
+    return let(_key(c), rest)
 
 
 def normalize_sku(c: Column) -> Column:

@@ -40,4 +40,4 @@ def _load() -> None:
         importlib.import_module(f"centwise.registry.{area}")
 
 
-AREAS = ["views", "scalars", "engine", "reports", "storage_reads"]
+AREAS = ["views", "scalars", "engine", "reports", "storage_reads", "learning", "imports", "feeds"]
