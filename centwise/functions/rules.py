@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from centwise.functions.taxonomy import clamp_to_taxonomy
-from centwise.functions.text import ascii_fold, present
+from centwise.functions.text import ascii_fold, let, present
 
 # Fixed values: (category, keyword pattern), tried in this order, case ignored.
 KEYWORD_RULES = [
@@ -31,14 +31,20 @@ KEYWORD_RULES = [
 
 
 def keyword_category(text: Column, rules: list[tuple[str, str]] = KEYWORD_RULES) -> Column:
-    """``struct(category, keyword)`` of the first rule that matches, else null."""
-    text = ascii_fold(text)
-    out = None
-    for category, raw in rules:
-        regex = "(?i)" + raw
-        hit = F.struct(F.lit(category).alias("category"), F.regexp_extract(text, regex, 0).alias("keyword"))
-        out = F.when(text.rlike(regex), hit) if out is None else out.when(text.rlike(regex), hit)
-    return out
+    """``struct(category, keyword)`` of the first rule that matches, else null.
+
+    The text is folded once.  Rules are tried on its lower-case form, which is
+    quicker than matching without case; only the deciding rule reads the keyword.
+    """
+    def first_hit(both: Column) -> Column:
+        out = None
+        for category, raw in rules:
+            hit = F.struct(F.lit(category).alias("category"), F.regexp_extract(both["text"], "(?i)" + raw, 0).alias("keyword"))
+            seen = both["low"].rlike(raw)
+            out = F.when(seen, hit) if out is None else out.when(seen, hit)
+        return out
+
+    return let(let(ascii_fold(text), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"))), first_hit)
 
 
 def search_text(merchant: Column, description: Column) -> Column:

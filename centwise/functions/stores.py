@@ -53,14 +53,16 @@ def is_fuel(line: Column) -> Column:
 
 def builtin_chain(merchant: Column) -> Column:
     """Chain named by the merchant text; fuel lines and unknown merchants give null."""
-    line = normalize_merchant(merchant)
-    out = F.when(is_fuel(line) | (line == ""), F.lit(None).cast("string"))
-    for name, pat, veto in RECEIPT_CHAINS:
-        hit = line.rlike(pat)
-        if veto:
-            hit = hit & ~line.rlike(veto)
-        out = out.when(hit, F.lit(name))
-    return out
+    def chain(line: Column) -> Column:
+        out = F.when(is_fuel(line) | (line == ""), F.lit(None).cast("string"))
+        for name, pat, veto in RECEIPT_CHAINS:
+            hit = line.rlike(pat)
+            if veto:
+                hit = hit & ~line.rlike(veto)
+            out = out.when(hit, F.lit(name))
+        return out
+
+    return let(normalize_merchant(merchant), chain)
 
 
 def learned_key(store: Column) -> Column:

@@ -9,6 +9,7 @@ from centwise.config import ASK_WINDOW_DAYS
 from centwise.functions import dates, keys, money, receipt_lines, rules, sensitive, similarity, stores, taxonomy, text
 from centwise.registry.catalog import query
 from centwise.registry.stored import household
+from centwise.storage import spread
 
 PRIO, STATUS = F.col("o_orderpriority"), F.col("o_orderstatus")
 
@@ -146,7 +147,7 @@ def _rule_sql(subject: str, want: str) -> str:
 @query("document_categories", f"SELECT doc_id, {_rule_sql('text', 'category')} AS category, {_rule_sql('text', 'keyword')} AS keyword FROM documents")
 def document_categories(spark, d):
     hit = rules.keyword_category(F.col("text"))
-    return derived.table(spark, d, "documents").select("doc_id", hit.alias("hit")).select("doc_id", "hit.category", "hit.keyword")
+    return spread(derived.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", hit.alias("hit")).select("doc_id", "hit.category", "hit.keyword")
 
 
 @query("item_classes", f"""
@@ -258,7 +259,7 @@ def account_names(spark, d):
 
 
 def _hits(df, ident):
-    return df.select(ident, F.explode(sensitive.sensitive_hits(F.col("text"))).alias("h")).groupBy(ident, "h.kind", "h.match").agg(F.count("*").alias("hits"))
+    return spread(df.select(ident, "text")).select(ident, F.explode(sensitive.sensitive_hits(F.col("text"))).alias("h")).groupBy(ident, "h.kind", "h.match").agg(F.count("*").alias("hits"))
 
 
 _SQL_PATTERNS = {
