@@ -11,16 +11,16 @@ from centwise.registry.catalog import query
 from centwise.registry.stored import household
 from centwise.storage import spread
 
-PRIO, STATUS = F.col("o_orderpriority"), F.col("o_orderstatus")
-
 
 def _by_priority(*values):
-    out = F.when(PRIO == "1-URGENT", values[0]).when(PRIO == "2-HIGH", values[1]).when(PRIO == "3-MEDIUM", values[2])
-    return out.when(PRIO == "4-NOT SPECIFIED", values[3]).otherwise(values[4])
+    prio = F.col("o_orderpriority")
+    out = F.when(prio == "1-URGENT", values[0]).when(prio == "2-HIGH", values[1]).when(prio == "3-MEDIUM", values[2])
+    return out.when(prio == "4-NOT SPECIFIED", values[3]).otherwise(values[4])
 
 
 def _by_status(*values):
-    return F.when(STATUS == "F", values[0]).when(STATUS == "O", values[1]).otherwise(values[2])
+    status = F.col("o_orderstatus")
+    return F.when(status == "F", values[0]).when(status == "O", values[1]).otherwise(values[2])
 
 
 @query("amount_to_cents", """
@@ -123,7 +123,7 @@ def category_id_for(spark, d):
     )
     cid = taxonomy.category_id_for(said)
     named = taxonomy.clamp_to_taxonomy(F.coalesce(taxonomy.category_name_for(cid), F.lit("?")))
-    return derived.table(spark, d, "orders").groupBy(PRIO, STATUS).agg(F.count("*").alias("orders")).select(PRIO, STATUS, cid.alias("category_id"), named.alias("name"), "orders")
+    return derived.table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("orders")).select("o_orderpriority", "o_orderstatus", cid.alias("category_id"), named.alias("name"), "orders")
 
 
 @query("legacy_category_remap", """
