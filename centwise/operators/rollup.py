@@ -48,3 +48,8 @@ def live_rollup(receipt_items: DataFrame, receipts: DataFrame, matches: DataFram
     cents = bank_to_spend(F.col("line_price_cents") - F.col("discount_cents"))
     sums = named.join(head, [KEY, "receipt_id"]).groupBy(KEY, "category_id", "month").agg(F.sum(cents).alias("net_cents"))
     return sums.join(categories, "category_id").select(KEY, "category", "month", "net_cents")
+
+
+def by_month_and_category(rollup: DataFrame) -> DataFrame:
+    """Order of presentation; nothing downstream depends on it."""
+    return rollup.orderBy(KEY, "month", "category")

@@ -145,7 +145,7 @@ def _spend_items(spark, d, month=None):
 
 @query("live_rollup", "SELECT * FROM q_live")
 def live_rollup(spark, d):
-    return _live(spark, d)
+    return rollup.by_month_and_category(_live(spark, d))
 
 
 @query("live_rollup_of_month", "SELECT * FROM q_live WHERE month = '1998-02'")
@@ -216,13 +216,14 @@ def evidence(spark, d):
 
 @query("memberships", """
 SELECT c_custkey AS user_id, lower(c_name) AS email, c_name AS display_name, household_id, role FROM customer LEFT JOIN (
-  SELECT o_custkey, 'hh-' || c_nationkey AS household_id, o_orderpriority AS role FROM orders JOIN customer ON c_custkey = o_orderkey % 1000
-  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'hh-' || c_nationkey, o_orderpriority) = 1) ON o_custkey = c_custkey""")
+  SELECT o_custkey, 'hh-' || l_suppkey AS household_id, o_orderpriority AS role FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY l_shipdate, 'hh-' || l_suppkey, o_orderpriority) = 1) ON o_custkey = c_custkey""")
 def memberships(spark, d):
+    """Customers as users who joined the household of every supplier they ever bought from."""
     users = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lower("c_name").alias("email"), F.col("c_name").alias("display_name"))
-    nation = derived.table(spark, d, "customer").select(F.col("c_custkey").alias("who"), "c_nationkey")
-    joined = derived.table(spark, d, "orders").withColumn("who", F.col("o_orderkey") % 1000).join(nation, "who").select(
-        F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("hh-"), F.col("c_nationkey").cast("string")).alias("household_id"), F.col("o_orderpriority").alias("role")
+    bought = derived.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_shipdate")
+    joined = derived.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(bought, "o_orderkey").select(
+        F.col("o_custkey").alias("user_id"), F.col("l_shipdate").alias("created_at"), F.concat(F.lit("hh-"), F.col("l_suppkey").cast("string")).alias("household_id"), F.col("o_orderpriority").alias("role")
     )
     return reads.members(users, joined)
 
