@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from centwise.functions.dates import month_of
@@ -51,8 +53,6 @@ def _month(df: DataFrame, date: str, month: str | None) -> DataFrame:
 
 def valid_month(month: str | None) -> str | None:
     """A month argument that is not ``YYYY-MM`` is ignored."""
-    import re
-
     return month if month and re.fullmatch(r"[0-9]{4}-[0-9]{2}", month) else None
 
 
