@@ -21,13 +21,13 @@ def pattern(p: str) -> str:
 
 
 def ascii_fold(c: Column) -> Column:
-    """Non-ASCII white space as a blank, every other non-ASCII character as a control character.
+    """Non-ASCII white space as a tab (so no literal blank matches it), every other non-ASCII character as a control character.
 
     ASCII keyword patterns match the folded text exactly where they match the
     original, and the JVM's own word boundary is then the ASCII one.
     """
     wide_space = "[\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
-    return F.regexp_replace(F.regexp_replace(c, wide_space, " "), "[^\\x00-\\x7F]", chr(1))
+    return F.regexp_replace(F.regexp_replace(c, wide_space, chr(9)), "[^\\x00-\\x7F]", chr(1))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
