@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ BANDS, ROWS = 24, 4
 #: Share of equal minima below which a pair isn't compared on full sets: seven standard deviations under 0.85.
 LEAST_AGREEMENT = 0.6
 WORDS = 5
+#: Sets of a bucket that are compared with each other in one task at a time.
+BLOCK = 192
 _ones = np.random.default_rng(20240517)
 _A = _ones.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _ones.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -80,16 +83,60 @@ def _similar(percent: int):
     return check
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for batch in rows(batches):
+        found = [(key, *_set(words, text)) for key, text in zip(batch.column("key_a").to_pylist(), texts(batch, "text"), strict=True)]
+        found = [(key, members.tobytes()) for key, members, own in found if key == own]
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["key_a", "members"])
+
+
+def common_members(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of ``a`` with sets of ``b``, some thousands of members at a time."""
+    members, place = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    width = 8192
+    cuts = np.searchsorted(place, np.arange(0, len(members) + width, width))
+    for k in range(len(cuts) - 1):
+        table = np.zeros((len(a) + len(b), width), np.float32)
+        part = slice(cuts[k], cuts[k + 1])
+        table[row[part], place[part] - k * width] = 1
+        out += table[: len(a)] @ table[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _compared(percent: int):
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        a = block[block["side"] == 0]
+        b = a if (block["x"] == block["y"]).all() else block[block["side"] == 1]
+        out = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if len(a) and len(b):
+            sets_a, sets_b = ([np.frombuffer(m, np.uint64) for m in side["members"]] for side in (a, b))
+            common = common_members(sets_a, sets_b)
+            both = np.array(list(map(len, sets_a)))[:, None] + np.array(list(map(len, sets_b)))[None, :] - common
+            part_a, part_b = a["component"].to_numpy(), b["component"].to_numpy()
+            i, j = np.nonzero((100 * common >= percent * both) & (part_a[:, None] != part_b[None, :]))
+            # one link joins two components
+            out = pd.DataFrame({"a": a["a"].to_numpy()[i], "b": b["a"].to_numpy()[j], "p": part_a[i], "q": part_b[j]}).drop_duplicates(["p", "q"])[["a", "b"]]
+        return out
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are not looked at): doc_id, n_shingles, component_id, kept.
 
     Sets of hashed 5-word shingles are linked at a Jaccard similarity of
     ``percent``/100 or more, decided on full sets.  Equal sets form one class and
     are compared once.  In each bucket of a band all classes are first compared
-    with one of them, the most copied; only classes of the bucket that are then
-    still in different components are compared with each other.  So the rows made
-    follow the input, not the square of a group, and every pair that shares a
-    band is linked, connected otherwise, or compared.
+    with one of them, the most copied; a bucket whose classes are then still in
+    different components is compared whole, in blocks of bounded size, which emit
+    one link for two components.  So the rows made follow the input, not the
+    square of a group, and every pair that shares a band is linked, connected
+    otherwise, or compared.
 
     Null and empty texts and texts of white space have no shingles and stay
     alone.  Rows with equal doc_id are one document: their texts' components are
@@ -112,12 +159,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = shared.select("a", F.col("a").alias("b")).distinct()
     part = cut(connected_components(links.union(own)), "parts")
     members = shared.select("bucket", "a", "key_a", "b", "key_b").join(part.withColumnRenamed("node", "a"), "a")
-    split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = cut(members.join(split, "bucket").select("bucket", "a", "key_a", "b", "key_b", "component"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    # pairs with the bucket's pivot have been compared
-    rest = x.join(y, F.expr("x.bucket = y.bucket AND x.component < y.component AND x.key_a <> x.key_b AND y.key_a <> y.key_b")).select(F.col("x.a").alias("a"), F.col("x.key_a").alias("key_a"), F.col("y.a").alias("b"), F.col("y.key_a").alias("key_b")).distinct()
-    more = cut(_verified(rest, classes, given, percent), "links")
+    split = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high").select("bucket", "blocks")
+    open_ = cut(members.join(split, "bucket").select("bucket", "blocks", "a", "key_a", "component"), "open")
+    more = cut(_linked_in_blocks(open_, given, percent), "links")
     joined = connected_components(links.union(more).union(same_id)).withColumnRenamed("node", "rep")
     label = cut(classes.select("set_key", "rep").join(joined, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "labels")
     whole = sketch.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
@@ -126,6 +170,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _linked_in_blocks(members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each bucket, from all its pairs, compared block by block on full sets."""
+    wanted = members.select("a", "key_a").distinct()
+    sets = cut(wanted.join(docs.toDF("a", "text"), "a").mapInArrow(_sets, "key_a binary, members binary").distinct(), "sets")
+    own = F.pmod(F.xxhash64("key_a"), F.col("blocks")).cast("int")
+    placed = members.withColumn("own", own)
+    last = F.col("blocks") - 1
+    first = placed.select("bucket", F.col("own").alias("x"), F.explode(F.sequence("own", last)).alias("y"), F.lit(0).alias("side"), "a", "key_a", "component")
+    second = placed.where("own > 0").select("bucket", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"), "a", "key_a", "component")
+    met = first.union(second).join(sets, "key_a")
+    return met.groupBy("bucket", "x", "y").applyInPandas(_compared(percent), "a bigint, b bigint").distinct()
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     signatures = classes.select("set_key", "signature")
     joined = pairs.join(signatures.toDF("key_a", "sig_a"), "key_a").join(signatures.toDF("key_b", "sig_b"), "key_b")
