@@ -13,6 +13,8 @@ from centwise.storage import cut
 PERCENT = 80
 #: Rarity is kept for this many groups of tokens, so its size is bounded: one small number each.
 RARITY_BITS = 16
+#: Rarest tokens of a line that are first looked up for their earliest holder; changes no result.
+HOLDERS = 6
 SPACE = "[\\x09-\\x0D\\x20]+"
 _HASH = 2**57 - 1
 
@@ -51,7 +53,12 @@ def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
 
 
 def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per distinct token set of a line: where it stands first, its size, its rarest tokens, a bitmap of all."""
+    """One row per distinct token set of a line: where it stands first, its size, its rarest tokens, 128 parities of all.
+
+    A parity counts the tokens that hash to it, modulo 2.  What two sets share
+    cancels out, so they differ in as many parities as in tokens at most, however
+    large they are.
+    """
     level = _rarity(docs)
     # rare tokens first: level above the hash
     code = lambda t: (lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))(F.xxhash64(t))
@@ -59,21 +66,32 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n = F.size("tokens")
     # a partner has this many tokens in common at least: percent of the larger set
     prefix = n - F.ceil(n * percent / 100).cast("int") + 1
-    bits = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda b, t: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(63).cast("int"))))
-    sets = coded.select(F.xxhash64("tokens").alias("id"), F.xxhash64(F.lit(1), "tokens").alias("id2"), F.struct("doc", "line_no").alias("at"), n.alias("n"), F.slice("tokens", 1, prefix).alias("rarest"), bits.alias("bits"))
-    return sets.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("rarest").alias("rarest"), F.first("bits").alias("bits"))
+    one = F.lit(1).cast("bigint")
+    parity = lambda half: F.aggregate(F.filter("tokens", lambda t: t.bitwiseAND(64) == half), F.lit(0).cast("bigint"), lambda b, t: b.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))))
+    sets = coded.select(F.xxhash64("tokens").alias("id"), F.xxhash64(F.lit(1), "tokens").alias("id2"), F.struct("doc", "line_no").alias("at"), n.alias("n"), F.slice("tokens", 1, prefix).alias("rarest"), parity(0).alias("low"), parity(64).alias("high"))
+    first = sets.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("rarest").alias("rarest"), F.first("low").alias("low"), F.first("high").alias("high"))
+    return first.select("at.doc", "at.line_no", "n", "rarest", "low", "high")
 
 
-def _entries(classes: DataFrame) -> DataFrame:
-    return classes.select("at", "n", "bits", F.posexplode("rarest").alias("i", "token"))
+def _entries(classes: DataFrame, size, *more: str) -> DataFrame:
+    """One row for each of a class's ``size`` rarest tokens."""
+    return classes.select("doc", "line_no", "n", "low", "high", *more, F.posexplode(F.slice("rarest", 1, size)).alias("i", "token"))
 
 
 def _could_match(x: str, y: str, percent: int) -> str:
-    """Length, positional and bitmap filters on two entries of one token; no pair at ``percent`` fails one."""
+    """Length, parity and positional filters on two entries of one token; no pair at ``percent`` fails one."""
     need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent}D)"
     return f"""100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
-        AND 1 + least({x}.n - {x}.i - 1, {y}.n - {y}.i - 1) + least({x}.i, {y}.i) >= {need}
-        AND bit_count({x}.bits ^ {y}.bits) <= {x}.n + {y}.n - 2 * {need}"""
+        AND bit_count({x}.low ^ {y}.low) + bit_count({x}.high ^ {y}.high) <= {x}.n + {y}.n - 2 * {need}
+        AND 1 + least({x}.n - {x}.i - 1, {y}.n - {y}.i - 1) + least({x}.i, {y}.i) >= {need}"""
+
+
+def _earlier(x: str, y: str) -> str:
+    return f"({x}.doc < {y}.doc OR ({x}.doc = {y}.doc AND {x}.line_no < {y}.line_no))"
+
+
+def _at(side: str) -> Column:
+    return F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.line_no").alias("line_no"))
 
 
 def _jaccard(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -91,18 +109,22 @@ def _jaccard(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, line_no) of the lines that stay: first of their token set, and like no earlier line."""
     classes = cut(line_classes(docs, percent), "line-classes")
-    entries = _entries(classes)
-    # first each line against the earliest holder of each of its rare tokens: most copies are settled without any pair
-    ordered = Window.partitionBy("token").orderBy("at")
-    first = entries.select("token", F.struct("at", "n", "bits", "i").alias("y"), F.first(F.struct("at", "n", "bits", "i")).over(ordered).alias("x")).where("x.at < y.at").where(_could_match("x", "y", percent))
-    near = cut(first.select(F.col("x.at").alias("early_at"), F.col("y.at").alias("late_at")).distinct(), "line-pairs")
+    # each line against the earliest holder of its rarest tokens: most copies are settled by these, without pairs of copies
+    holder = F.struct("doc", "line_no", "n", "low", "high", "i")
+    ordered = Window.partitionBy("token").orderBy("doc", "line_no")
+    first = _entries(classes, HOLDERS).select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
+    near = cut(first.select(_at("x").alias("early_at"), _at("y").alias("late_at")).distinct(), "line-pairs")
     settled = cut(_jaccard(near, docs, percent), "line-matches")
-    late = _entries(classes.join(settled.withColumnRenamed("late_at", "at"), "at", "left_anti")).alias("y")
-    early = entries.alias("x")
-    pairs = early.join(late, (F.col("x.token") == F.col("y.token")) & (F.col("x.at") < F.col("y.at")) & F.expr(_could_match("x", "y", percent)))
-    rest = cut(pairs.select(F.col("x.at").alias("early_at"), F.col("y.at").alias("late_at")).distinct().join(near, ["early_at", "late_at"], "left_anti"), "line-pairs")
+    # then whatever is left against all: the shorter line's tokens up to the place where the pair must have met, the longer one's whole prefix
+    marked = classes.join(settled.select("late_at.doc", "late_at.line_no", F.lit(True).alias("known")), ["doc", "line_no"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    met = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
+    x, y = _entries(marked, met, "known").alias("x"), _entries(marked, F.size("rarest"), "known").alias("y")
+    forward = F.expr(_earlier("x", "y"))
+    alike = F.expr(f"x.token = y.token AND (x.n < y.n OR (x.n = y.n AND {_earlier('x', 'y')})) AND {_could_match('x', 'y', percent)} AND NOT if({_earlier('x', 'y')}, y.known, x.known)")
+    pairs = x.join(y, alike).select(F.when(forward, _at("x")).otherwise(_at("y")).alias("early_at"), F.when(forward, _at("y")).otherwise(_at("x")).alias("late_at"))
+    rest = cut(pairs.distinct().join(near, ["early_at", "late_at"], "left_anti"), "line-pairs")
     matched = settled.union(_jaccard(rest, docs, percent)).distinct()
-    return classes.select("at").join(matched.withColumnRenamed("late_at", "at"), "at", "left_anti").select("at.doc", "at.line_no")
+    return classes.select("doc", "line_no").join(matched.select("late_at.doc", "late_at.line_no"), ["doc", "line_no"], "left_anti")
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -117,7 +139,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     is removed if an earlier line, by (doc_id, line number), has a Jaccard
     similarity of ``percent``/100 or more with it, whether that one stays or not.
     Tokens are ordered by rarity; lines meet only on tokens of their prefix, pass
-    length, positional and bitmap filters, and are decided on full sets.
+    length, positional and parity filters, and are decided on full sets.
 
     Blank lines are left alone, and every row stays, if need be with an empty
     text.  Null texts stay null.  A null doc_id comes before all others.  Rows
