@@ -11,7 +11,6 @@ class ReconcileConfig:
     merchant_cutoff: float = 0.72
     receipt_window_days: int = 3
     order_window_days: int = 7
-    subset_pool_cap: int = 12
     auto_link_threshold: float = 0.70
     recurring_tolerance_cents: int = 200
     recurring_cadence_days: int = 30
@@ -30,11 +29,10 @@ class ReceiptConfig:
     grading_ratio: float = 0.85
     pass_percent: int = 80
     bootstrap_category_confidence: float = 0.5
-    max_image_bytes: int = 20 * 1024 * 1024
+    max_image_bytes: int | None = None
 
 
 ASK_WINDOW_DAYS = 60
-MAX_FEED_PAGES = 200
 DIGITAL_SOURCE = "costco_digital"
 
 RECONCILE = ReconcileConfig()

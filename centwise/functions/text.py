@@ -95,7 +95,7 @@ def title_case(c: Column) -> Column:
         F.transform(
             F.split(c, " "),
             lambda t: F.when((F.length(t) <= 1) | t.rlike("[0-9]"), t).otherwise(
-                F.concat(F.substring(t, 1, 1), F.lower(F.substring(t, 2, 1 << 20)))
+                F.concat(F.substring(t, 1, 1), F.lower(F.call_function("substring", t, F.lit(2))))
             ),
         ),
         " ",

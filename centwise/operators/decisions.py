@@ -10,10 +10,9 @@ from centwise.functions.taxonomy import category_id_for
 from centwise.operators.dictionary import upsert
 
 KEY = "household_id"
-# Kinds of queue item, of correction, and the longest text field.
+# Kinds of queue item and of correction.
 ITEM_TYPES = ["sku_resolution", "ambiguous_match", "missing_receipt", "flagged_receipt"]
 VARIANTS = ["pickCategoryId", "pickMatchCandidateId", "editResolution"]
-MAX_FIELD = 128
 _PAYLOAD = "variant string, categoryId string, candidateId string, canonicalName string, category string"
 
 
@@ -35,11 +34,11 @@ def rename_unmatched(decisions: DataFrame) -> DataFrame:
     return joined.withColumn("item_type", renamed).select(decisions.columns)
 
 
-def _bounded(c: Column) -> Column:
-    return F.coalesce(F.length(c).between(1, MAX_FIELD), F.lit(False))
+def _bounded(c: Column, longest: int | None) -> Column:
+    return F.coalesce(F.length(c) >= 1 if longest is None else F.length(c).between(1, longest), F.lit(False))
 
 
-def _judged(decisions: DataFrame, items: DataFrame, receipts: DataFrame, transactions: DataFrame, matches: DataFrame) -> DataFrame:
+def _judged(decisions: DataFrame, items: DataFrame, receipts: DataFrame, transactions: DataFrame, matches: DataFrame, longest: int | None = None) -> DataFrame:
     """Each decision with what it points at and the refusal code it would get on its own."""
     p = decisions.withColumn("p", F.from_json("payload_json", _PAYLOAD))
     row = items.join(receipts.select(KEY, F.col("id").alias("receipt_id"), "store"), [KEY, "receipt_id"]).select(
@@ -60,8 +59,8 @@ def _judged(decisions: DataFrame, items: DataFrame, receipts: DataFrame, transac
     sku_edit = correct & variant.isin("pickCategoryId", "editResolution")
     pick = correct & (variant == "pickMatchCandidateId")
     fields = (
-        F.when(variant == "pickCategoryId", _bounded(F.col("p.categoryId"))).when(variant == "pickMatchCandidateId", _bounded(F.col("p.candidateId")))
-        .when(variant == "editResolution", _bounded(F.col("p.canonicalName")) & _bounded(F.col("p.category")))
+        F.when(variant == "pickCategoryId", _bounded(F.col("p.categoryId"), longest)).when(variant == "pickMatchCandidateId", _bounded(F.col("p.candidateId"), longest))
+        .when(variant == "editResolution", _bounded(F.col("p.canonicalName"), longest) & _bounded(F.col("p.category"), longest))
     )
     category = category_id_for(F.when(variant == "pickCategoryId", F.col("p.categoryId")).when(variant == "editResolution", F.col("p.category")))
     of_item = F.when(F.col("item").isNull(), "not_found").when(~F.col("item.needs_review"), "not_queued")
@@ -94,15 +93,15 @@ def resolve_ambiguity(matches: DataFrame, winners: DataFrame) -> DataFrame:
 
 def apply_decisions_batch(
     incoming: DataFrame, decided: DataFrame, receipt_items: DataFrame, receipts: DataFrame, transactions: DataFrame, matches: DataFrame,
-    dictionary: DataFrame, now_ms: int,
+    dictionary: DataFrame, now_ms: int, longest_field: int | None = None,
 ) -> Decided:
     """``incoming``: household_id, seq, item_type, item_id, decision (confirm, dismiss, correct), payload_json.
 
     The first sound decision on an item is accepted; later ones conflict, as does
-    any on an item decided before.  A refused one leaves no trace but its code.
+    any on an item decided before.  Text fields longer than ``longest_field`` are refused.  A refused one leaves no trace but its code.
     """
     item_key = [KEY, "item_type", "item_id"]
-    judged = _judged(incoming, receipt_items, receipts, transactions, matches)
+    judged = _judged(incoming, receipt_items, receipts, transactions, matches, longest_field)
     before = decided.select(*item_key, F.lit(True).alias("_before")).distinct()
     judged = judged.join(before, item_key, "left")
     sound = F.col("_early").isNull() & F.col("_late").isNull() & F.col("_before").isNull()

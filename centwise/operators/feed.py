@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from centwise.storage import cut
@@ -38,7 +38,10 @@ def known_accounts(changes: DataFrame, accounts: DataFrame) -> tuple[DataFrame,
     """(changes with account_id, number of changes per login that name an unreported account)."""
     ours = accounts.select("login_id", "external_account_id", F.col("id").alias("account_id"))
     joined = changes.join(ours, ["login_id", "external_account_id"], "left")
-    skipped = joined.filter("account_id IS NULL").groupBy("login_id").agg(F.count("*").alias("skipped_unknown_account"))
+    # a removal of a pending line that its posted line replaces on the same page needs no account
+    replaced = changes.filter("pending_external_id IS NOT NULL").select("login_id", "page_no", F.col("pending_external_id").alias("external_id"), F.lit("removed").alias("op")).distinct()
+    unknown = joined.filter("account_id IS NULL").join(replaced, ["login_id", "page_no", "external_id", "op"], "left_anti")
+    skipped = unknown.groupBy("login_id").agg(F.count("*").alias("skipped_unknown_account"))
     return joined.filter("account_id IS NOT NULL"), skipped
 
 
@@ -101,7 +104,7 @@ def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if waiting[4] != fields[1]:
                     out.append(("reset", *waiting))
                 continue
-            ident = "tx-" + sha256(f"{c.account_id}|{ext}|{c.page_no}|{c.pos}".encode()).hexdigest()[:24]
+            ident = "tx-" + sha256(f"{c.account_id}|{ext}|{c.page_no}|{c.pos}".encode()).hexdigest()
             live[ext] = (ident, c.account_id, ext, *fields)
             out.append((c.op, *live[ext]))
         yield pd.DataFrame(out, columns=["what", *STATE])
@@ -127,7 +130,7 @@ def apply_feed(state: DataFrame, changes: DataFrame) -> FeedResult:
     out = cut(ordered.mapInPandas(_replay, _OUT), "replayed")
     rows = out.filter("what = 'row'").drop("what")
     counts = out.filter("what <> 'row'").groupBy("account_id", "what").agg(F.count("*").alias("n"))
-    return FeedResult(rows, out.filter("what = 'reset'").select("id").distinct(), out.filter("what = 'deleted'").select("id").distinct(), counts)
+    return FeedResult(rows, out.filter("what = 'reset'").select("id", "account_id").distinct(), out.filter("what = 'deleted'").select("id").distinct(), counts)
 
 
 def withdraw_matches(matches: DataFrame, result: FeedResult) -> DataFrame:
@@ -140,8 +143,8 @@ def withdraw_matches(matches: DataFrame, result: FeedResult) -> DataFrame:
 def sync_summary(result: FeedResult, matches: DataFrame) -> DataFrame:
     """One row per account: added, modified, removed, pending_resolved, matches_reset."""
     reset = result.reset.withColumnRenamed("id", "transaction_id")
-    withdrawn = matches.filter("status = 'manual'").join(reset, "transaction_id", "left_semi").join(
-        result.rows.select(F.col("id").alias("transaction_id"), "account_id"), "transaction_id").groupBy("account_id").agg(F.count("*").alias("matches_reset"))
+    # the line may be gone by the end of the feed
+    withdrawn = matches.filter("status = 'manual'").select("transaction_id").join(reset, "transaction_id").groupBy("account_id").agg(F.count("*").alias("matches_reset"))
     wide = result.counts.groupBy("account_id").pivot("what", ["added", "modified", "deleted", "resolved"]).agg(F.sum("n"))
     return wide.join(withdrawn, "account_id", "full_outer").select(
         "account_id", *[F.coalesce(c, F.lit(0)).alias(a) for c, a in [("added", "added"), ("modified", "modified"), ("deleted", "removed"), ("resolved", "pending_resolved"), ("matches_reset", "matches_reset")]]
@@ -152,16 +155,27 @@ def upsert_accounts(accounts: DataFrame, reported: DataFrame) -> DataFrame:
     """Accounts of a login: new ones added, known ones refreshed, keyed by (login, external id); ids are kept."""
     key = ["login_id", "external_account_id"]
     fields = ["name", "type", "mask"]
-    ident = F.concat(F.lit("acct-"), F.substring(F.sha2(F.concat_ws("|", *key), 256), 1, 16))
+    ident = F.concat(F.lit("acct-"), F.sha2(F.concat_ws("|", *key), 256))
     last = reported.groupBy(*key).agg(F.max(F.struct("seq", *fields)).alias("r"))
     joined = accounts.select(*key, "id", *fields).join(last, key, "full_outer")
     return joined.select(*key, F.coalesce("id", ident).alias("id"), *[F.when(F.col("r").isNotNull(), F.col(f"r.{f}")).otherwise(F.col(f)).alias(f) for f in fields])
 
 
-def page_faults(pages: DataFrame, max_pages: int) -> DataFrame:
-    """Logins whose pages cannot be taken as they are: a cursor that stands still, or too many pages."""
+def _stuck() -> Column:
     before = F.lag("cursor").over(W.partitionBy("login_id").orderBy("page_no"))
-    stuck = F.coalesce(F.col("has_more") & (F.col("cursor") == before), F.lit(False))
-    per = pages.withColumn("stuck", stuck).groupBy("login_id").agg(F.max("stuck").alias("stuck"), F.count("*").alias("pages"))
-    reason = F.when(F.col("stuck"), "sync cursor did not advance between pages").when(F.col("pages") > max_pages, f"sync did not finish within {max_pages} pages")
+    return F.coalesce(F.col("has_more") & (F.col("cursor") == before), F.lit(False))
+
+
+def page_faults(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Logins whose cursor stands still between pages or, if a number is given, with more pages than that."""
+    per = pages.withColumn("stuck", _stuck()).groupBy("login_id").agg(F.max("stuck").alias("stuck"), F.count("*").alias("pages"))
+    reason = F.when(F.col("stuck"), "sync cursor did not advance between pages")
+    if max_pages is not None:
+        reason = reason.when(F.col("pages") > max_pages, f"sync did not finish within {max_pages} pages")
     return per.withColumn("reason", reason).filter("reason IS NOT NULL").select("login_id", "pages", "reason")
+
+
+def advancing(pages: DataFrame) -> DataFrame:
+    """Pages of each login up to the first whose cursor stands still; that page and later ones are not folded."""
+    so_far = W.partitionBy("login_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, 0)
+    return pages.withColumn("_stuck", _stuck()).withColumn("_stuck", F.max("_stuck").over(so_far)).filter("NOT _stuck").drop("_stuck")

@@ -16,17 +16,17 @@ def _keyed(keys: list[str]) -> Column:
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Rows of ``batch`` to insert.
 
-    Within the batch the first row by ``order`` wins.  As with a unique index, a
-    row with a missing key part never conflicts.
+    Within the batch the first row by ``order`` wins; without one, the row that
+    stands first in the batch as it is read.  As with a unique index, a row with a
+    missing key part never conflicts.
     """
     columns = batch.columns
-    rank = order or [c for c in columns if c not in keys]
-    rest = [c for c in columns if c not in keys and c not in rank]
     whole = _keyed(keys)
-    first = (
-        batch.filter(whole).groupBy(*keys).agg(F.min(F.struct(*rank, *rest)).alias("_row")).select(*keys, "_row.*").select(*columns)
-        if set(columns) != set(keys) else batch.filter(whole).distinct()
-    )
+    keyed = batch.filter(whole)
+    if not order:
+        order, keyed = ["_at"], keyed.withColumn("_at", F.monotonically_increasing_id())
+    rest = [c for c in columns if c not in keys and c not in order]
+    first = keyed.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row")).select(*keys, "_row.*").select(*columns)
     fresh = first.join(existing.select(*keys), keys, "left_anti").select(*columns)
     return fresh.unionByName(batch.filter(~whole))
 

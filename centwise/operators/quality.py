@@ -9,7 +9,6 @@ from centwise.config import RECEIPT, ReceiptConfig
 from centwise.functions.receipt_lines import identity_name
 from centwise.functions.similarity import comparable, dice_of_comparable
 from centwise.functions.text import present, strip_leading_zeros
-from centwise.operators.assign import greedy_pairs
 from centwise.storage import new_path
 
 
@@ -23,7 +22,7 @@ def pair_items(actual: DataFrame, expected: DataFrame, mode: str = "full") -> Da
     Expected items choose in order: an unclaimed item with the same number first,
     else the unclaimed item with the most similar name, the earlier on ties.
     ``actual``: household_id, receipt_id, idx, sku, name, category; ``expected``
-    alike.  Choosing in order is a greedy assignment ranked by the chooser first.
+    alike.  One grouping by receipt and one pass over its pairs settle all of them.
     """
     key = ["household_id", "receipt_id"]
     a = actual.select(*key, F.col("idx").alias("a_idx"), F.col("sku").alias("a_sku"), F.col("name").alias("a_name"), F.col("category").alias("a_category"),
@@ -34,11 +33,19 @@ def pair_items(actual: DataFrame, expected: DataFrame, mode: str = "full") -> Da
     # both sides are the lines of one printed receipt
     edges = (
         e.join(a, key).withColumn("hit", hit).withColumn("score", dice_of_comparable(F.col("a_text"), F.col("e_text")))
-        .withColumn("e_id", F.concat_ws("#", "receipt_id", F.col("e_idx").cast("string"))).withColumn("a_id", F.concat_ws("#", "receipt_id", F.col("a_idx").cast("string")))
-        .select(*key, "e_idx", "e_id", "a_idx", "a_id", "hit", "score", "a_sku", "a_name", "a_category")
+        .select(*key, "e_idx", "a_idx", "hit", "score", "a_sku", "a_name", "a_category")
     )
-    order = [F.col("e_idx"), F.when(F.col("hit"), 0).otherwise(1), F.when(F.col("hit"), 0.0).otherwise(-F.col("score")), F.col("a_idx")]
-    won = greedy_pairs(edges, "e_id", "a_id", order).select(*key, "e_idx", "a_idx", "score", "a_sku", "a_name", "a_category")
+    # one fold per receipt over its pairs in choosing order
+    choice = F.struct("e_idx", F.when(F.col("hit"), 0).otherwise(1).alias("miss"), F.when(F.col("hit"), 0.0).otherwise(-F.col("score")).alias("rank"), "a_idx", "score", "a_sku", "a_name", "a_category")
+    listed = edges.groupBy(*key).agg(F.array_sort(F.collect_list(choice)).alias("choices"))
+    none = F.array().cast(listed.schema["choices"].dataType)
+
+    def choose(won: Column, c: Column) -> Column:
+        chosen = F.get(won, F.size(won) - 1)["e_idx"]
+        free = (F.size(won) == 0) | (chosen != c["e_idx"])
+        return F.when(free & ~F.exists(won, lambda w: w["a_idx"] == c["a_idx"]), F.concat(won, F.array(c))).otherwise(won)
+
+    won = listed.select(*key, F.explode(F.aggregate("choices", none, choose)).alias("c")).select(*key, *[F.col(f"c.{n}").alias(n) for n in ["e_idx", "a_idx", "score", "a_sku", "a_name", "a_category"]])
     return e.join(won, key + ["e_idx"], "left").select(*key, "e_idx", "e_sku", "e_name", "e_category", "a_idx", "a_sku", "a_name", "a_category", "score")
 
 

@@ -45,7 +45,7 @@ def build_receipts(extractions: DataFrame, dictionary: DataFrame, answers: DataF
     An unreadable image becomes a flagged receipt without items, stored under an
     empty store and a zero total.
     """
-    rid = F.concat(F.lit("r-"), F.substring(F.sha2(F.concat_ws(":", KEY, "image_hash"), 256), 1, 24))
+    rid = F.concat(F.lit("r-"), F.sha2(F.concat_ws(":", KEY, "image_hash"), 256))
     base = extractions.withColumn("receipt_id", rid)
     lines = base.select(KEY, "receipt_id", F.coalesce("store", F.lit("")).alias("store"), F.posexplode("lines").alias("pos", "x")).select(
         KEY, "receipt_id", "store", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("x.sku").alias("sku"), F.col("x.rawDescription").alias("raw_description"),

@@ -9,38 +9,29 @@ from centwise.functions.dates import days_between
 from centwise.operators.candidates import KEY, payable_orders, retailer_debits
 
 
-def pools_in_reach(lines: DataFrame, orders: DataFrame, cfg: ReconcileConfig) -> DataFrame:
-    """Orders whose pool of nearby charges is small enough to search.
-
-    Pool sizes come from daily counts, so a day with any number of charges adds
-    one row per order day here; only pools within the cap are ever listed.
-    """
-    win = cfg.order_window_days
-    daily = lines.groupBy(KEY, "posted_date").agg(F.count("*").alias("n"))
-    reach = F.sequence(F.date_sub("order_date", win), F.date_add("order_date", win))
-    sizes = (
-        orders.select(KEY, "order_date").distinct()
-        .withColumn("posted_date", F.explode(reach))
-        .join(daily, [KEY, "posted_date"])
-        .groupBy(KEY, "order_date").agg(F.sum("n").alias("pool"))
-        .filter(F.col("pool").between(2, cfg.subset_pool_cap))
-    )
-    return orders.join(sizes, [KEY, "order_date"])
-
-
 def first_exact_subset(amounts: Column, target: Column) -> Column:
-    """Bit mask of the first subset, in depth-first order, that sums to ``target``; 0 if none.
+    """Places (from 0) of the first subset, in depth-first order, that sums to ``target``; empty if none.
 
-    Sums of all subsets are built by doubling, last amount first, so amount 0
-    owns the top bit and depth-first order is descending mask order.
+    ``reach[i]`` holds the sums up to ``target`` that the amounts from place i on
+    can make, so a pool of any size costs its length times ``target`` + 1 at most.
+    The walk takes an amount whenever the rest can still be made.
     """
-    sums = F.aggregate(
+    none = F.array().cast("array<int>")
+    reach = F.aggregate(
         F.reverse(amounts),
-        F.array(F.lit(0).cast("bigint")),
-        lambda acc, x: F.concat(acc, F.transform(acc, lambda s: s + x)),
+        F.array(F.array(F.lit(0).cast("bigint"))),
+        lambda acc, x: F.concat(F.array(F.array_distinct(F.concat(acc[0], F.filter(F.transform(acc[0], lambda s: s + x), lambda s: s <= target)))), acc),
     )
-    from_end = F.array_position(F.reverse(sums), target)
-    return F.when(from_end > 0, F.size(sums) - from_end).otherwise(F.lit(0).cast("bigint"))
+
+    def step(walk: Column, i: Column) -> Column:
+        left = walk["left"] - F.get(amounts, i)
+        take = (walk["left"] > 0) & F.array_contains(F.get(walk["reach"], i + 1), left)
+        return F.struct(F.when(take, left).otherwise(walk["left"]).alias("left"), F.when(take, F.concat(walk["chosen"], F.array(i))).otherwise(walk["chosen"]).alias("chosen"), walk["reach"].alias("reach"))
+
+    start = F.struct(target.alias("left"), none.alias("chosen"), reach.alias("reach"))
+    found = F.aggregate(F.sequence(F.lit(0), F.size(amounts) - 1), start, step, lambda walk: F.when(walk["left"] == 0, walk["chosen"]).otherwise(none))
+    enough = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda s, x: s + x) >= target
+    return F.when(enough, found).otherwise(none)
 
 
 def order_split(bank: DataFrame, orders: DataFrame, direct: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
@@ -49,23 +40,21 @@ def order_split(bank: DataFrame, orders: DataFrame, direct: DataFrame, cfg: Reco
     open_orders = payable_orders(orders).join(direct.select(KEY, "order_id"), [KEY, "order_id"], "left_anti")
     win = cfg.order_window_days
     reach = F.sequence(F.date_sub("order_date", win), F.date_add("order_date", win))
+    # a charge above the order's total is in no subset
     pool = (
-        pools_in_reach(lines, open_orders, cfg)
-        .withColumn("posted_date", F.explode(reach))
-        .join(lines, [KEY, "posted_date"])
+        open_orders.withColumn("posted_date", F.explode(reach))
+        .join(lines, [KEY, "posted_date"]).filter(F.col("bank_cents") <= F.col("order_total_cents"))
         .withColumn("date_diff", days_between(F.col("posted_date"), F.col("order_date")))
         .groupBy(KEY, "order_id", "external_order_id", "order_date", "order_total_cents")
         .agg(F.array_sort(F.collect_list(F.struct("transaction_id", "bank_cents", "date_diff"))).alias("pool"))
     )
-    n = F.size("pool")
-    mask = first_exact_subset(F.col("pool")["bank_cents"], F.col("order_total_cents"))
-    chosen = F.filter("pool", lambda x, i: F.call_function("getbit", F.col("mask"), n - 1 - i) == 1)
+    places = first_exact_subset(F.col("pool")["bank_cents"], F.col("order_total_cents"))
     return (
-        pool.withColumn("mask", mask)
-        .filter(F.bit_count("mask") >= 2)
-        .withColumn("chosen", chosen)
+        pool.filter(F.size("pool") >= 2).withColumn("places", places)
+        .filter(F.size("places") >= 2)
+        .withColumn("chosen", F.transform("places", lambda i: F.get("pool", i)))
         .withColumn("transaction_ids", F.col("chosen")["transaction_id"])
         .withColumn("max_days", F.array_max(F.col("chosen")["date_diff"]))
         .withColumn("confidence", F.lit(0.85) * (F.lit(1.0) - F.col("max_days") / F.lit(float(win))) + F.lit(0.15))
-        .drop("pool", "mask")
+        .drop("pool", "places")
     )

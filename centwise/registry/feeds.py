@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from centwise import derived
-from centwise.config import MAX_FEED_PAGES
 from centwise.functions.receipt_lines import account_name, account_type
 from centwise.operators import feed
 from centwise.plans import reconcile as engine
@@ -99,9 +98,14 @@ def feed_withdrawn_matches(spark, d):
     return feed.withdraw_matches(linked, result)
 
 
-@query("feed_page_faults", "SELECT login_id, count(DISTINCT page_no) AS pages, 'sync did not finish within 150 pages' AS reason FROM f_changes GROUP BY 1 HAVING count(DISTINCT page_no) > 150")
+@query("feed_page_faults", """
+SELECT login_id, count(*) AS pages, 'sync cursor did not advance between pages' AS reason
+FROM (SELECT login_id, page_no, page_no % 40 = 1 AND lag(page_no) OVER (PARTITION BY login_id ORDER BY page_no) = page_no - 1 AS stuck FROM (SELECT DISTINCT login_id, page_no FROM f_changes))
+GROUP BY 1 HAVING bool_or(stuck)""")
 def feed_page_faults(spark, d):
-    return feed.page_faults(read_feed(spark, _landed(spark, d)), min(MAX_FEED_PAGES, 150))
+    """One page in forty is reported with the cursor of the page before it."""
+    cursor = F.concat(F.lit("c"), (F.col("page_no") - F.when(F.col("page_no") % 40 == 1, 1).otherwise(0)).cast("string"))
+    return feed.page_faults(read_feed(spark, _landed(spark, d)).withColumn("cursor", cursor))
 
 
 @query("feed_accounts", """

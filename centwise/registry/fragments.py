@@ -76,7 +76,7 @@ FROM (
 fragment("v_bank", "SELECT id, household_id, account_id, posted_date, amount_cents, direction, normalized_merchant FROM v_tx WHERE NOT pending")
 
 fragment("v_lines", """
-SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS ln, l_partkey AS partkey, CAST(l_shipdate AS DATE) AS shipped,
+SELECT l_orderkey AS k, no AS ln, l_partkey AS partkey, CAST(l_shipdate AS DATE) AS shipped,
   l_quantity AS quantity, l_returnflag AS returnflag, l_linestatus AS linestatus, cents,
   cents * CAST(round(l_discount * 100) AS BIGINT) // 100 AS saving,
   p_name || ' ' || CASE p_type WHEN 'ECONOMY' THEN 'paper towel' WHEN 'SMALL' THEN 'cotton shirt' WHEN 'STANDARD' THEN 'usb-c cable'
@@ -85,9 +85,9 @@ SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS ln, l_partkey AS partkey
     WHEN 'PROMO' THEN 'books-media' ELSE 'other' END AS category_id,
   l_returnflag = 'R' AND l_linenumber % 2 = 0 AS is_return
 FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) % 5000 + 50 AS cents,
-        row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity,
-          l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem)
-JOIN part ON l_partkey = p_partkey WHERE rn = 1""")
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
+          l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS no FROM lineitem)
+JOIN part ON l_partkey = p_partkey""")
 
 fragment("v_orders", """
 SELECT 'o-' || lpad(CAST(k AS VARCHAR), 12, '0') AS id, household_id, '111-' || lpad(CAST(k AS VARCHAR), 12, '0') AS external_order_id,

@@ -9,7 +9,6 @@ from centwise.config import ASK_WINDOW_DAYS
 from centwise.functions import dates, keys, money, receipt_lines, rules, sensitive, similarity, stores, taxonomy, text
 from centwise.registry.catalog import query
 from centwise.registry.stored import household
-from centwise.storage import spread
 
 
 def _by_priority(*values):
@@ -147,7 +146,7 @@ def _rule_sql(subject: str, want: str) -> str:
 @query("document_categories", f"SELECT doc_id, {_rule_sql('text', 'category')} AS category, {_rule_sql('text', 'keyword')} AS keyword FROM documents")
 def document_categories(spark, d):
     hit = rules.keyword_category(F.col("text"))
-    return spread(derived.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", hit.alias("hit")).select("doc_id", "hit.category", "hit.keyword")
+    return derived.table(spark, d, "documents").select("doc_id", "text").select("doc_id", hit.alias("hit")).select("doc_id", "hit.category", "hit.keyword")
 
 
 @query("item_classes", f"""
@@ -204,14 +203,14 @@ SELECT DISTINCT p_name, p_type, CASE p_type WHEN 'ECONOMY' THEN 'Bag fee' WHEN '
 def receipt_line_names(spark, d):
     kind = F.col("p_type")
     printed = F.when(kind == "ECONOMY", "BAG  FEE").when(kind == "LARGE", "bottle deposit").otherwise(F.upper("p_name"))
-    actual = F.when(kind == "SMALL", F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100))).when(kind == "STANDARD", F.upper("p_name"))
+    actual = F.when(kind == "SMALL", F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))).when(kind == "STANDARD", F.upper("p_name"))
     named = receipt_lines.line_name(F.when(kind == "ECONOMY", 0).otherwise(F.lit(None)), printed, actual, kind == "PROMO", F.when(kind == "PROMO", "PREMIUM"))
     return derived.table(spark, d, "part").select("p_name", "p_type", named.alias("name")).distinct()
 
 
 @query("identity_names", "SELECT DISTINCT p_name, p_type, upper(p_name[1]) || p_name[2:] AS name FROM part")
 def identity_names(spark, d):
-    nice = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 100))
+    nice = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))
     size = F.col("p_size").cast("string")
     dressed = (
         F.when(F.col("p_type") == "ECONOMY", F.concat(nice, F.lit(", "), size, F.lit(" fl oz"))).when(F.col("p_type") == "SMALL", F.concat(nice, F.lit(" ("), size, F.lit(" ct)")))
@@ -259,7 +258,7 @@ def account_names(spark, d):
 
 
 def _hits(df, ident):
-    return spread(df.select(ident, "text")).select(ident, F.explode(sensitive.sensitive_hits(F.col("text"))).alias("h")).groupBy(ident, "h.kind", "h.match").agg(F.count("*").alias("hits"))
+    return df.select(ident, "text").select(ident, F.explode(sensitive.sensitive_hits(F.col("text"))).alias("h")).groupBy(ident, "h.kind", "h.match").agg(F.count("*").alias("hits"))
 
 
 _SQL_PATTERNS = {

@@ -63,16 +63,28 @@ fragment("e_pools", """
 SELECT o.household_id, o.id AS order_id, order_total_cents AS total, list(transaction_id ORDER BY transaction_id) AS ids,
   list(bank_cents ORDER BY transaction_id) AS amts, list(abs(datediff('day', order_date, posted_date)) ORDER BY transaction_id) AS days
 FROM v_orders o JOIN e_amazon b ON o.household_id = b.household_id AND abs(datediff('day', order_date, posted_date)) <= 7
+  AND bank_cents <= order_total_cents
 WHERE order_total_cents > 0 AND o.id NOT IN (SELECT order_id FROM e_order_direct)
-GROUP BY ALL HAVING count(*) BETWEEN 2 AND 12""")
+GROUP BY ALL HAVING count(*) >= 2 AND sum(bank_cents) >= order_total_cents""")
+
+# sums the charges from place i on can make; then charges taken in order while the rest can still be made
+fragment("e_reach", """
+SELECT order_id, CAST(len(ids) + 1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s FROM e_pools
+UNION
+SELECT r.order_id, r.i - 1, r.s + t.take * p.amts[r.i - 1] FROM e_reach r JOIN e_pools p ON p.order_id = r.order_id, (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) t(take)
+WHERE r.i > 1 AND r.s + t.take * p.amts[r.i - 1] <= p.total""")
+
+fragment("e_chosen", """
+SELECT p.order_id, CAST(1 AS BIGINT) AS i, p.total AS remaining, CAST([] AS BIGINT[]) AS took FROM e_pools p JOIN e_reach r ON r.order_id = p.order_id AND r.i = 1 AND r.s = p.total
+UNION ALL
+SELECT c.order_id, c.i + 1, coalesce(r.s, c.remaining), CASE WHEN r.s IS NULL THEN c.took ELSE list_append(c.took, c.i) END
+FROM e_chosen c JOIN e_pools p ON p.order_id = c.order_id LEFT JOIN e_reach r ON r.order_id = c.order_id AND r.i = c.i + 1 AND r.s = c.remaining - p.amts[c.i] AND c.remaining > 0
+WHERE c.i <= len(p.ids)""")
 
 fragment("e_order_split", """
-SELECT household_id, order_id, list_filter(ids, lambda x, i: (mask >> CAST(len(ids) - i AS INTEGER)) & 1 = 1) AS transaction_ids,
-  CAST(0.85 AS DOUBLE) * (CAST(1 AS DOUBLE) - list_max(list_filter(days, lambda x, i: (mask >> CAST(len(ids) - i AS INTEGER)) & 1 = 1)) / CAST(7 AS DOUBLE)) + CAST(0.15 AS DOUBLE) AS confidence
-FROM (SELECT household_id, order_id, ids, days, max(mask) AS mask
-      FROM e_pools, range(1, 4096) AS m(mask)
-      WHERE mask < (1 << CAST(len(ids) AS INTEGER)) AND list_sum(list_transform(amts, lambda a, i: CASE WHEN (mask >> CAST(len(ids) - i AS INTEGER)) & 1 = 1 THEN a ELSE 0 END)) = total
-      GROUP BY ALL) WHERE bit_count(mask) >= 2""")
+SELECT household_id, order_id, list_transform(took, lambda k: ids[k]) AS transaction_ids,
+  CAST(0.85 AS DOUBLE) * (CAST(1 AS DOUBLE) - list_max(list_transform(took, lambda k: days[k])) / CAST(7 AS DOUBLE)) + CAST(0.15 AS DOUBLE) AS confidence
+FROM e_chosen c JOIN e_pools p USING (order_id) WHERE c.i = len(ids) + 1 AND remaining = 0 AND len(took) >= 2""")
 
 fragment("e_order_cand", """
 SELECT household_id, order_id, [transaction_id] AS transaction_ids, confidence, 'order_bank' AS type FROM e_order_direct

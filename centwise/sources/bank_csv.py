@@ -9,6 +9,7 @@ from centwise.functions.keys import row_hash
 from centwise.functions.money import amount_to_cents
 from centwise.functions.receipt_lines import canonical_header
 from centwise.functions.text import clean_bank_merchant, trim
+from centwise.sources.csv_cells import csv_cells
 
 # Header spellings accepted for each column.
 HEADER_WORDS = {
@@ -19,22 +20,6 @@ HEADER_WORDS = {
     "reference": ["referencenumber", "reference", "refno", "referenceno", "ref"],
 }
 REQUIRED = ["date", "amount", "payee"]
-WIDTH = 64
-
-
-def _cells(spark: SparkSession, path: str) -> DataFrame:
-    """Every row of every file as an array of cells with its position.
-
-    Cells may hold line breaks, so one file is one task; positions follow file order.
-    """
-    schema = ", ".join(f"c{i} string" for i in range(WIDTH))
-    raw = (
-        spark.read.schema(schema).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
-        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    )
-    return raw.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.array(*[F.col(f"c{i}") for i in range(WIDTH)]).alias("cells")
-    ).withColumn("cells", F.transform("cells", lambda c: F.regexp_replace(c, "^" + chr(0xFEFF), "")))
 
 
 def header_columns(cells: Column) -> Column:
@@ -49,7 +34,7 @@ def header_columns(cells: Column) -> Column:
 
 def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). Rows: file, row_no, posted_date, amount_cents, direction, raw and normalised merchant, source_row_hash."""
-    rows = _cells(spark, path)
+    rows = csv_cells(spark, path)
     width = F.size(F.filter("cells", lambda c: c.isNotNull()))
     marked = rows.withColumn("h", header_columns(F.col("cells")))
     is_header = (F.col("h.date") >= 0) & (F.col("h.amount") >= 0) & (F.col("h.payee") >= 0)
@@ -63,12 +48,13 @@ def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     def cell(name: str) -> Column:
         return trim(F.coalesce(F.get("cells", F.col(f"head.h.{name}")), F.lit("")))
 
+    # as wide as the header at least, and every cell beyond it
+    whole = F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), F.col("head.width") - F.size("cells"))))
     amount, posted = amount_to_cents(cell("amount")), to_date_any(cell("date"))
     parsed = body.select(
         "file", (F.col("pos") - F.col("start") + 1).alias("row_no"), cell("date").alias("date_raw"), cell("amount").alias("amount_raw"),
         posted.alias("posted_date"), amount.alias("amount_cents"), cell("payee").alias("raw_merchant"),
-        row_hash(F.slice("cells", F.lit(1), F.col("head.width"))).alias("source_row_hash"),
-        F.array_join(F.slice("cells", F.lit(1), F.col("head.width")), "|", "").alias("raw"),
+        row_hash(whole).alias("source_row_hash"), F.array_join(whole, "|", "").alias("raw"),
     )
     reason = (
         F.when(F.col("date_raw") == "", "missing date").when(F.col("posted_date").isNull(), F.concat(F.lit("unparseable date: "), "date_raw"))

@@ -16,7 +16,9 @@ def index_images(spark: SparkSession, path: str, cfg: ReceiptConfig = RECEIPT) -
     ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     media = F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])[ending]
     seen = files.select("path", "length", media.alias("media_type"), F.sha2("content", 256).alias("image_hash"))
-    reason = F.when(F.col("media_type").isNull(), "MIME_REJECTED").when(F.col("length") > cfg.max_image_bytes, "SIZE_EXCEEDED")
+    reason = F.when(F.col("media_type").isNull(), "MIME_REJECTED")
+    if cfg.max_image_bytes is not None:
+        reason = reason.when(F.col("length") > cfg.max_image_bytes, "SIZE_EXCEEDED")
     judged = seen.withColumn("reason", reason)
     rejects = judged.filter("reason IS NOT NULL").select(F.lit("images").alias("source"), F.col("path").alias("row_ref"), "reason", F.col("length").cast("string").alias("raw"))
     return judged.filter("reason IS NULL").drop("reason"), rejects

@@ -10,6 +10,7 @@ from centwise.functions.keys import hash_of
 from centwise.functions.money import amount_to_cents
 from centwise.functions.receipt_lines import payment_to_refund_destination
 from centwise.functions.text import trim
+from centwise.sources.csv_cells import csv_cells
 
 # The commerce columns read; no address, gift or tracking column is.
 COLUMNS = [
@@ -20,20 +21,24 @@ COLUMNS = [
 
 def read_order_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(orders, order_items, rejects)."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    named = {c.strip().lstrip(chr(0xFEFF)).strip('"'): c for c in raw.columns}
+    cells = csv_cells(spark, path)
+    names = F.transform("cells", lambda c: trim(F.coalesce(c, F.lit(""))))
+    places = F.struct(*[(F.array_position(names, c) - 1).cast("int").alias(c) for c in COLUMNS])
+    # every file has its own header, whatever the order of its columns
+    heads = cells.groupBy("file").agg(F.min(F.struct("pos", places.alias("at"))).alias("head"))
 
     def col(name: str) -> Column:
-        return trim(F.coalesce(F.col(f"`{named[name]}`"), F.lit(""))) if name in named else F.lit("")
+        at = F.col(f"head.at.`{name}`")
+        return F.when(at >= 0, trim(F.coalesce(F.get("cells", at), F.lit("")))).otherwise("")
 
-    rows = raw.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), *[col(c).alias(c) for c in COLUMNS]
+    rows = cells.join(heads, "file").filter(F.col("pos") > F.col("head.pos")).select(
+        "file", "pos", F.col("head.pos").alias("start"), *[col(c).alias(c) for c in COLUMNS]
     ).filter(F.concat(*[F.col(f"`{c}`") for c in COLUMNS]) != "")
     amount_raw = F.when(F.col("Total Amount") != "", F.col("Total Amount")).otherwise(F.col("Shipment Item Subtotal"))
     quantity = F.regexp_extract("Original Quantity", r"^[-+]?[0-9]+", 0).try_cast("int")
     ship = F.when(F.col("Ship Date") == "", "unshipped").otherwise(F.coalesce(F.date_format(to_date_any(F.col("Ship Date")), "yyyy-MM-dd"), F.col("Ship Date")))
     parsed = rows.select(
-        "file", "pos", F.col("Order ID").alias("external_order_id"), amount_raw.alias("amount_raw"), amount_to_cents(amount_raw).alias("amount_cents"),
+        "file", "pos", "start", F.col("Order ID").alias("external_order_id"), amount_raw.alias("amount_raw"), amount_to_cents(amount_raw).alias("amount_cents"),
         F.col("Order Date").alias("order_date_raw"), to_date_any(F.col("Order Date")).alias("order_date"), ship.alias("shipment_id"),
         F.when(quantity > 0, quantity).otherwise(1).alias("quantity"), amount_to_cents(F.col("Unit Price")).alias("unit_price_cents"),
         payment_to_refund_destination(F.col("Payment Method Type")).alias("method"),
@@ -58,10 +63,9 @@ def read_order_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     orders = good.groupBy("file", "external_order_id").agg(
         F.sum("amount_cents").alias("order_total_cents"), F.min(F.struct("pos", "order_date", "currency")).alias("first"), F.count("*").alias("items")
     ).select("file", F.lit("amazon").alias("source"), "external_order_id", "first.order_date", "first.currency", "order_total_cents", "items")
-    starts = rows.groupBy("file").agg(F.min("pos").alias("start"))
-    bad = judged.filter("reason IS NOT NULL").join(starts, "file")
+    bad = judged.filter("reason IS NOT NULL")
     rejects = bad.select(
-        F.lit("orders").alias("source"), F.concat(F.lit("row:"), (F.col("pos") - F.col("start") + 2).cast("string")).alias("row_ref"), "reason",
+        F.lit("orders").alias("source"), F.concat(F.lit("row:"), (F.col("pos") - F.col("start") + 1).cast("string")).alias("row_ref"), "reason",
         F.concat_ws("|", "external_order_id", "order_date_raw", "amount_raw", "description").alias("raw"),
     )
     return orders, items, rejects

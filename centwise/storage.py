@@ -20,10 +20,13 @@ _fallback: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a private one where none is set (tests)."""
+    """The cluster's checkpoint folder, or a private one where none is set and all tasks run in this process."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master or 'unknown'})")
     global _fallback
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="spark-centwise-")
@@ -41,12 +44,3 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows for heavy per-row work when the input has fewer splits than there are cores.
-
-    Large inputs already have many splits and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

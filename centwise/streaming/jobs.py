@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from centwise.operators.feed import FIELDS, STATE, STATE_SCHEMA, apply_feed, known_accounts
+from centwise.operators.feed import FIELDS, STATE, STATE_SCHEMA, advancing, apply_feed, known_accounts
 from centwise.operators.load import insert_or_ignore
 from centwise.sources.feed import page_changes, stream_feed
 from centwise.storage import cut
@@ -62,11 +62,12 @@ def feed_state(spark: SparkSession, log_path: str, before_batch: int = 1 << 62)
 def sync_feed(spark: SparkSession, pages_path: str, accounts: DataFrame, log_path: str, checkpoint: str, files_per_trigger: int | None = None, after: Callable[[DataFrame, int], None] | None = None):
     """Fold landed feed pages into the log of line versions.
 
-    A batch appends only the lines it changed.  ``after`` gets the changed lines.
+    A batch appends only the lines it changed; a login whose cursor stands still
+    is folded up to that page.  ``after`` gets the changed lines.
     """
     def step(pages: DataFrame, batch_id: int) -> None:
         state = feed_state(spark, log_path, batch_id)
-        changes, _ = known_accounts(page_changes(pages), accounts)
+        changes, _ = known_accounts(page_changes(advancing(pages)), accounts)
         changes = cut(changes, "changes")
         # only lines that share an id with a change can be affected
         named = changes.select("account_id", "external_id").union(changes.select("account_id", F.col("pending_external_id"))).filter("external_id IS NOT NULL").distinct()

@@ -60,6 +60,31 @@ def test_reimport_adds_nothing(spark, tmp_path):
     assert import_source(spark, "bank", str(tmp_path / "a.csv"), ImportContext("hh")).tables == {}
 
 
+def test_cells_beyond_the_header_are_kept(spark, tmp_path):
+    wide = ",".join(["x"] * 90)
+    (tmp_path / "a.csv").write_text(f"{wide},Date,Amount,Payee\n{wide},2026-01-05,-1.00,SHOP\n{wide},2026-01-05,-1.00,SHOP,first\n{wide},2026-01-05,-1.00,SHOP,\"sec\nond, part\"\n{wide},2026-01-05,abc,SHOP,tail\n", encoding="utf-8")
+    rows, rejects = read_bank_csv(spark, str(tmp_path))
+    got = rows.collect()
+    assert [r.amount_cents for r in got] == [-100] * 3 and len({r.source_row_hash for r in got}) == 3
+    assert rejects.first().raw.endswith("|tail") and rejects.first().reason == "unparseable amount: abc"
+
+
+def test_first_row_of_a_batch_wins(spark):
+    from centwise.operators.load import insert_or_ignore
+
+    df = spark.createDataFrame([("a", "z-first"), ("a", "b-second"), ("b", "m")], "k string, v string").coalesce(1)
+    assert sorted(r.v for r in insert_or_ignore(df.limit(0), df, ["k"]).collect()) == ["m", "z-first"]
+    assert sorted(r.v for r in insert_or_ignore(df.limit(0), df, ["k"], ["v"]).collect()) == ["b-second", "m"]
+
+
+def test_order_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Order ID,Order Date,Total Amount,Product Name\n1,2024-01-02,$3.00,Pen\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Product Name,Total Amount,Order ID,Gift,Order Date\nInk,$4.50,2,no,2024-01-03\n", encoding="utf-8")
+    orders, items, rejects = read_order_history(spark, str(tmp_path))
+    assert sorted((r.external_order_id, r.order_total_cents, str(r.order_date)) for r in orders.collect()) == [("1", 300, "2024-01-02"), ("2", 450, "2024-01-03")]
+    assert sorted(r.description for r in items.collect()) == ["Ink", "Pen"] and rejects.count() == 0
+
+
 def test_missing_key_parts_never_conflict(spark):
     from centwise.operators.load import insert_or_ignore
 

@@ -130,6 +130,29 @@ def test_feed_stream_equals_batch(spark, tmp_path):
     assert feed.page_faults(stuck.withColumn("cursor", F.col("page_no").cast("string")), 1).first().reason.startswith("sync did not finish")
 
 
+def test_a_stuck_cursor_stops_its_login(spark, tmp_path):
+    def page(login, no, cursor):
+        body = {"transaction_id": f"t{no}", "account_id": "x", "amount": 1.0, "date": "2026-01-01", "name": "Shop", "pending": False, "pending_transaction_id": None}
+        return {"login_id": login, "page_no": no, "cursor": cursor, "has_more": True, "added": [body], "modified": [], "removed": []}
+
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "0.json").write_text("\n".join(map(json.dumps, [page("L", 0, "a"), page("L", 1, "a"), page("L", 2, "b"), page("M", 0, "a"), page("M", 1, "b")])))
+    accounts = spark.createDataFrame([("L", "x", "ax"), ("M", "x", "mx")], "login_id string, external_account_id string, id string")
+    jobs.sync_feed(spark, str(tmp_path / "pages"), accounts, str(tmp_path / "log"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted((r.account_id, r.external_id) for r in jobs.feed_state(spark, str(tmp_path / "log")).collect()) == [("ax", "t0"), ("mx", "t0"), ("mx", "t1")]
+
+
+def test_summary_counts_lines_that_are_gone_and_no_folded_removals(spark):
+    held = feed.apply_feed(spark.createDataFrame([], feed.STATE_SCHEMA), frame(spark, {"a": [change("added", "q", 0, 0, 100)]})).rows
+    kept = held.first().id
+    later = feed.apply_feed(held, frame(spark, {"a": [change("modified", "q", 1, 0, 300), change("removed", "q", 2, 0, None)]}))
+    matches = spark.createDataFrame([("m1", kept, "manual")], "match_id string, transaction_id string, status string")
+    assert later.rows.count() == 0 and feed.sync_summary(later, matches).first().matches_reset == 1
+    changes = spark.createDataFrame([("L", 1, "added", "x", "posted", "wait"), ("L", 1, "removed", None, "wait", None), ("L", 1, "removed", None, "other", None)], "login_id string, page_no bigint, op string, external_account_id string, external_id string, pending_external_id string")
+    accounts = spark.createDataFrame([("L", "x", "ax")], "login_id string, external_account_id string, id string")
+    assert feed.known_accounts(changes, accounts)[1].first().skipped_unknown_account == 1
+
+
 def test_restarted_batch_is_not_counted_twice(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     rows.write.parquet(str(tmp_path / "drop"))
