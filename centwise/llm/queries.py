@@ -96,7 +96,7 @@ e AS (
   UNION ALL SELECT 'pages', CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT < 4 THEN 'allow' ELSE 'block' END, 'prefix', host || regexp_replace(path, '/+$', ''), ('0x' || substr(hp, 1, 4))::BIGINT % 600 + x.n, x.action
     FROM p, (VALUES (0, 'add'), (120, 'remove')) x(n, action) WHERE path <> ''),
 d AS (SELECT list, verdict, kind, pattern, day, min(action) AS action FROM e GROUP BY ALL),
-c AS (SELECT page_id AS capture_id, host, ('0x' || substr(h, 1, 4))::BIGINT % 730 AS day, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), x -> x <> '') AS parts FROM p),
+c AS (SELECT page_id AS capture_id, host, ('0x' || substr(h, 1, 4))::BIGINT % 730 AS day, string_split(host, '.') AS labels, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
 k AS (
   SELECT capture_id, day, 'domain' AS kind, array_to_string(labels[i:], '.') AS pattern, len(labels) - i + 1 AS rank FROM c, unnest(range(1, len(labels) + 1)) t(i)
   UNION ALL SELECT capture_id, day, 'prefix', host || '/' || array_to_string(parts[:i], '/'), 1000 + i FROM c, unnest(range(1, len(parts) + 1)) t(i)),
@@ -147,30 +147,30 @@ def op10_warc_revisits(spark, d):
 OP10_SQL = r"""
 WITH t AS (SELECT page_id, url, md5(html) AS digest, length(html)::BIGINT AS size, turn, md5(page_id || '-' || turn) AS m, md5(CAST(page_id AS VARCHAR)) AS h FROM pages, unnest(range(4)) x(turn)),
 r AS (
-  SELECT page_id * 4 + turn AS record_id, turn, digest, size, ('0x' || substr(h, 1, 5))::BIGINT + CASE WHEN turn > 0 THEN ('0x' || substr(m, 1, 6))::BIGINT % 4000000 - 400000 ELSE 0 END AS at,
+  SELECT page_id * 4 + turn AS record_id, turn, digest, size, ('0x' || substr(h, 1, 5))::BIGINT + CASE WHEN turn > 0 THEN ('0x' || substr(m, 1, 6))::BIGINT % 4000000 - 400000 ELSE 0 END AS sec,
     CASE WHEN turn > 0 AND ('0x' || substr(m, 10, 1))::BIGINT < 8 AND NOT contains(url, '#') AND NOT contains(url, '?') THEN url || '?utm_medium=feed' ELSE url END AS url,
     CASE WHEN turn = 0 OR ('0x' || substr(m, 9, 1))::BIGINT < 8 THEN '"' || substr(md5(url), 1, 12) || '"' WHEN ('0x' || substr(m, 9, 1))::BIGINT < 10 THEN 'W/"' || substr(md5(url), 1, 12) || '"' WHEN ('0x' || substr(m, 9, 1))::BIGINT < 12 THEN '"other"' END AS etag
   FROM t),
 q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)?$', '') AS host,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), p -> p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM r),
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM r),
 c AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM q),
-j AS (SELECT v.*, b.record_id AS response_id, b.digest AS b_digest, b.size AS b_size, b.etag AS b_etag, b.at AS b_at,
-    row_number() OVER (PARTITION BY v.record_id ORDER BY b.at DESC, b.record_id DESC) AS place
-  FROM c v LEFT JOIN c b ON b.turn = 0 AND b.canonical = v.canonical AND b.at < v.at WHERE v.turn > 0),
+j AS (SELECT v.*, b.record_id AS response_id, b.digest AS b_digest, b.size AS b_size, b.etag AS b_etag, b.sec AS b_sec,
+    row_number() OVER (PARTITION BY v.record_id ORDER BY b.sec DESC, b.record_id DESC) AS place
+  FROM c v LEFT JOIN c b ON b.turn = 0 AND b.canonical = v.canonical AND b.sec < v.sec WHERE v.turn > 0),
 s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN etag IS NULL THEN 'unverified' WHEN replace(etag, 'W/', '') = replace(b_etag, 'W/', '') THEN 'resolved' ELSE 'changed' END AS status FROM j WHERE place = 1)
 SELECT record_id, canonical, response_id, status, CASE WHEN status = 'resolved' THEN b_digest END AS digest, CASE WHEN status = 'resolved' THEN b_size END AS size,
-  CASE WHEN status = 'resolved' THEN etag END AS etag, CASE WHEN status = 'resolved' THEN at::VARCHAR END AS date, CASE WHEN status = 'resolved' THEN b_size::VARCHAR END AS content_length FROM s"""
+  CASE WHEN status = 'resolved' THEN etag END AS etag, CASE WHEN status = 'resolved' THEN sec::VARCHAR END AS date, CASE WHEN status = 'resolved' THEN b_size::VARCHAR END AS content_length FROM s"""
 
 OP1_SQL = r"""
-WITH l AS (SELECT doc_id, i - 1 AS line_no, list_filter(string_split_regex(lower(lines[i]), '[\x09-\x0D\x20]+'), t -> t <> '') AS raw
+WITH l AS (SELECT doc_id, i - 1 AS line_no, list_filter(string_split_regex(lower(lines[i]), '[\x09-\x0D\x20]+'), lambda t: t <> '') AS raw
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d, unnest(range(1, len(lines) + 1)) u(i)),
 t AS (SELECT doc_id, line_no, list_sort(list_distinct(raw)) AS tokens FROM l WHERE len(raw) > 0),
-c AS (SELECT row_number() OVER (ORDER BY at) AS id, * FROM (SELECT tokens, len(tokens) AS n, min((doc_id, line_no)) AS at FROM t GROUP BY tokens)),
-x AS (SELECT id, n, at, unnest(tokens) AS token FROM c),
-p AS (SELECT a.id AS early, b.id AS late, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.token = b.token AND a.at < b.at AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+c AS (SELECT row_number() OVER (ORDER BY pos) AS id, * FROM (SELECT tokens, len(tokens) AS n, min((doc_id, line_no)) AS pos FROM t GROUP BY tokens)),
+x AS (SELECT id, n, pos, unnest(tokens) AS token FROM c),
+p AS (SELECT a.id AS early, b.id AS late, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.token = b.token AND a.pos < b.pos AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
 gone AS (SELECT DISTINCT late FROM p WHERE 100 * k >= 80 * (na + nb - k)),
-k AS (SELECT at[1] AS doc_id, at[2] AS line_no FROM c WHERE id NOT IN (SELECT late FROM gone)),
+k AS (SELECT pos[1] AS doc_id, pos[2] AS line_no FROM c WHERE id NOT IN (SELECT late FROM gone)),
 g AS (SELECT doc_id, count(*) AS n_kept, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS kept FROM k GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_lines FROM t GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept, md5(coalesce(kept, '')) AS kept_md5

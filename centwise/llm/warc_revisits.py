@@ -23,8 +23,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _plain(headers: Column) -> Column:
-    """Field names in lower case; of a field given twice the last counts."""
-    lower = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
+    """Field names in lower case; of a field spelled in several ways the last spelling in order counts."""
+    lower = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
     last = F.filter(lower, lambda e, i: F.forall(F.slice(lower, i + 2, F.size(lower)), lambda later: later["key"] != e["key"]))
     return F.coalesce(F.map_from_entries(last), F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
 
