@@ -15,12 +15,12 @@ from centwise.sources.tables import Inputs, load_inputs
 PCT = "CAST(floor(confidence * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS confidence_pct"
 
 
-def inputs(spark, d) -> Inputs:
+def inputs(spark, d, household_id: str | None = None) -> Inputs:
     def t(name: str):
         return household(spark, d, name)
 
     return load_inputs(
-        t("transactions"), t("orders"), t("order_items"), t("receipts"), t("receipt_items"), t("store_credit"), confirmed=t("confirmed"),
+        t("transactions"), t("orders"), t("order_items"), t("receipts"), t("receipt_items"), t("store_credit"), confirmed=t("confirmed"), household_id=household_id,
     )
 
 
@@ -163,6 +163,13 @@ def net_spend(spark, d):
     return rollup.net_spend(engine.reconcile(inputs(spark, d)).events)
 
 
+@query("scoped_net_spend", "SELECT household_id, CAST(sum(signed_spend_cents) AS BIGINT) AS net_spend_cents FROM e_events WHERE household_id = (SELECT arg_max(household_id, {n: n, h: household_id}) FROM (SELECT household_id, count(*) AS n FROM v_tx GROUP BY 1)) GROUP BY 1")
+def scoped_net_spend(spark, d):
+    """The engine run for one household alone, the one with the most bank lines."""
+    busiest = household(spark, d, "transactions").groupBy("household_id").count().orderBy(F.desc("count"), F.desc("household_id")).first()
+    return rollup.net_spend(engine.reconcile(inputs(spark, d, busiest["household_id"])).events)
+
+
 @query("unmatched_sets", "SELECT * FROM e_unmatched")
 def unmatched_sets(spark, d):
     i = inputs(spark, d)

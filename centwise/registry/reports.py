@@ -66,7 +66,10 @@ SELECT household_id, 'new_recurring_charge' AS code, merchant AS subject,
   CAST(NULL AS BIGINT) AS comparison_cents, 'new subscription first seen ' || min(month) || ', within last 3 months' AS basis, false AS inconclusive
 FROM r_seen GROUP BY household_id, merchant, latest HAVING min(month) >= strftime(CAST(latest || '-01' AS DATE) - INTERVAL 2 MONTH, '%Y-%m')""")
 _FLAG = """household_id, code, subject, observed_cents, comparison_cents,
-  CASE WHEN comparison_cents IS NOT NULL THEN CAST(floor((observed_cents - comparison_cents) / CAST(comparison_cents AS DOUBLE) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS delta_pct, basis, inconclusive"""
+  CASE WHEN comparison_cents IS NOT NULL THEN CAST(floor((observed_cents - comparison_cents) / CAST(comparison_cents AS DOUBLE) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS delta_pct, basis, inconclusive,
+  CASE code WHEN 'merchant_above_avg' THEN CASE WHEN inconclusive THEN 'Insufficient history to compare ' || subject || ' spend' ELSE subject || ' spend this month is above the 3-month average' END
+    WHEN 'category_tracking_over' THEN CASE WHEN inconclusive THEN 'No meaningful prior-month baseline to compare ' || subject || ' spend' ELSE subject || ' spend is tracking above last month' END
+    ELSE 'New recurring charge for ' || subject || ' detected' END AS message"""
 
 
 def _ledger(spark, d):
@@ -94,26 +97,26 @@ def merchant_month_spend(spark, d):
 @query("insight_merchant_above_average", f"SELECT {_FLAG} FROM r_above")
 def insight_merchant_above_average(spark, d):
     ledger = _ledger(spark, d)
-    return insights.merchant_above_average(ledger.events, ledger.items).drop("message")
+    return insights.merchant_above_average(ledger.events, ledger.items)
 
 
 @query("insight_category_over_last_month", f"SELECT {_FLAG} FROM r_over")
 def insight_category_over_last_month(spark, d):
     ledger = _ledger(spark, d)
-    return insights.category_over_last_month(_rollup(ledger), ledger.events).drop("message")
+    return insights.category_over_last_month(_rollup(ledger), ledger.events)
 
 
 @query("insight_new_recurring", f"SELECT {_FLAG} FROM r_new")
 def insight_new_recurring(spark, d):
     ledger = _ledger(spark, d)
-    return insights.new_recurring_charge(ledger.events, recurring.detect_recurring(ledger.events, ledger.items)).drop("message")
+    return insights.new_recurring_charge(ledger.events, recurring.detect_recurring(ledger.events, ledger.items))
 
 
 @query("insights", f"SELECT {_FLAG} FROM (SELECT * FROM r_above UNION ALL SELECT * FROM r_over UNION ALL SELECT * FROM r_new)")
 def all_insights(spark, d):
     ledger = _ledger(spark, d)
     found = recurring.detect_recurring(ledger.events, ledger.items)
-    return insights.derive_insights(ledger.events, ledger.items, _rollup(ledger), found).drop("message")
+    return insights.derive_insights(ledger.events, ledger.items, _rollup(ledger), found)
 
 
 @query("latest_month", "SELECT * FROM r_latest")

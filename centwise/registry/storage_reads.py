@@ -181,6 +181,14 @@ def ambiguous_groups(spark, d):
     return reads.ambiguous_groups(household(spark, d, "matches"), household(spark, d, "transactions"))
 
 
+@query("ambiguous_candidates", """
+SELECT m.household_id, m.id, transaction_id, order_item_id, receipt_item_id, receipt_id, order_id, 'ambiguous' AS status, confidence AS confidence_pct, method
+FROM v_matches m JOIN v_tx t ON t.id = m.transaction_id WHERE m.status = 'pending'""")
+def ambiguous_candidates(spark, d):
+    out = reads.ambiguous_candidates(household(spark, d, "matches"), household(spark, d, "transactions"))
+    return out.withColumn("confidence_pct", to_pct(F.col("confidence"))).drop("confidence")
+
+
 fragment("q_unmatched", "SELECT * FROM v_tx WHERE NOT pending AND id NOT IN (SELECT transaction_id FROM v_matches)")
 
 
