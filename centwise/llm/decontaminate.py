@@ -16,6 +16,8 @@ SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Alignment score over the score of the whole item copied word for word.
 THRESHOLD = 0.5
+#: Places where an item may start are taken together by so many words.
+STEP = 8
 #: Bits of the filter that items' n-grams are sent to the tasks in: 512 KB, however many items there are.
 FILTER_BITS = 22
 
@@ -31,28 +33,52 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return shingles(words, SEED_WORDS) if len(words) >= SEED_WORDS else words[:0]
 
 
-def _hits(bitmap: bytes):
+def _found(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = grams & np.uint64(2**FILTER_BITS - 1)
+    return np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _surroundings(bitmap: bytes):
+    """Each n-gram that may be an item's, with a hash of the words before and after it, once for a batch."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hashes = np.frombuffer(bitmap, np.uint8), WordHashes(strip=True)
         for batch in rows(batches):
-            ids, at, gram, around = [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
+            seen = []
+            for text in texts(batch, "text"):
                 words = hashes(text)
                 grams = _grams(words)
-                slot = grams & np.uint64(2**FILTER_BITS - 1)
-                found = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                if len(found) and doc_id is not None:
+                if len(at := _found(grams, bits)):
                     edge = np.concatenate([[np.uint64(0)], words, [np.uint64(0)]])
-                    ids.append(np.full(len(found), doc_id))
-                    at.append(found)
-                    gram.append(grams[found].view(np.int64))
-                    around.append((edge[found] * np.uint64(3) + edge[found + SEED_WORDS + 1]).view(np.int64))
-            columns = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in (ids, at, gram, around)]
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["doc_id", "at", "gram", "around"])
+                    seen.append(np.stack([grams[at], edge[at] * np.uint64(3) + edge[at + SEED_WORDS + 1]]))
+            pairs = np.unique(np.concatenate(seen, axis=1), axis=1).view(np.int64) if seen else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["gram", "around"])
 
     return find
 
 
+def _windows(bitmap: bytes, reach: int):
+    """Stretches of a document's words within ``reach`` of a possible seed, with the places of the seeds."""
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = np.frombuffer(bitmap, np.uint8), WordHashes(strip=True)
+        for batch in rows(batches):
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
+                if doc_id is None:
+                    continue
+                words = hashes(text)
+                grams = _grams(words)
+                at = _found(grams, bits)
+                for group in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1) if len(at) else []:
+                    first = max(0, int(group[0]) - reach)
+                    out.append((doc_id, first, words[first : int(group[-1]) + reach].view(np.int64), group, grams[group].view(np.int64)))
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "first", "words", "at", "grams"])
+
+    return cut_out
+
+
 def align(item: np.ndarray, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of ``item`` in each row of ``windows`` (padded to one length), and the word it ends at.
 
@@ -78,30 +104,38 @@ def align(item: np.ndarray, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes(strip=True)
     for batch in rows(batches, 64):
         out = []
-        for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), batch.column("found").to_pylist(), strict=True):
-            words = hashes(text)
+        for doc_id, first, stretch, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "words", "found")), strict=True):
+            words = np.array(stretch, np.int64).view(np.uint64)
             for place in found:
                 item = np.array(place["words"], np.int64).view(np.uint64)
                 # edits move the passage by at most the item's length either way
-                starts = np.unique(np.clip(np.array(place["starts"]), -len(item), max(0, len(words) - 1)))
-                low = np.maximum(0, starts - len(item))
-                windows = [words[a : a + 3 * len(item)] for a in low.tolist()]
-                for first in range(0, len(windows), 256):
-                    part = windows[first : first + 256]
+                low = np.maximum(0, np.unique(np.array(place["starts"])) - first - len(item))
+                windows = [words[a : a + 3 * len(item) + STEP] for a in low.tolist()]
+                for k in range(0, len(windows), 256):
+                    part = windows[k : k + 256]
                     sizes = np.array(list(map(len, part)))
-                    block = np.zeros((len(part), int(sizes.max(initial=1)) or 1), np.uint64)
+                    block = np.zeros((len(part), max(1, int(sizes.max()))), np.uint64)
                     for i, w in enumerate(part):
                         block[i, : len(w)] = w
                     score, end = align(item, block, sizes)
                     top = int(score.argmax())
-                    out.append((doc_id, place["item_id"], float(score[top]) / (MATCH * len(item)), int(low[first + top] + end[top])))
+                    out.append((doc_id, place["item_id"], float(score[top]) / (MATCH * len(item)), first + int(low[k + top] + end[top])))
         names, kinds = ["doc_id", "item_id", "score", "last_word"], [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
 
 
+def _bitmap(grams: DataFrame) -> bytes:
+    """The slots of all ``gram``s; at most 2^22 / 32 rows come to the driver."""
+    slot = F.col("gram").bitwiseAND(2**FILTER_BITS - 1)
+    words = grams.select(F.shiftright(slot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(31).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    bitmap = np.zeros(2 ** (FILTER_BITS - 5), "<u4")
+    for word, bits in words:
+        bitmap[word] = bits
+    return bitmap.tobytes()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, last_word) for every document of ``docs`` (doc_id, text) that holds an item of ``benchmark`` (item_id, text).
 
@@ -109,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     the rarer half of its word trigrams, by the number of different surroundings
     a trigram has in all documents; so copies of one leaked passage, however
     many, don't make its trigrams common.  A document that shares a seed is
-    aligned around it; ``score`` is the alignment's score over that of the item
+    aligned around it, and only the words around seeds are shuffled; ``score`` is the alignment's score over that of the item
     copied whole, and ``last_word`` is where the best alignment ends.
 
     Items of fewer than three words and null texts match nothing; null ids are
@@ -118,22 +152,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     items = cut(benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_seeds, "item_id bigint, words array<bigint>, grams array<bigint>").where("size(grams) > 0").withColumn("text_no", F.xxhash64("words")), "items")
     grams = items.select("item_id", "text_no", F.posexplode("grams").alias("place", "gram"))
-    slot = F.col("gram").bitwiseAND(2**FILTER_BITS - 1)
-    # at most 2^22 / 32 rows
-    words = grams.select(F.shiftright(slot, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(31).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    bitmap = np.zeros(2 ** (FILTER_BITS - 5), np.uint32)
-    for word, bits in words:
-        bitmap[word] = bits
     given = docs.select("doc_id", "text")
-    hits = cut(given.mapInArrow(_hits(bitmap.astype("<u4").tobytes()), "doc_id bigint, at bigint, gram bigint, around bigint"), "hits")
-    common = hits.select("gram", "around").distinct().groupBy("gram").agg(F.count("*").alias("surroundings"))
+    seen = cut(given.select("text").mapInArrow(_surroundings(_bitmap(grams)), "gram bigint, around bigint").distinct(), "seen")
+    common = seen.groupBy("gram").agg(F.count("*").alias("surroundings"))
     ranked = grams.join(common, "gram").groupBy("item_id", "text_no").agg(F.array_sort(F.collect_list(F.struct("surroundings", "place", "gram"))).alias("by_rarity"))
     # of the trigrams found in any document, as many as half of all the item has
     half = F.ceil(F.size("grams") / 2).cast("int")
-    seeds = items.join(ranked, ["item_id", "text_no"]).select("item_id", "text_no", F.explode(F.slice("by_rarity", 1, half)).alias("seed")).select("item_id", "text_no", "seed.place", "seed.gram")
-    starts = hits.join(seeds, "gram").groupBy("doc_id", "item_id", "text_no").agg(F.collect_set(F.floor((F.col("at") - F.col("place")) / 8) * 8).alias("starts"))
-    found = starts.join(items.select("item_id", "text_no", "words"), ["item_id", "text_no"]).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "starts")).alias("found"))
-    aligned = cut(found, "found").join(given, "doc_id").select("doc_id", "text", "found").mapInArrow(_aligned, "doc_id bigint, item_id bigint, score double, last_word bigint")
+    seeds = cut(items.join(ranked, ["item_id", "text_no"]).select("item_id", "text_no", F.explode(F.slice("by_rarity", 1, half)).alias("seed")).select("item_id", "text_no", "seed.place", "seed.gram"), "seeds")
+    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    windows = cut(given.mapInArrow(_windows(_bitmap(seeds), 3 * (longest + STEP)), "doc_id bigint, first bigint, words array<bigint>, at array<bigint>, grams array<bigint>"), "windows")
+    hits = windows.select("doc_id", "first", F.explode(F.arrays_zip("at", "grams")).alias("hit")).select("doc_id", "first", "hit.at", F.col("hit.grams").alias("gram"))
+    starts = hits.join(seeds, "gram").groupBy("doc_id", "first", "item_id", "text_no").agg(F.collect_set(F.floor((F.col("at") - F.col("place")) / STEP) * STEP).alias("starts"))
+    found = starts.join(items.select("item_id", "text_no", "words"), ["item_id", "text_no"]).groupBy("doc_id", "first").agg(F.collect_list(F.struct("item_id", "words", "starts")).alias("found"))
+    aligned = found.join(windows.select("doc_id", "first", "words"), ["doc_id", "first"]).select("doc_id", "first", "words", "found").mapInArrow(_aligned, "doc_id bigint, item_id bigint, score double, last_word bigint")
     best = aligned.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("last_word")).alias("last"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.last")).alias("last_word"))
 

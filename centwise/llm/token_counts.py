@@ -9,14 +9,14 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from centwise.llm.tokens import rows
+from centwise.llm.tokens import Remembered, rows
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown character scores this much below the lowest piece; fixed value of the tokenizer.
 UNKNOWN_PENALTY = 10.0
-#: Segments up to this many characters are remembered, and so many of them; neither changes a result.
-SHORT, REMEMBERED = 48, 300_000
+#: Characters of segments that a worker remembers before it starts anew; changes no result.
+REMEMBERED = 8_000_000
 
 
 class UnigramCounter:
@@ -35,7 +35,8 @@ class UnigramCounter:
         self.matcher.make_automaton()
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.byte_fallback, self.known = byte_fallback, {}
+        self.byte_fallback = byte_fallback
+        self.known, self.scores, self.held = Remembered(self._count), {}, 0
 
     def segment(self, text: str) -> tuple[int, float]:
         size = len(text)
@@ -84,19 +85,17 @@ class UnigramCounter:
         text = text.replace(" ", SPACE)
         if text[0] == SPACE:
             text = text[1:]
-        pieces, total = 0, 0.0
-        known = self.known
-        for word in text.split(SPACE):
-            got = known.get(word)
-            if got is None:
-                got = self.segment(SPACE + word)
-                if len(word) <= SHORT:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[word] = got
-            pieces += got[0]
-            total += got[1]
-        return pieces, total
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.scores.clear()
+            self.held = 0
+        words = text.split(SPACE)
+        return sum(map(self.known.__getitem__, words)), sum(map(self.scores.__getitem__, words))
+
+    def _count(self, word: str) -> int:
+        pieces, self.scores[word] = self.segment(SPACE + word)
+        self.held += len(word) + 20
+        return pieces
 
 
 @lru_cache(maxsize=4)

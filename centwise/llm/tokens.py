@@ -13,23 +13,28 @@ REMEMBERED = 300_000
 EDGES = b".,;:!?\"'()[]{}<>*|"
 
 
+class Remembered(dict):
+    """A function of a word, worked out once for each word."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, word):
+        self[word] = value = self.function(word)
+        return value
+
+
 class WordHashes:
     """64-bit hash of each lower-cased word; words are runs without ASCII white space."""
 
     def __init__(self, strip: bool = False):
-        self.strip, self.known = strip, {}
+        self.known = Remembered((lambda w: xxhash.xxh3_64_intdigest(w.strip(EDGES))) if strip else xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = text.lower().split() if text else []  # bytes: A-Z only, and ASCII white space only
-        try:
-            return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for w in words:
-                if w not in self.known:
-                    self.known[w] = xxhash.xxh3_64_intdigest(w.strip(EDGES) if self.strip else w)
-            return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from centwise.llm.tokens import rows
+from centwise.llm.tokens import REMEMBERED, Remembered, rows
 from centwise.storage import cut
 
 #: Labelled rows the model is fitted on at most, the first by a hash of doc_id; terms of the learned lexicon at most.
@@ -50,9 +50,9 @@ def held_out(doc_id: Column | str) -> Column:
 class Measure:
     """Dense features of a text; every distinct word is looked at once and remembered."""
 
-    def __init__(self, lexicon: dict[str, float], remembered: int = 300_000):
-        self.lexicon, self.remembered = lexicon, remembered
-        self.known: dict[str, int] = {}
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        self.known = Remembered(self._profile)
         self.profiles: dict[tuple, int] = {}
         self.table: np.ndarray | None = None
 
@@ -72,14 +72,11 @@ class Measure:
         if not words:
             return [0.0] * len(FEATURES)
         known = self.known
-        if len(known) > self.remembered:
+        if len(known) > REMEMBERED:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._profile(w)
+        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         if self.table is None or len(self.table) < len(self.profiles):
             self.table = np.array(list(self.profiles), float)
-        codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         seen, where, times = np.unique(codes, return_inverse=True, return_counts=True)
         found = self.table[seen]
         total, n = times @ found, len(words)

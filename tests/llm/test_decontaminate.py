@@ -64,6 +64,12 @@ def test_a_passage_in_a_third_of_all_documents_is_still_found(spark):
     assert {r.doc_id for r in found} >= set(range(0, 300, 3))
 
 
+def test_short_items(spark):
+    docs = [(i, " ".join([f"f{k}" for k in range(i)] + ["uno", "due", "tre"] + [f"g{k}" for k in range(20)])) for i in range(20)]
+    found = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, "uno due tre")], "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.score, r.last_word) for r in found) == [(i, 1.0, i + 2) for i in range(20)]
+
+
 def test_nulls_repeats_and_other_columns(spark):
     item = "alpha beta gamma delta epsilon zeta"
     b = spark.createDataFrame([(1, item, 0), (1, item, 0), (2, "x y", 0), (3, None, 0), (None, item, 0), (4, "", 0), (5, item, 0)], "item_id bigint, text string, score int")
