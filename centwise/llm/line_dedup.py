@@ -15,18 +15,19 @@ PERCENT = 80
 RARITY_BITS = 16
 #: Rarest tokens of a line that are first looked up for their earliest holder; changes no result.
 HOLDERS = 6
-SPACE = "[\\x09-\\x0D\\x20]+"
+BLANKS = "\t\n\x0b\f\r "
+SPACE = f"[{BLANKS}]+"
 _HASH = 2**57 - 1
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda t: t != "")
+    return F.split(F.lower(F.btrim(line, F.lit(BLANKS))), SPACE)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, line_no, line) of every line that isn't blank."""
     known = docs.select(_doc(docs).alias("doc"), F.posexplode(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return known.where(F.trim("line") != "")
+    return known.where(F.btrim("line", F.lit(BLANKS)) != "")
 
 
 def _doc(docs: DataFrame) -> Column:
@@ -61,8 +62,9 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     level = _rarity(docs)
     # rare tokens first: level above the hash
-    code = lambda t: (lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))(F.xxhash64(t))
-    coded = _lines(docs).select("doc", "line_no", F.sort_array(F.array_distinct(F.transform(_tokens(F.col("line")), code))).alias("tokens")).where("size(tokens) > 0")
+    code = lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+    hashes = F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t)))
+    coded = _lines(docs).select("doc", "line_no", F.sort_array(F.transform(hashes, code)).alias("tokens"))
     n = F.size("tokens")
     # a partner has this many tokens in common at least: percent of the larger set
     prefix = n - F.ceil(n * percent / 100).cast("int") + 1
@@ -99,8 +101,9 @@ def _jaccard(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array("early_at", "late_at")).alias("at")).distinct()
     wanted = ends.groupBy("at.doc").agg(F.collect_set("at.line_no").alias("numbers"))
     texts = docs.select(_doc(docs).alias("doc"), "text").join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
-    sets = texts.select(F.struct("doc", "line_no").alias("at"), F.array_distinct(_tokens(F.get("lines", F.col("line_no")))).alias("tokens")).where("size(tokens) > 0")
-    sets = cut(sets.select("at", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")), "line-sets")
+    # rows of one doc_id may have texts of different length
+    known = texts.select(F.struct("doc", "line_no").alias("at"), F.get("lines", F.col("line_no")).alias("line")).where(F.btrim("line", F.lit(BLANKS)) != "")
+    sets = cut(known.select("at", F.transform(F.array_distinct(_tokens(F.col("line"))), lambda t: F.xxhash64(t)).alias("tokens")), "line-sets")
     both = pairs.join(sets.toDF("early_at", "early"), "early_at").join(sets.toDF("late_at", "late"), "late_at")
     common = F.size(F.array_intersect("early", "late"))
     return both.where(100 * common >= percent * (F.size("early") + F.size("late") - common)).select("late_at").distinct()
@@ -111,16 +114,19 @@ def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = cut(line_classes(docs, percent), "line-classes")
     # each line against the earliest holder of its rarest tokens: most copies are settled by these, without pairs of copies
     holder = F.struct("doc", "line_no", "n", "low", "high", "i")
+    rare = _entries(classes, HOLDERS).where("i % 2 = 1 OR n <= 10")
     ordered = Window.partitionBy("token").orderBy("doc", "line_no")
-    first = _entries(classes, HOLDERS).select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
+    first = rare.select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
     near = cut(first.select(_at("x").alias("early_at"), _at("y").alias("late_at")).distinct(), "line-pairs")
     settled = cut(_jaccard(near, docs, percent), "line-matches")
-    # then whatever is left against all: the shorter line's tokens up to the place where the pair must have met, the longer one's whole prefix
+    # then whatever is left against all; a shorter line's tokens count up to the place where the pair must have met.  That condition
+    # names both sides, so it stays in the join and both sides read one exchange
     marked = classes.join(settled.select("late_at.doc", "late_at.line_no", F.lit(True).alias("known")), ["doc", "line_no"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    met = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
-    x, y = _entries(marked, met, "known").alias("x"), _entries(marked, F.size("rarest"), "known").alias("y")
+    entries = _entries(marked, F.size("rarest"), "known")
+    x, y = entries.alias("x"), entries.alias("y")
     forward = F.expr(_earlier("x", "y"))
-    alike = F.expr(f"x.token = y.token AND (x.n < y.n OR (x.n = y.n AND {_earlier('x', 'y')})) AND {_could_match('x', 'y', percent)} AND NOT if({_earlier('x', 'y')}, y.known, x.known)")
+    met = f"x.i <= least(x.n, y.n) - ceil(2 * {percent} * least(x.n, y.n) / {100 + percent}D)"
+    alike = F.expr(f"x.token = y.token AND (x.n < y.n OR (x.n = y.n AND {_earlier('x', 'y')})) AND {met} AND {_could_match('x', 'y', percent)} AND NOT if({_earlier('x', 'y')}, y.known, x.known)")
     pairs = x.join(y, alike).select(F.when(forward, _at("x")).otherwise(_at("y")).alias("early_at"), F.when(forward, _at("y")).otherwise(_at("x")).alias("late_at"))
     rest = cut(pairs.distinct().join(near, ["early_at", "late_at"], "left_anti"), "line-pairs")
     matched = settled.union(_jaccard(rest, docs, percent)).distinct()
@@ -149,7 +155,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = kept_lines(docs, percent).select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept"))
     joined = docs.withColumn("_key", _doc(docs)).join(kept, F.col("_key") == F.col("_doc"), "left")
     lines = F.split("text", "\n", -1)
-    stay = F.filter(lines, lambda line, i: (F.size(F.filter(F.split(line, SPACE), lambda t: t != "")) == 0) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
+    stay = F.filter(lines, lambda line, i: (F.btrim(line, F.lit(BLANKS)) == "") | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
     text = F.array_join(stay, "\n")
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
@@ -159,7 +165,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, kept for each row of ``docs``: lines that aren't blank, and the numbers of those that stay; as ``dedup_lines``."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line, i: F.when(F.rlike(line, F.lit("[^\\x09-\\x0D\\x20]")), i)), lambda i: i.isNotNull())
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line, i: F.when(F.btrim(line, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull())
     given = docs.select("doc_id", _doc(docs).alias("_key"), F.size(lines).alias("n_lines"))
     kept = kept_lines(docs, percent).withColumnRenamed("doc", "_key")
     return given.join(kept, "_key", "left").select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
