@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from centwise.storage import cut
+from centwise.storage import Rounds, cut
 
 KEY = "household_id"
 
@@ -21,6 +21,7 @@ def greedy_pairs(edges: DataFrame, left: str, right: str, order: list[Column]) -
     alive = cut(edges.withColumn("_rank", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])), "edges")
     columns = edges.columns
     accepted: DataFrame | None = None
+    rounds = Rounds(alive.sparkSession, "round")
     while True:
         first = F.min(F.struct("_rank", F.col(left).alias("l"), F.col(right).alias("r"))).alias("b")
         by_left = alive.groupBy(KEY, left).agg(first).select(KEY, F.col("b.l").alias(left), F.col("b.r").alias(right))
@@ -31,10 +32,8 @@ def greedy_pairs(edges: DataFrame, left: str, right: str, order: list[Column]) -
         labelled = alive.join(won_left, [KEY, left], "left").join(won_right, [KEY, right], "left")
         taken = F.coalesce(F.col("_won_right") == F.col(right), F.lit(False))
         free = F.col("_won_right").isNull() & F.col("_won_left").isNull()
-        step = cut(labelled.filter(taken | free).select(*columns, "_rank", taken.alias("_taken")), "round")
-        won = step.filter("_taken").select(*columns)
-        accepted = won if accepted is None else accepted.unionByName(won)
-        alive = step.filter("NOT _taken").drop("_taken")
+        won, alive = rounds.put(labelled.filter(taken | free).select(*columns, "_rank", taken.alias("_taken")), "_taken")
+        accepted = won.select(*columns) if accepted is None else accepted.unionByName(won.select(*columns))
         if alive.isEmpty():
             return accepted
 
@@ -44,6 +43,7 @@ def greedy_sets(candidates: DataFrame, ident: str, members: str, order: list[Col
     alive = cut(candidates.withColumn("_rank", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])), "sets")
     columns = candidates.columns
     accepted: DataFrame | None = None
+    rounds = Rounds(alive.sparkSession, "round")
     while True:
         claims = alive.select(KEY, ident, "_rank", F.size(members).alias("_n"), F.explode(members).alias("_member"))
         best = claims.groupBy(KEY, "_member").agg(F.min(F.struct("_rank", F.col(ident).alias("i"), F.col("_n").alias("n"))).alias("b"))
@@ -55,9 +55,7 @@ def greedy_sets(candidates: DataFrame, ident: str, members: str, order: list[Col
         touched = claims.join(claimed, [KEY, "_member"]).select(KEY, ident).distinct().withColumn("_touched", F.lit(True))
         labelled = alive.join(winners, [KEY, ident], "left").join(touched, [KEY, ident], "left")
         taken = F.coalesce("_won", F.lit(False))
-        step = cut(labelled.filter(taken | F.col("_touched").isNull()).select(*columns, "_rank", taken.alias("_taken")), "round")
-        won = step.filter("_taken").select(*columns)
-        accepted = won if accepted is None else accepted.unionByName(won)
-        alive = step.filter("NOT _taken").drop("_taken")
+        won, alive = rounds.put(labelled.filter(taken | F.col("_touched").isNull()).select(*columns, "_rank", taken.alias("_taken")), "_taken")
+        accepted = won.select(*columns) if accepted is None else accepted.unionByName(won.select(*columns))
         if alive.isEmpty():
             return accepted

@@ -54,7 +54,10 @@ def _chains(state: DataFrame, changes: DataFrame) -> DataFrame:
     label = cut(both.groupBy("account_id", "a").agg(F.min(F.least("a", "b")).alias("chain")), "chains")
     while True:
         near = both.join(label.select("account_id", F.col("a").alias("b"), "chain"), ["account_id", "b"]).groupBy("account_id", "a").agg(F.min("chain").alias("seen"))
-        step = cut(label.join(near, ["account_id", "a"]).select("account_id", "a", F.least("chain", "seen").alias("chain"), (F.col("seen") < F.col("chain")).alias("moved")), "chains")
+        # and on to what the label itself is labelled with, so a chain's length doubles with every round
+        beyond = label.select("account_id", F.col("a").alias("seen"), F.col("chain").alias("beyond"))
+        least = F.least("chain", "seen", "beyond")
+        step = cut(label.join(near, ["account_id", "a"]).join(beyond, ["account_id", "seen"], "left").select("account_id", "a", least.alias("chain"), (least < F.col("chain")).alias("moved")), "chains")
         label = step.drop("moved")
         if step.filter("moved").isEmpty():
             return label.withColumnRenamed("a", "external_id")

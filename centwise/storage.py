@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _fallback: str | None = None
 
@@ -44,3 +44,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables that a loop writes in turn: what a round settled stays, what it left open goes when the next round is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.last = spark, name, None
+
+    def put(self, df: DataFrame, settled: str) -> tuple[DataFrame, DataFrame]:
+        """(rows where the boolean ``settled`` is true, the others), both without that column."""
+        path = new_path(self.spark, self.name)
+        df.withColumn("_settled", F.col(settled).cast("int")).drop(settled).write.partitionBy("_settled").parquet(path)
+        written = self.spark.read.schema(T.StructType([*df.drop(settled).schema.fields, T.StructField("_settled", T.IntegerType())])).parquet(path)
+        if self.last is not None:
+            delete(self.spark, f"{self.last}/_settled=0")
+        self.last = path
+        return written.filter("_settled = 1").drop("_settled"), written.filter("_settled = 0").drop("_settled")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
