@@ -26,6 +26,39 @@ SELECT 'L' || (user_id // 25) AS login_id, event_id // 50 AS page_no, CASE event
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS kk FROM events)""")
 
 
+# changes of the reported accounts in feed order; a change stands at its place among its page's changes of one kind
+fragment("f_seq", """
+SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY page_no, phase, pos, ext) AS i
+FROM (SELECT 'acct-' || user_id AS account_id, event_id // 50 AS page_no, phase, row_number() OVER (PARTITION BY user_id // 25, event_id // 50, phase ORDER BY event_id) - 1 AS pos,
+        CASE phase WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'removed' END AS op, 'e' || user_id || '-' || kk AS ext, CAST(ts AS DATE) AS posted,
+        -CAST(floor(value * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS cents, 'Shop #' || kk AS raw, event_type = 'signup' AS pending,
+        CASE WHEN event_type = 'purchase' THEN 'e' || user_id || '-' || ((kk + 1) % 100) END AS pend, user_id
+      FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS kk, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS phase FROM events))
+WHERE user_id NOT IN (SELECT user_id FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) = 'error')""")
+# one change of every account at a time, with the account's live lines as a list
+fragment("f_walk", """
+SELECT DISTINCT account_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(id VARCHAR, ext VARCHAR, posted DATE, cents BIGINT, raw VARCHAR, pending BOOLEAN, pend VARCHAR)[]) AS live,
+  CAST(-1 AS BIGINT) AS page, CAST([] AS VARCHAR[]) AS replaced, CAST(NULL AS VARCHAR) AS what, CAST(NULL AS VARCHAR) AS reset_id FROM f_seq
+UNION ALL
+SELECT account_id, i,
+  CASE act WHEN 'deleted' THEN list_filter(live, lambda x: x.ext <> ext)
+    WHEN 'changed' THEN list_append(list_filter(live, lambda x: x.ext <> ext), {id: held.id, ext: ext, posted: posted, cents: cents, raw: raw, pending: pending, pend: pend})
+    WHEN 'resolved' THEN list_append(list_filter(live, lambda x: x.ext <> pend), {id: waiting.id, ext: ext, posted: posted, cents: cents, raw: raw, pending: pending, pend: pend})
+    WHEN 'new' THEN list_append(live, {id: 'tx-' || sha256(account_id || '|' || ext || '|' || page_no || '|' || pos), ext: ext, posted: posted, cents: cents, raw: raw, pending: pending, pend: pend})
+    ELSE live END,
+  page_no, CASE act WHEN 'resolved' THEN list_append(replaced, pend) ELSE replaced END,
+  CASE act WHEN 'changed' THEN 'modified' WHEN 'new' THEN op ELSE act END,
+  CASE WHEN act = 'changed' AND (held.cents IS DISTINCT FROM cents OR held.posted IS DISTINCT FROM posted) THEN held.id WHEN act = 'resolved' AND waiting.cents IS DISTINCT FROM cents THEN waiting.id END
+FROM (SELECT *, CASE WHEN op = 'removed' THEN CASE WHEN held IS NOT NULL AND NOT list_contains(replaced, ext) THEN 'deleted' END
+        WHEN held IS NOT NULL THEN CASE WHEN op = 'modified' THEN 'changed' END
+        WHEN len(list_filter(live, lambda x: x.pend = ext)) > 0 THEN NULL WHEN waiting IS NOT NULL THEN 'resolved' ELSE 'new' END AS act
+  FROM (SELECT c.*, w.live, CASE WHEN w.page = c.page_no THEN w.replaced ELSE [] END AS replaced, list_filter(w.live, lambda x: x.ext = c.ext)[1] AS held, list_filter(w.live, lambda x: x.ext = c.pend)[1] AS waiting
+    FROM f_walk w JOIN f_seq c ON c.account_id = w.account_id AND c.i = w.i + 1))""")
+fragment("f_lines", """
+SELECT r.id, account_id, r.ext AS external_id, r.posted AS posted_date, r.cents AS amount_cents, r.raw AS raw_merchant, 'SHOP' AS normalized_merchant, r.pending, r.pend AS pending_external_id, 'GENERAL' AS category_hint
+FROM (SELECT account_id, unnest(arg_max(live, i)) AS r FROM f_walk GROUP BY account_id)""")
+
+
 def _pages(spark, d):
     e = derived.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     user = F.col("user_id").cast("string")
@@ -79,19 +112,23 @@ def _applied(spark, d):
     return feed.apply_feed(spark.createDataFrame([], feed.STATE_SCHEMA), changes)
 
 
-@query("feed_lines")
+@query("feed_lines", "SELECT * FROM f_lines")
 def feed_lines(spark, d):
     return _applied(spark, d).rows
 
 
-@query("feed_sync_summary")
+@query("feed_sync_summary", """
+SELECT account_id, coalesce(added, 0) AS added, coalesce(modified, 0) AS modified, coalesce(removed, 0) AS removed, coalesce(pending_resolved, 0) AS pending_resolved, coalesce(matches_reset, 0) AS matches_reset
+FROM (SELECT account_id, count(*) FILTER (what = 'added') AS added, count(*) FILTER (what = 'modified') AS modified, count(*) FILTER (what = 'deleted') AS removed, count(*) FILTER (what = 'resolved') AS pending_resolved
+      FROM f_walk WHERE what IS NOT NULL GROUP BY 1)
+FULL JOIN (SELECT account_id, count(*) AS matches_reset FROM f_lines WHERE NOT pending AND id IN (SELECT reset_id FROM f_walk WHERE reset_id IS NOT NULL) GROUP BY 1) USING (account_id)""")
 def feed_sync_summary(spark, d):
     result = _applied(spark, d)
     linked = result.rows.select(F.concat(F.lit("m-"), "id").alias("match_id"), F.col("id").alias("transaction_id"), F.when(F.col("pending"), "pending").otherwise("manual").alias("status"))
     return feed.sync_summary(result, linked)
 
 
-@query("feed_withdrawn_matches")
+@query("feed_withdrawn_matches", "SELECT 'm-' || id AS match_id, id AS transaction_id, 'manual' AS status FROM f_lines WHERE id NOT IN (SELECT reset_id FROM f_walk WHERE reset_id IS NOT NULL)")
 def feed_withdrawn_matches(spark, d):
     result = _applied(spark, d)
     linked = result.rows.select(F.concat(F.lit("m-"), "id").alias("match_id"), F.col("id").alias("transaction_id"), F.lit("manual").alias("status"))
@@ -122,7 +159,7 @@ def feed_accounts(spark, d):
     return feed.upsert_accounts(known, reported).select("login_id", "external_account_id", F.col("id").startswith("old-").alias("was_known"), "name", "type")
 
 
-@query("feed_stream_lines")
+@query("feed_stream_lines", "SELECT * FROM f_lines")
 def feed_stream_lines(spark, d):
     """The feed landed in three parts, each followed by a streaming run; equals ``feed_lines``."""
     pages, log, checkpoint = new_path(spark, "pages"), new_path(spark, "lines-log"), new_path(spark, "stream")
