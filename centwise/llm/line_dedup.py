@@ -15,6 +15,8 @@ PERCENT = 80
 RARITY_BITS = 16
 #: Rarest tokens of a line that are first looked up for their earliest holder; changes no result.
 HOLDERS = 6
+#: Bits of the filter for lines whose full sets are needed; its size is bounded: 32 bits to a number.
+FILTER_BITS = 19
 BLANKS = "\t\n\x0b\f\r "
 SPACE = f"[{BLANKS}]+"
 _HASH = 2**57 - 1
@@ -76,8 +78,10 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _entries(classes: DataFrame, size, *more: str) -> DataFrame:
-    """One row for each of a class's ``size`` rarest tokens."""
-    return classes.select("doc", "line_no", "n", "low", "high", *more, F.posexplode(F.slice("rarest", 1, size)).alias("i", "token"))
+    """One row for each of a class's ``size`` rarest tokens; ``before`` is the token before it in that order."""
+    size = F.least(size, F.size("rarest"))
+    placed = F.posexplode(F.arrays_zip(F.slice("rarest", 1, size).alias("token"), F.concat(F.array(F.lit(-1).cast("bigint")), F.slice("rarest", 1, size - 1)).alias("before")))
+    return classes.select("doc", "line_no", "n", "low", "high", *more, placed.alias("i", "t")).select("doc", "line_no", "n", "low", "high", *more, "i", "t.token", "t.before")
 
 
 def _could_match(x: str, y: str, percent: int) -> str:
@@ -96,14 +100,32 @@ def _at(side: str) -> Column:
     return F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.line_no").alias("line_no"))
 
 
+def _among(keys: DataFrame) -> Callable[[Column, Column], Column]:
+    """A test of (doc, line_no) that holds for all of ``keys`` and few others: a bitmap of fixed size, however many keys there are."""
+    slot = lambda doc, line_no: F.xxhash64(doc, line_no).bitwiseAND(2**FILTER_BITS - 1)
+    own = keys.select(slot(F.col("doc"), F.col("line_no")).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(31).cast("int"))
+    # at most 2^FILTER_BITS / 32 rows
+    words = own.groupBy(F.shiftright("slot", 5).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    bitmap = [0] * 2 ** (FILTER_BITS - 5)
+    for r in words:
+        bitmap[r["word"]] = r["bits"]
+    table = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
+
+    def holds(doc: Column, line_no: Column) -> Column:
+        at = slot(doc, line_no)
+        return F.call_function("getbit", F.get(table, F.shiftright(at, 5).cast("int")), at.bitwiseAND(31).cast("int")) == 1
+
+    return holds
+
+
 def _jaccard(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (early, late) classes of ``pairs`` (early_at, late_at, ...) that reach ``percent`` on full sets."""
-    ends = pairs.select(F.explode(F.array("early_at", "late_at")).alias("at")).distinct()
-    wanted = ends.groupBy("at.doc").agg(F.collect_set("at.line_no").alias("numbers"))
-    texts = docs.select(_doc(docs).alias("doc"), "text").join(wanted, "doc").select("doc", F.explode("numbers").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
-    # rows of one doc_id may have texts of different length
-    known = texts.select(F.struct("doc", "line_no").alias("at"), F.get("lines", F.col("line_no")).alias("line")).where(F.btrim("line", F.lit(BLANKS)) != "")
-    sets = cut(known.select("at", F.transform(F.array_distinct(_tokens(F.col("line"))), lambda t: F.xxhash64(t)).alias("tokens")), "line-sets")
+    """The late classes of ``pairs`` (early_at, late_at) that reach ``percent`` with their early one, on full sets."""
+    ends = cut(pairs.select(F.col("early_at").alias("at")).union(pairs.select("late_at")).distinct().select("at.doc", "at.line_no"), "line-ends")
+    among = _among(ends)
+    # the filter comes before the shuffle; the join makes it exact
+    some = _lines(docs).where(among(F.col("doc"), F.col("line_no"))).select("doc", "line_no", F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))).alias("tokens"))
+    sets = cut(some.join(ends, ["doc", "line_no"]).select(F.struct("doc", "line_no").alias("at"), "tokens"), "line-sets")
     both = pairs.join(sets.toDF("early_at", "early"), "early_at").join(sets.toDF("late_at", "late"), "late_at")
     common = F.size(F.array_intersect("early", "late"))
     return both.where(100 * common >= percent * (F.size("early") + F.size("late") - common)).select("late_at").distinct()
@@ -114,7 +136,7 @@ def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = cut(line_classes(docs, percent), "line-classes")
     # each line against the earliest holder of its rarest tokens: most copies are settled by these, without pairs of copies
     holder = F.struct("doc", "line_no", "n", "low", "high", "i")
-    rare = _entries(classes, HOLDERS).where("i % 2 = 1 OR n <= 10")
+    rare = _entries(classes, F.lit(HOLDERS)).where("i % 2 = 1 OR n <= 10")
     ordered = Window.partitionBy("token").orderBy("doc", "line_no")
     first = rare.select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
     near = cut(first.select(_at("x").alias("early_at"), _at("y").alias("late_at")).distinct(), "line-pairs")
@@ -125,8 +147,9 @@ def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = _entries(marked, F.size("rarest"), "known")
     x, y = entries.alias("x"), entries.alias("y")
     forward = F.expr(_earlier("x", "y"))
+    # where the tokens before are equal as well, the pair has met on those
     met = f"x.i <= least(x.n, y.n) - ceil(2 * {percent} * least(x.n, y.n) / {100 + percent}D)"
-    alike = F.expr(f"x.token = y.token AND (x.n < y.n OR (x.n = y.n AND {_earlier('x', 'y')})) AND {met} AND {_could_match('x', 'y', percent)} AND NOT if({_earlier('x', 'y')}, y.known, x.known)")
+    alike = F.expr(f"x.token = y.token AND (x.n < y.n OR (x.n = y.n AND {_earlier('x', 'y')})) AND {met} AND (x.before <> y.before OR x.before = -1) AND {_could_match('x', 'y', percent)} AND NOT if({_earlier('x', 'y')}, y.known, x.known)")
     pairs = x.join(y, alike).select(F.when(forward, _at("x")).otherwise(_at("y")).alias("early_at"), F.when(forward, _at("y")).otherwise(_at("x")).alias("late_at"))
     rest = cut(pairs.distinct().join(near, ["early_at", "late_at"], "left_anti"), "line-pairs")
     matched = settled.union(_jaccard(rest, docs, percent)).distinct()
