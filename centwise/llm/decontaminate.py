@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from centwise.llm.tokens import WordHashes, rows, shingles, texts
+from centwise.llm.tokens import WordHashes, rows, shingles, texts, without
 from centwise.storage import cut
 
 SEED_WORDS = 3
@@ -171,5 +171,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold an item of ``benchmark``; columns as given."""
-    gone = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, contaminated(docs, benchmark, threshold))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from centwise.llm.components import connected_components
-from centwise.llm.tokens import WordHashes, rows, shingles, texts
+from centwise.llm.tokens import WordHashes, rows, shingles, texts, without
 from centwise.storage import cut
 
 #: 24 bands of 4 minima: a pair at similarity 0.85 shares no band once in fifty million.
@@ -193,5 +193,4 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: in
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` without the documents for which an earlier member of their group stays; columns as given."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, near_duplicates(docs, percent).where("NOT kept"))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words a worker remembers the hash of; the memory is emptied when it is full, which changes no result.
 REMEMBERED = 300_000
@@ -49,6 +51,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id); columns as given, a null doc_id stays.
+
+    The ids grow with the documents, so both sides are shuffled at every size.
+    """
+    gone = ids.select(F.col("doc_id").alias("_gone")).distinct().hint("merge")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 

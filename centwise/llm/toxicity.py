@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from centwise.llm.tokens import REMEMBERED, Remembered, rows
+from centwise.llm.tokens import REMEMBERED, Remembered, rows, without
 from centwise.storage import cut
 
 #: Labelled rows the model is fitted on at most, the first by a hash of doc_id; terms of the learned lexicon at most.
@@ -172,5 +172,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that reach ``threshold``; columns as given."""
-    rejected = toxicity(docs, labels, threshold).where("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_gone"], "left_anti")
+    return without(docs, toxicity(docs, labels, threshold).where("predicted = 1"))
