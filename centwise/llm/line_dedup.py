@@ -11,12 +11,12 @@ from centwise.storage import cut
 
 #: Jaccard similarity of token sets in percent.
 PERCENT = 80
-#: Rarity is kept for this many groups of tokens, so its size is bounded: one small number each.
+#: Tokens are counted in this many groups, so what is kept of rarity is bounded: one small number each.
 RARITY_BITS = 16
 #: Rarest tokens of a line that are first looked up for their earliest holder; changes no result.
-HOLDERS = 6
+HOLDERS = 4
 #: Bits of the filter for lines whose full sets are needed; its size is bounded: 32 bits to a number.
-FILTER_BITS = 19
+FILTER_BITS = 20
 BLANKS = "\t\n\x0b\f\r "
 SPACE = f"[{BLANKS}]+"
 _HASH = 2**57 - 1
@@ -39,15 +39,14 @@ def _doc(docs: DataFrame) -> Column:
 def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """Token hash -> 0 to 63, growing with its frequency.
 
-    Frequencies are exact, over all documents; then each of 2^RARITY_BITS groups
-    of tokens keeps the largest of its tokens' frequencies, as a logarithm.  Any
-    fixed order of tokens gives a right join; this one never takes a frequent
-    token for a rare one, and its size does not grow with the data.
+    Tokens are counted over all documents in 2^RARITY_BITS groups by their hash,
+    and a token's level is the logarithm of its group's count.  Any fixed order of
+    tokens gives a right join; this one never takes a frequent token for a rare
+    one, and its size does not grow with the data.
     """
     token = F.explode(F.split(F.lower(F.coalesce(docs["text"], F.lit(""))), SPACE)).alias("token")
-    counts = docs.select(token).groupBy(F.xxhash64("token").alias("hash")).count()
-    group = F.col("hash").bitwiseAND(2**RARITY_BITS - 1).cast("int")
-    largest = counts.groupBy(group.alias("group")).agg(F.least(F.lit(63), F.floor(2 * F.log2(F.max("count")))).cast("int").alias("level")).collect()
+    group = F.xxhash64("token").bitwiseAND(2**RARITY_BITS - 1).cast("int").alias("group")
+    largest = docs.select(token).groupBy(group).agg(F.least(F.lit(63), F.floor(2 * F.log2(F.count("*")))).cast("int").alias("level")).collect()
     levels = [0] * 2**RARITY_BITS
     for r in largest:
         levels[r["group"]] = r["level"]
@@ -77,27 +76,39 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return first.select("at.doc", "at.line_no", "n", "rarest", "low", "high")
 
 
-def _entries(classes: DataFrame, size, *more: str) -> DataFrame:
-    """One row for each of a class's ``size`` rarest tokens; ``before`` is the token before it in that order."""
+def _entries(classes: DataFrame, size, known: Column | None = None) -> DataFrame:
+    """One row for each of a class's ``size`` rarest tokens, kept small: ``line`` is the line number and whether the
+    class is settled, ``set`` the set's size and the token's place, ``before`` the token before it."""
     size = F.least(size, F.size("rarest"))
-    placed = F.posexplode(F.arrays_zip(F.slice("rarest", 1, size).alias("token"), F.concat(F.array(F.lit(-1).cast("bigint")), F.slice("rarest", 1, size - 1)).alias("before")))
-    return classes.select("doc", "line_no", "n", "low", "high", *more, placed.alias("i", "t")).select("doc", "line_no", "n", "low", "high", *more, "i", "t.token", "t.before")
+    placed = F.posexplode(F.arrays_zip(F.slice("rarest", 1, size).alias("token"), F.concat(F.array(F.lit(0).cast("bigint")), F.slice("rarest", 1, size - 1)).alias("before")))
+    line = F.shiftleft(F.col("line_no").cast("bigint"), 1) + (F.lit(0) if known is None else known.cast("bigint"))
+    exploded = classes.select("doc", line.alias("line"), "n", "low", "high", placed.alias("i", "t"))
+    return exploded.select("doc", "line", (F.shiftleft(F.col("n").cast("bigint"), 31) + F.col("i")).alias("set"), "low", "high", "t.token", F.when(F.col("i") > 0, F.col("t.before")).alias("before"))
 
 
 def _could_match(x: str, y: str, percent: int) -> str:
     """Length, parity and positional filters on two entries of one token; no pair at ``percent`` fails one."""
-    need = f"ceil({percent} * ({x}.n + {y}.n) / {100 + percent}D)"
-    return f"""100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)
-        AND bit_count({x}.low ^ {y}.low) + bit_count({x}.high ^ {y}.high) <= {x}.n + {y}.n - 2 * {need}
-        AND 1 + least({x}.n - {x}.i - 1, {y}.n - {y}.i - 1) + least({x}.i, {y}.i) >= {need}"""
+    nx, ny, ix, iy = _n(x), _n(y), _i(x), _i(y)
+    need = f"ceil({percent} * ({nx} + {ny}) / {100 + percent}D)"
+    return f"""100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})
+        AND bit_count({x}.low ^ {y}.low) + bit_count({x}.high ^ {y}.high) <= {nx} + {ny} - 2 * {need}
+        AND 1 + least({nx} - {ix} - 1, {ny} - {iy} - 1) + least({ix}, {iy}) >= {need}"""
+
+
+def _n(side: str) -> str:
+    return f"shiftright({side}.set, 31)"
+
+
+def _i(side: str) -> str:
+    return f"({side}.set & 2147483647)"
 
 
 def _earlier(x: str, y: str) -> str:
-    return f"({x}.doc < {y}.doc OR ({x}.doc = {y}.doc AND {x}.line_no < {y}.line_no))"
+    return f"({x}.doc < {y}.doc OR ({x}.doc = {y}.doc AND shiftright({x}.line, 1) < shiftright({y}.line, 1)))"
 
 
 def _at(side: str) -> Column:
-    return F.struct(F.col(f"{side}.doc").alias("doc"), F.col(f"{side}.line_no").alias("line_no"))
+    return F.struct(F.col(f"{side}.doc").alias("doc"), F.shiftright(F.col(f"{side}.line"), 1).cast("int").alias("line_no"))
 
 
 def _among(keys: DataFrame) -> Callable[[Column, Column], Column]:
@@ -135,21 +146,23 @@ def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc, line_no) of the lines that stay: first of their token set, and like no earlier line."""
     classes = cut(line_classes(docs, percent), "line-classes")
     # each line against the earliest holder of its rarest tokens: most copies are settled by these, without pairs of copies
-    holder = F.struct("doc", "line_no", "n", "low", "high", "i")
-    rare = _entries(classes, F.lit(HOLDERS)).where("i % 2 = 1 OR n <= 10")
-    ordered = Window.partitionBy("token").orderBy("doc", "line_no")
+    holder = F.struct("doc", "line", "set", "low", "high")
+    rare = _entries(classes, F.lit(HOLDERS)).where("set & 2147483647 IN (1, 3) OR shiftright(set, 31) <= 10")
+    ordered = Window.partitionBy("token").orderBy("doc", "line")
     first = rare.select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
     near = cut(first.select(_at("x").alias("early_at"), _at("y").alias("late_at")).distinct(), "line-pairs")
     settled = cut(_jaccard(near, docs, percent), "line-matches")
     # then whatever is left against all; a shorter line's tokens count up to the place where the pair must have met.  That condition
     # names both sides, so it stays in the join and both sides read one exchange
     marked = classes.join(settled.select("late_at.doc", "late_at.line_no", F.lit(True).alias("known")), ["doc", "line_no"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    entries = _entries(marked, F.size("rarest"), "known")
+    entries = _entries(marked, F.size("rarest"), F.col("known"))
     x, y = entries.alias("x"), entries.alias("y")
     forward = F.expr(_earlier("x", "y"))
     # where the tokens before are equal as well, the pair has met on those
-    met = f"x.i <= least(x.n, y.n) - ceil(2 * {percent} * least(x.n, y.n) / {100 + percent}D)"
-    alike = F.expr(f"x.token = y.token AND (x.n < y.n OR (x.n = y.n AND {_earlier('x', 'y')})) AND {met} AND (x.before <> y.before OR x.before = -1) AND {_could_match('x', 'y', percent)} AND NOT if({_earlier('x', 'y')}, y.known, x.known)")
+    met = f"{_i('x')} <= least({_n('x')}, {_n('y')}) - ceil(2 * {percent} * least({_n('x')}, {_n('y')}) / {100 + percent}D)"
+    shorter = f"({_n('x')} < {_n('y')} OR ({_n('x')} = {_n('y')} AND {_earlier('x', 'y')}))"
+    open_ = f"NOT if({_earlier('x', 'y')}, y.line & 1 = 1, x.line & 1 = 1)"
+    alike = F.expr(f"x.token = y.token AND {shorter} AND {met} AND (x.before <> y.before OR x.before IS NULL OR y.before IS NULL) AND {_could_match('x', 'y', percent)} AND {open_}")
     pairs = x.join(y, alike).select(F.when(forward, _at("x")).otherwise(_at("y")).alias("early_at"), F.when(forward, _at("y")).otherwise(_at("x")).alias("late_at"))
     rest = cut(pairs.distinct().join(near, ["early_at", "late_at"], "left_anti"), "line-pairs")
     matched = settled.union(_jaccard(rest, docs, percent)).distinct()
