@@ -14,7 +14,7 @@ PERCENT = 80
 #: Tokens are counted in this many groups, so what is kept of rarity is bounded: one small number each.
 RARITY_BITS = 16
 #: Rarest tokens of a line that are first looked up for their earliest holder; changes no result.
-HOLDERS = 4
+HOLDERS = 6
 #: Bits of the filter for lines whose full sets are needed; its size is bounded: 32 bits to a number.
 FILTER_BITS = 20
 BLANKS = "\t\n\x0b\f\r "
@@ -147,7 +147,7 @@ def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = cut(line_classes(docs, percent), "line-classes")
     # each line against the earliest holder of its rarest tokens: most copies are settled by these, without pairs of copies
     holder = F.struct("doc", "line", "set", "low", "high")
-    rare = _entries(classes, F.lit(HOLDERS)).where("set & 2147483647 IN (1, 3) OR shiftright(set, 31) <= 10")
+    rare = _entries(classes, F.lit(HOLDERS))
     ordered = Window.partitionBy("token").orderBy("doc", "line")
     first = rare.select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
     near = cut(first.select(_at("x").alias("early_at"), _at("y").alias("late_at")).distinct(), "line-pairs")
