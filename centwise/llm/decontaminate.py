@@ -1,4 +1,4 @@
-"""Benchmark passages in training texts: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark passages in training texts: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -38,25 +38,6 @@ def _found(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
 
 
-def _surroundings(bitmap: bytes):
-    """Each n-gram that may be an item's, with a hash of the words before and after it, once for a batch."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes = np.frombuffer(bitmap, np.uint8), WordHashes(strip=True)
-        for batch in rows(batches):
-            seen = []
-            for text in texts(batch, "text"):
-                words = hashes(text)
-                grams = _grams(words)
-                if len(at := _found(grams, bits)):
-                    edge = np.concatenate([[np.uint64(0)], words, [np.uint64(0)]])
-                    seen.append(np.stack([grams[at], edge[at] * np.uint64(3) + edge[at + SEED_WORDS + 1]]))
-            pairs = np.unique(np.concatenate(seen, axis=1), axis=1).view(np.int64) if seen else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["gram", "around"])
-
-    return find
-
-
 def _windows(bitmap: bytes, reach: int):
     """Stretches of a document's words within ``reach`` of a possible seed, with the places of the seeds."""
 
@@ -103,27 +84,32 @@ def align(item: np.ndarray, windows: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return best, end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows(batches, 64):
-        out = []
-        for doc_id, first, stretch, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "words", "found")), strict=True):
-            words = np.array(stretch, np.int64).view(np.uint64)
-            for place in found:
-                item = np.array(place["words"], np.int64).view(np.uint64)
-                # edits move the passage by at most the item's length either way
-                low = np.maximum(0, np.unique(np.array(place["starts"])) - first - len(item))
-                windows = [words[a : a + 3 * len(item) + STEP] for a in low.tolist()]
-                for k in range(0, len(windows), 256):
-                    part = windows[k : k + 256]
-                    sizes = np.array(list(map(len, part)))
-                    block = np.zeros((len(part), max(1, int(sizes.max()))), np.uint64)
-                    for i, w in enumerate(part):
-                        block[i, : len(w)] = w
-                    score, end = align(item, block, sizes)
-                    top = int(score.argmax())
-                    out.append((doc_id, place["item_id"], float(score[top]) / (MATCH * len(item)), first + int(low[k + top] + end[top])))
-        names, kinds = ["doc_id", "item_id", "score", "last_word"], [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+def _aligned(threshold: float):
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 64):
+            out = []
+            for doc_id, first, stretch, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "words", "found")), strict=True):
+                words = np.array(stretch, np.int64).view(np.uint64)
+                for place in found:
+                    item = np.array(place["words"], np.int64).view(np.uint64)
+                    # edits move the passage by at most the item's length either way
+                    low = np.maximum(0, np.unique(np.array(place["starts"])) - first - len(item))
+                    windows = [(a, words[a : a + 3 * len(item) + STEP]) for a in low.tolist()]
+                    # no alignment scores more than the item's words that are there at all
+                    windows = [(a, w) for a, w in windows if np.count_nonzero(np.isin(item, w)) / len(item) >= threshold]
+                    for k in range(0, len(windows), 256):
+                        starts, part = zip(*windows[k : k + 256], strict=True)
+                        sizes = np.array(list(map(len, part)))
+                        block = np.zeros((len(part), max(1, int(sizes.max()))), np.uint64)
+                        for i, w in enumerate(part):
+                            block[i, : len(w)] = w
+                        score, end = align(item, block, sizes)
+                        top = int(score.argmax())
+                        out.append((doc_id, place["item_id"], float(score[top]) / (MATCH * len(item)), first + int(starts[top] + end[top])))
+            names, kinds = ["doc_id", "item_id", "score", "last_word"], [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    return aligned
 
 
 def _bitmap(grams: DataFrame) -> bytes:
@@ -139,32 +125,26 @@ def _bitmap(grams: DataFrame) -> bytes:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, last_word) for every document of ``docs`` (doc_id, text) that holds an item of ``benchmark`` (item_id, text).
 
-    Words are compared without case and outer punctuation.  Seeds of an item are
-    the rarer half of its word trigrams, by the number of different surroundings
-    a trigram has in all documents; so copies of one leaked passage, however
-    many, don't make its trigrams common.  A document that shares a seed is
-    aligned around it, and only the words around seeds are shuffled; ``score`` is the alignment's score over that of the item
-    copied whole, and ``last_word`` is where the best alignment ends.
+    Words are compared without case and outer punctuation.  Every word trigram of
+    an item is a seed, so no copy of it, exact or edited, takes seeds from another.
+    A document that shares a seed is aligned around it, and only the words around
+    seeds are shuffled; ``score`` is the alignment's score over that of the item
+    copied whole, and ``last_word`` is where the best alignment ends.  An edited
+    copy that keeps no three words in a row shares no seed.
 
     Items of fewer than three words and null texts match nothing; null ids are
     not reported; rows with equal doc_id are one document, with equal item_id one
     item with several texts, the best score counts; no rows on a side give no rows.
     """
     items = cut(benchmark.select("item_id", "text").where("item_id IS NOT NULL").mapInArrow(_seeds, "item_id bigint, words array<bigint>, grams array<bigint>").where("size(grams) > 0").withColumn("text_no", F.xxhash64("words")), "items")
-    grams = items.select("item_id", "text_no", F.posexplode("grams").alias("place", "gram"))
+    seeds = items.select("item_id", "text_no", F.posexplode("grams").alias("place", "gram"))
     given = docs.select("doc_id", "text")
-    seen = cut(given.select("text").mapInArrow(_surroundings(_bitmap(grams)), "gram bigint, around bigint").distinct(), "seen")
-    common = seen.groupBy("gram").agg(F.count("*").alias("surroundings"))
-    ranked = grams.join(common, "gram").groupBy("item_id", "text_no").agg(F.array_sort(F.collect_list(F.struct("surroundings", "place", "gram"))).alias("by_rarity"))
-    # of the trigrams found in any document, as many as half of all the item has
-    half = F.ceil(F.size("grams") / 2).cast("int")
-    seeds = cut(items.join(ranked, ["item_id", "text_no"]).select("item_id", "text_no", F.explode(F.slice("by_rarity", 1, half)).alias("seed")).select("item_id", "text_no", "seed.place", "seed.gram"), "seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     windows = cut(given.mapInArrow(_windows(_bitmap(seeds), 3 * (longest + STEP)), "doc_id bigint, first bigint, words array<bigint>, at array<bigint>, grams array<bigint>"), "windows")
     hits = windows.select("doc_id", "first", F.explode(F.arrays_zip("at", "grams")).alias("hit")).select("doc_id", "first", "hit.at", F.col("hit.grams").alias("gram"))
     starts = hits.join(seeds, "gram").groupBy("doc_id", "first", "item_id", "text_no").agg(F.collect_set(F.floor((F.col("at") - F.col("place")) / STEP) * STEP).alias("starts"))
     found = starts.join(items.select("item_id", "text_no", "words"), ["item_id", "text_no"]).groupBy("doc_id", "first").agg(F.collect_list(F.struct("item_id", "words", "starts")).alias("found"))
-    aligned = found.join(windows.select("doc_id", "first", "words"), ["doc_id", "first"]).select("doc_id", "first", "words", "found").mapInArrow(_aligned, "doc_id bigint, item_id bigint, score double, last_word bigint")
+    aligned = found.join(windows.select("doc_id", "first", "words"), ["doc_id", "first"]).select("doc_id", "first", "words", "found").mapInArrow(_aligned(threshold), "doc_id bigint, item_id bigint, score double, last_word bigint")
     best = aligned.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("last_word")).alias("last"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.last")).alias("last_word"))
 

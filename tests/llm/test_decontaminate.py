@@ -64,6 +64,18 @@ def test_a_passage_in_a_third_of_all_documents_is_still_found(spark):
     assert {r.doc_id for r in found} >= set(range(0, 300, 3))
 
 
+def test_exact_and_edited_copies_of_one_item_together(spark):
+    r, docs, want = random.Random(8), [], set()
+    items = [(i, [f"i{i}w{k}" for k in range(38)]) for i in range(30)]
+    for i, words in items:
+        copies = [words, words, [f"n{r.random()}" if k % 4 == i % 4 else w for k, w in enumerate(words)], [f"n{r.random()}" for _ in range(18)] + words[18:]]
+        for copy in copies:
+            want.add((len(docs), i))
+            docs.append((len(docs), " ".join([f"a{r.random()}" for _ in range(50)] + copy + [f"b{r.random()}" for _ in range(50)])))
+    found = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_short_items(spark):
     docs = [(i, " ".join([f"f{k}" for k in range(i)] + ["uno", "due", "tre"] + [f"g{k}" for k in range(20)])) for i in range(20)]
     found = contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, "uno due tre")], "item_id bigint, text string")).collect()
