@@ -168,6 +168,55 @@ def _block_links(cosine: float):
     return count
 
 
+def _within_reach(cosine: float):
+    """Pairs of dense components whose balls (centre, radius) are near enough to hold a link between them, both ways."""
+
+    def pairs(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size in set(a["vector"].map(len)) & set(b["vector"].map(len)):
+            x, y = a[a["vector"].map(len) == size], b[b["vector"].map(len) == size]
+            apart = np.arccos(np.clip(np.stack(x["vector"].to_list()) @ np.stack(y["vector"].to_list()).T, -1.0, 1.0))
+            reach = x["radius"].to_numpy()[:, None] + y["radius"].to_numpy()[None, :] + np.arccos(np.clip(cosine, -1.0, 1.0)) + SLACK
+            i, j = np.nonzero((apart <= reach) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None, :]))
+            out.append(pd.DataFrame({"label": x["label"].to_numpy()[i], "component": x["component"].to_numpy()[i], "other": y["component"].to_numpy()[j]}))
+        return pd.concat(out) if out else pd.DataFrame({"label": [], "component": [], "other": []}).astype("int64")
+
+    return pairs
+
+
+def _crossing(blocked: DataFrame, cosine: float) -> DataFrame:
+    """(node, links, component, other): links from each vector of a dense component into another one, counted.
+
+    Two groups whose lists are all full of nearer vectors have no link in any
+    list.  Only components whose balls come within the threshold are compared.
+    """
+    placed = blocked.withColumn("size", F.size("vector"))
+    centres = placed.groupBy("label", "component", "size").agg(F.min_by("vector", "node").alias("centre"))
+    dot = F.aggregate(F.zip_with("vector", "centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    balls = placed.join(centres, ["label", "component", "size"]).groupBy("label", "component", "size").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min(dot)))).alias("radius"), F.first("centre").alias("vector"))
+    parts = balls.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    balls = cut(balls.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("component", "size"), F.col("parts")).cast("int")), "balls")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    a = balls.select("label", F.col("part").alias("x"), F.explode(every).alias("y"), "component", "radius", "vector")
+    b = balls.select("label", F.explode(every).alias("x"), F.col("part").alias("y"), "component", "radius", "vector")
+    b = b.toDF(*b.columns)
+    keys = ["label", "x", "y"]
+    near = cut(a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(_within_reach(cosine), "label int, component bigint, other bigint").distinct(), "pairs")
+    sizes = blocked.select("label", "component", "blocks").distinct()
+    pairs = near.join(sizes, ["label", "component"]).join(sizes.toDF("label", "other", "other_blocks"), ["label", "other"])
+    left = pairs.join(blocked.drop("blocks"), ["label", "component"]).select("label", "component", "other", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("y"), "node", "copies", "vector")
+    right = pairs.join(blocked.drop("blocks").withColumnRenamed("component", "other"), ["label", "other"]).select("label", "component", "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("block").alias("y"), "node", "copies", "vector")
+    keys = ["label", "component", "other", "x", "y"]
+    count = _block_links(cosine)
+
+    def crossing(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = count(key, a, b)
+        return found[found["links"] > 0].assign(component=key[1], other=key[2])
+
+    right = right.toDF(*right.columns)  # columns of its own, as both sides come from the same pairs
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(crossing, "node bigint, links bigint, component bigint, other bigint")
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
@@ -179,7 +228,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     In the last round lists are twice as long.  Where a list is then still
     full of close neighbours, the links of its vector are counted exactly: its
     component is cut into blocks and blocks are compared with each other, which
-    emits counts, not pairs.
+    emits counts, not pairs; so are the blocks of two such components whose
+    vectors may be near enough, and components that are linked become one.
 
     Null, zero, ragged or non-finite vectors and null labels link with nothing;
     vectors of different length don't link.  A row with a null vec_id is
@@ -217,7 +267,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFr
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = blocked.select("label", "component", F.col("block").alias("x"), F.explode(every).alias("y"), "node", "rep", "copies", "vector")
     right = blocked.select("label", "component", F.explode(every).alias("x"), F.col("block").alias("y"), "node", "rep", "copies", "vector")
-    exact = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_links(cosine), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("exact"))
+    inside = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_links(cosine), "node bigint, links bigint")
+    across = cut(_crossing(blocked, cosine), "across")
+    exact = inside.union(across.select("node", "links")).groupBy("node").agg(F.sum("links").alias("exact"))
+    joined = connected_components(across.select(F.col("component").alias("a"), F.col("other").alias("b")).distinct())
+    groups = groups.join(joined.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     counted = links.groupBy("node").agg(F.sum("copies_b").alias("listed"))
     label = cut(nodes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "node", "left").join(exact, "node", "left").select("label", "vector_key", (F.coalesce("exact", "listed", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"), F.coalesce("component", "rep").alias("component")), "labels")
     whole = unit.select("vec_id", "label", "vector_key").join(label, ["label", "vector_key"], "left")

@@ -48,6 +48,21 @@ def test_equals_every_pair_with_a_dense_group(spark):
     assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)
 
 
+def test_links_between_groups_that_fill_each_others_lists(spark):
+    n, r = np.random.default_rng(5), random.Random(5)
+    ids = r.sample(range(10_000), 2000)
+    u, v, w = np.linalg.qr(n.standard_normal((64, 3)))[0].T
+    side = np.sqrt(1 - 0.986**2)
+    bases = [u, 0.986 * u + side * v, 0.986 * u + side * w, -u]  # the second and third are 0.972 apart
+    rows = [(ids.pop(), (b + n.standard_normal(64) * 0.0015).tolist(), 1) for b in bases for _ in range(40)]
+    rows += [(ids.pop(), u.tolist(), 1)] * 1 + [(ids.pop(), (u * 3).tolist(), 1)] + [(ids.pop(), (u + n.standard_normal(64) * 0.0015).tolist(), 2) for _ in range(40)]
+    rows += [(ids.pop(), n.standard_normal(64).tolist(), r.randint(1, 2)) for _ in range(300)]
+    want = plain(rows)
+    assert sorted({k for k, _, _ in want.values()}) == [0, 39, 81, 121]
+    got = {row.vec_id: tuple(row)[1:] for row in near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
+
+
 def test_nulls_ties_and_repeats(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [0.0, 0.0], 1), (5, None, 1), (6, [1.0, None], 1), (7, [nan, 1.0], 1), (8, [inf, 1.0], 1), (9, [1.0, 0.0], None), (10, [1.0, 0.0, 0.0], 1), (11, [], 1), (12, [0.98, 0.1989], 1), (None, [1.0, 0.0], 1)]
