@@ -23,15 +23,17 @@ KINDS = ("assign", "access", "hex", "ratio")
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A string is opaque if it has fewer characters for each token than this; words of any language have more.
 LEAST_RATIO = 1.9
-SHORTEST = 20
+SHORTEST = 16
 
 _assign = re.compile(ASSIGN, re.ASCII | re.IGNORECASE)
 _words = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _access, _hex = re.compile(ACCESS), re.compile(rf"(?<![0-9a-f]){HEX}")
-_opaque = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
-#: Digests (MD5, SHA-1, SHA-224 to SHA-512 in hex) and identifiers (UUID, number, date and time, dotted or joined words) are no secrets.
+_opaque = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Digests (MD5, SHA-1, SHA-224 to SHA-512 in hex) and identifiers (UUID, number, date and time) are no secrets.
 _digest = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|(?:[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
-_identifier = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9_+/=-]+|[0-9-]+T[0-9-]+Z?|(?:[A-Za-z]{2,}|[0-9]{1,6})(?:[_/+=-]+(?:[A-Za-z]{2,}|[0-9]{1,6}))+|[A-Za-z]+[0-9]{1,4}")
+_identifier = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9_+/=-]+|[0-9-]+T[0-9-]+Z?")
+#: Words and short numbers joined by signs; the signs cost tokens, so the words are measured.
+_joined, _word = re.compile(r"(?:[A-Za-z]{2,}|[0-9]{1,6})(?:[_/+=-]+(?:[A-Za-z]{2,}|[0-9]{1,6}))+"), re.compile(r"[A-Za-z]+")
 
 
 @lru_cache(maxsize=2)
@@ -56,11 +58,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def opaque_spans(text: str, encode) -> list[tuple[int, int, int]]:
-    """Strings of one shape of character, with a digit, that take many tokens; digests and identifiers left out."""
+    """Strings of one shape of character that take many tokens; digests and identifiers left out."""
     found = []
     for m in _opaque.finditer(text):
         s = m[0]
-        if not (_digest.fullmatch(s) or _identifier.fullmatch(s)) and len(s) < LEAST_RATIO * len(encode(s)):
+        if _digest.fullmatch(s) or _identifier.fullmatch(s):
+            continue
+        parts = _word.findall(s) if _joined.fullmatch(s) else [s]
+        if sum(map(len, parts)) < LEAST_RATIO * sum(len(encode(p)) for p in parts):
             found.append((m.start(), 3, m.end()))
     return found
 

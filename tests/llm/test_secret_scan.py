@@ -46,6 +46,16 @@ def test_random_strings_are_found_and_words_are_not():
     assert [s for s in harmless if opaque_spans(s, encode)] == []
 
 
+def test_random_strings_without_digits_short_or_joined_are_found():
+    encode, r = encoding(VOCABULARY).encode_ordinary, random.Random(7)
+    letters, every = string.ascii_letters, string.ascii_letters + string.digits
+    kinds = [lambda: "".join(r.choices(letters, k=40)), lambda: "".join(r.choices(every, k=16)), lambda: "".join(r.choices(letters, k=20)) + "2024", lambda: "-".join("".join(r.choices(letters, k=6)) for _ in range(4))]
+    for kind in kinds:
+        assert sum(bool(opaque_spans(f"the {kind()} of", encode)) for _ in range(300)) >= 285
+    harmless = ["counterrevolutionaries", "Donaudampfschifffahrtsgesellschaft", "thisIsACamelCaseIdentifierName", "and/or/with/in/on/at", "version-1-2-3-4-5-beta-2", "MAX_BUFFER_SIZE_LIMIT", "1234567890123456", "----------------"]
+    assert [s for s in harmless if opaque_spans(s, encode)] == []
+
+
 def test_nulls_repeats_and_other_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "", "y"), (None, "token=abcdef", "z"), (2, "token: " + "a" * 100_000, "w")], "doc_id bigint, text string, spans string")
     empty = hashlib.sha256(b"").hexdigest()
