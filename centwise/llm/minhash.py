@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,24 +16,36 @@ from centwise.llm.components import connected_components
 from centwise.llm.tokens import WordHashes, rows, shingles, texts, without
 from centwise.storage import cut
 
-#: 24 bands of 4 minima: a pair at similarity 0.85 shares no band once in fifty million.
-BANDS, ROWS = 24, 4
-#: Share of equal minima below which a pair isn't compared on full sets: seven standard deviations under 0.85.
-LEAST_AGREEMENT = 0.6
+#: Minima of a band, and how often at most a pair at the threshold may share no band: once in fifty million (24 bands at 0.85).
+ROWS, MISSED = 4, 2.1e-8
 WORDS = 5
 #: Sets of a bucket that are compared with each other in one task at a time.
 BLOCK = 192
-_ones = np.random.default_rng(20240517)
-_A = _ones.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _ones.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def minima(shingle_hashes: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    share = min(percent, 85) / 100
+    return math.ceil(math.log(MISSED) / math.log1p(-(share**ROWS)))
+
+
+def least_agreement(percent: int) -> float:
+    """Share of equal minima below which a pair isn't compared on full sets: seven standard deviations under ``percent``."""
+    share = percent / 100
+    return share - 7 * math.sqrt(share * (1 - share) / (bands_for(percent) * ROWS))
+
+
+def universal(size: int) -> tuple[np.ndarray, np.ndarray]:
+    ones = np.random.default_rng(20240517)
+    return ones.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), ones.integers(0, 2**63, size, dtype=np.uint64)
+
+
+def minima(shingle_hashes: np.ndarray, hashes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Smallest value of each universal hash (a*x + b mod 2^64, upper half)."""
-    least = np.full(len(_A), 2**64 - 1, np.uint64)
+    a, b = hashes
+    least = np.full(len(a), 2**64 - 1, np.uint64)
     for at in range(0, len(shingle_hashes), 1024):
         part = shingle_hashes[at : at + 1024]
-        np.minimum(least, (np.multiply.outer(_A, part) + _B[:, None]).min(axis=1), out=least)
+        np.minimum(least, (np.multiply.outer(a, part) + b[:, None]).min(axis=1), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
@@ -41,25 +54,35 @@ def _set(words: WordHashes, text: bytes | None) -> tuple[np.ndarray, bytes]:
     return found, xxhash.xxh3_128_digest(found.tobytes())
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
-    for batch in rows(batches):
-        n, keys, signatures, bands = [], [], [], []
-        for text in texts(batch, "text"):
-            found, key = _set(words, text)
-            signature = minima(found)
-            n.append(len(found))
-            keys.append(key)
-            signatures.append(signature.tobytes())
-            bands.append(np.array([xxhash.xxh3_64_intdigest(signature[at : at + ROWS].tobytes(), at) for at in range(0, len(signature), ROWS)], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "signature", "bands"])
+def _sketch(percent: int):
+    hashes = universal(bands_for(percent) * ROWS)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in rows(batches):
+            n, keys, signatures, bands = [], [], [], []
+            for text in texts(batch, "text"):
+                found, key = _set(words, text)
+                signature = minima(found, hashes)
+                n.append(len(found))
+                keys.append(key)
+                signatures.append(signature.tobytes())
+                bands.append(np.array([xxhash.xxh3_64_intdigest(signature[at : at + ROWS].tobytes(), at) for at in range(0, len(signature), ROWS)], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "signature", "bands"])
+
+    return sketch
+
+
+def _agreeing(percent: int):
+    least = least_agreement(percent)
 
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)
+            keep = [np.count_nonzero(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) >= least * (len(x) // 4) for x, y in pairs]
+            yield batch.select(["a", "key_a", "b", "key_b"]).filter(pa.array(keep, pa.bool_()))
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)
-        keep = [np.count_nonzero(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)) >= LEAST_AGREEMENT * len(_A) for x, y in pairs]
-        yield batch.select(["a", "key_a", "b", "key_b"]).filter(pa.array(keep, pa.bool_()))
+    return agreeing
 
 
 def _similar(percent: int):
@@ -144,7 +167,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     (component_id null) and is kept.  No rows give no rows.
     """
     given = docs.select("doc_id", "text")
-    sketch = cut(given.mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>"), "sketch")
+    sketch = cut(given.mapInArrow(_sketch(percent), "doc_id bigint, n_shingles bigint, set_key binary, signature binary, bands array<bigint>"), "sketch")
     found = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(found.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
     every = classes.select("rep", "set_key", "copies", F.posexplode("bands").alias("band", "hash")).select("rep", "set_key", "copies", F.xxhash64("band", "hash").alias("bucket"))
@@ -186,7 +209,7 @@ def _linked_in_blocks(members: DataFrame, docs: DataFrame, percent: int) -> Data
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     signatures = classes.select("set_key", "signature")
     joined = pairs.join(signatures.toDF("key_a", "sig_a"), "key_a").join(signatures.toDF("key_b", "sig_b"), "key_b")
-    agreeing = cut(joined.mapInArrow(_agreeing, "a bigint, key_a binary, b bigint, key_b binary"), "agreeing")
+    agreeing = cut(joined.mapInArrow(_agreeing(percent), "a bigint, key_a binary, b bigint, key_b binary"), "agreeing")
     both = agreeing.join(docs.toDF("a", "text_a"), "a").join(docs.toDF("b", "text_b"), "b")
     return both.mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
 

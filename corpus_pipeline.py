@@ -14,6 +14,10 @@ from centwise.llm.toxicity import reject_toxic
 from centwise.storage import shared_dir
 
 
+#: Percent of shared word shingles from which two documents are near-duplicates.
+SIMILAR = 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
     return reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return keep_one(docs)
+    return keep_one(docs, SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

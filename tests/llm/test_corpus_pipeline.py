@@ -1,5 +1,7 @@
 """Each stage on its own input, the registered queries and their check SQL."""
 
+from itertools import combinations
+
 import duckdb
 import pytest
 
@@ -30,6 +32,21 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect()), key=str) == sorted(map(tuple, packed.collect()), key=str)
 
 
+def test_near_dedup_stage_equals_every_pair(spark):
+    docs, sets = [], {}
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for changed in (0, 8 + g % 8):  # 116 shingles, Jaccard 0.87 to 0.77
+            words = base[: 120 - changed] + [f"d{len(docs)}n{k}" for k in range(changed)]
+            sets[len(docs)] = {tuple(words[k : k + 5]) for k in range(116)}
+            docs.append((len(docs), " ".join(words)))
+    again = {b for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    between = {b for b in again if 100 * len(sets[b - 1] & sets[b]) < 85 * len(sets[b - 1] | sets[b])}
+    assert len(between) >= 10 and len(again) < 40
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), DATA)
+    assert {r.doc_id for r in kept.collect()} == set(sets) - again
+
+
 def test_ten_operators_are_registered():
     names = set(entry.queries())
     assert set(queries.QUERIES) < names and {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES} and "pipeline" in names
