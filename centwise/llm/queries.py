@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from centwise.llm.collocations import collocations
 from centwise.llm.decontaminate import contaminated
 from centwise.llm.line_dedup import line_report
 from centwise.llm.minhash import near_duplicates
@@ -162,6 +163,27 @@ s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN etag IS NULL T
 SELECT record_id, canonical, response_id, status, CASE WHEN status = 'resolved' THEN b_digest END AS digest, CASE WHEN status = 'resolved' THEN b_size END AS size,
   CASE WHEN status = 'resolved' THEN etag END AS etag, CASE WHEN status = 'resolved' THEN sec::VARCHAR END AS date, CASE WHEN status = 'resolved' THEN b_size::VARCHAR END AS content_length FROM s"""
 
+def op13_phrase_collocations(spark, d):
+    return collocations(_table(spark, d, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+u AS (SELECT lang, unnest(list_concat(
+    list_transform(range(1, len(w) + 1), lambda i: w[i:i]), list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS words FROM p),
+g AS MATERIALIZED (SELECT lang, len(words) AS k, array_to_string(words, ' ') AS phrase, any_value(words) AS words, count(*) AS f FROM u GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+c AS (SELECT * FROM g WHERE k > 1 AND f >= 10),
+h AS MATERIALIZED (SELECT lang, k, phrase, f AS a, part, array_to_string(words[:part], ' ') AS front, array_to_string(words[part + 1:], ' ') AS back
+  FROM (SELECT *, unnest(range(1, k)) AS part FROM c)),
+b AS (SELECT h.lang, h.k, h.phrase, a, part, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM h JOIN g l ON l.lang = h.lang AND l.phrase = front JOIN g r ON r.lang = h.lang AND r.phrase = back),
+s AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, part) = 1),
+e AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, array_to_string(words[1:2], ' ') AS phrase, f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(words[2:3], ' '), f FROM c WHERE k = 3) GROUP BY 1, 2),
+o AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank FROM s LEFT JOIN e ON s.k = 2 AND e.lang = s.lang AND e.phrase = s.phrase WHERE e.f IS NULL OR 100 * e.f < 50 * s.a)
+SELECT o.lang, rank::BIGINT AS rank, phrase, a, l, r, t.n, score FROM o JOIN t USING (lang) WHERE rank <= 2000"""
+
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, i - 1 AS line_no, list_filter(string_split_regex(lower(lines[i]), '[\x09-\x0D\x20]+'), lambda t: t <> '') AS raw
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) d, unnest(range(1, len(lines) + 1)) u(i)),
@@ -178,6 +200,6 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_packing, op7_secret_scan, op8_embedding_near_dedup, op9_benchmark_decontamination, op10_warc_revisits)
+    for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_packing, op7_secret_scan, op8_embedding_near_dedup, op9_benchmark_decontamination, op10_warc_revisits, op13_phrase_collocations)
 }
-CHECK_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_url_filters": OP5_SQL, "op10_warc_revisits": OP10_SQL}
+CHECK_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_url_filters": OP5_SQL, "op10_warc_revisits": OP10_SQL, "op13_phrase_collocations": OP13_SQL}
