@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from centwise.llm.collocations import collocations
 from centwise.llm.decontaminate import contaminated
+from centwise.llm.html_extraction import extract_text
 from centwise.llm.line_dedup import line_report
 from centwise.llm.minhash import near_duplicates
 from centwise.llm.nn_descent import near_duplicate_vectors
@@ -164,6 +165,10 @@ s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing' WHEN etag IS NULL T
 SELECT record_id, canonical, response_id, status, CASE WHEN status = 'resolved' THEN b_digest END AS digest, CASE WHEN status = 'resolved' THEN b_size END AS size,
   CASE WHEN status = 'resolved' THEN etag END AS etag, CASE WHEN status = 'resolved' THEN sec::VARCHAR END AS date, CASE WHEN status = 'resolved' THEN b_size::VARCHAR END AS content_length FROM s"""
 
+def op11_html_extraction(spark, d):
+    return extract_text(_table(spark, d, "pages"))
+
+
 def op12_token_alignment(spark, d):
     return align_tokens(_table(spark, d, "documents"))
 
@@ -205,6 +210,6 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_packing, op7_secret_scan, op8_embedding_near_dedup, op9_benchmark_decontamination, op10_warc_revisits, op12_token_alignment, op13_phrase_collocations)
+    for f in (op1_line_dedup, op2_token_counts, op3_minhash_near_dedup, op4_toxicity, op5_url_filters, op6_packing, op7_secret_scan, op8_embedding_near_dedup, op9_benchmark_decontamination, op10_warc_revisits, op11_html_extraction, op12_token_alignment, op13_phrase_collocations)
 }
 CHECK_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_url_filters": OP5_SQL, "op10_warc_revisits": OP10_SQL, "op13_phrase_collocations": OP13_SQL}
