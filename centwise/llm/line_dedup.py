@@ -19,7 +19,8 @@ HOLDERS = 6
 FILTER_BITS = 20
 BLANKS = "\t\n\x0b\f\r "
 SPACE = f"[{BLANKS}]+"
-_HASH = 2**57 - 1
+#: Where a line stands, in order.
+_AT = ["doc", "line_no", "row"]
 
 
 def _tokens(line: Column) -> Column:
@@ -27,8 +28,8 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, line) of every line that isn't blank."""
-    known = docs.select(_doc(docs).alias("doc"), F.posexplode(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """(doc, row, line_no, line) of every line that isn't blank; doc and row tell texts apart."""
+    known = docs.select(_doc(docs).alias("doc"), _row(docs).alias("row"), F.posexplode(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)).alias("line_no", "line"))
     return known.where(F.btrim("line", F.lit(BLANKS)) != "")
 
 
@@ -36,6 +37,11 @@ def _doc(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(2**63)))
 
 
+def _row(docs: DataFrame) -> Column:
+    """Tells texts under one doc_id, or without one, apart; equal texts are one."""
+    return F.xxhash64(docs["text"])
+
+
 def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
     """Token hash -> 0 to 63, growing with its frequency.
 
@@ -65,15 +71,15 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # rare tokens first: level above the hash
     code = lambda h: F.shiftleft(level(h), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
     hashes = F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t)))
-    coded = _lines(docs).select("doc", "line_no", F.sort_array(F.transform(hashes, code)).alias("tokens"))
+    coded = _lines(docs).select("doc", "line_no", "row", F.sort_array(F.transform(hashes, code)).alias("tokens"))
     n = F.size("tokens")
     # a partner has this many tokens in common at least: percent of the larger set
     prefix = n - F.ceil(n * percent / 100).cast("int") + 1
     one = F.lit(1).cast("bigint")
     parity = lambda half: F.aggregate(F.filter("tokens", lambda t: t.bitwiseAND(64) == half), F.lit(0).cast("bigint"), lambda b, t: b.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(63).cast("int"))))
-    sets = coded.select(F.xxhash64("tokens").alias("id"), F.xxhash64(F.lit(1), "tokens").alias("id2"), F.struct("doc", "line_no").alias("at"), n.alias("n"), F.slice("tokens", 1, prefix).alias("rarest"), parity(0).alias("low"), parity(64).alias("high"))
+    sets = coded.select(F.xxhash64("tokens").alias("id"), F.xxhash64(F.lit(1), "tokens").alias("id2"), F.struct("doc", "line_no", "row").alias("at"), n.alias("n"), F.slice("tokens", 1, prefix).alias("rarest"), parity(0).alias("low"), parity(64).alias("high"))
     first = sets.groupBy("id", "id2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("rarest").alias("rarest"), F.first("low").alias("low"), F.first("high").alias("high"))
-    return first.select("at.doc", "at.line_no", "n", "rarest", "low", "high")
+    return first.select("at.doc", "at.line_no", "at.row", "n", "rarest", "low", "high")
 
 
 def _entries(classes: DataFrame, size, known: Column | None = None) -> DataFrame:
@@ -82,8 +88,8 @@ def _entries(classes: DataFrame, size, known: Column | None = None) -> DataFrame
     size = F.least(size, F.size("rarest"))
     placed = F.posexplode(F.arrays_zip(F.slice("rarest", 1, size).alias("token"), F.concat(F.array(F.lit(0).cast("bigint")), F.slice("rarest", 1, size - 1)).alias("before")))
     line = F.shiftleft(F.col("line_no").cast("bigint"), 1) + (F.lit(0) if known is None else known.cast("bigint"))
-    exploded = classes.select("doc", line.alias("line"), "n", "low", "high", placed.alias("i", "t"))
-    return exploded.select("doc", "line", (F.shiftleft(F.col("n").cast("bigint"), 31) + F.col("i")).alias("set"), "low", "high", "t.token", F.when(F.col("i") > 0, F.col("t.before")).alias("before"))
+    exploded = classes.select("doc", line.alias("line"), "row", "n", "low", "high", placed.alias("i", "t"))
+    return exploded.select("doc", "line", "row", (F.shiftleft(F.col("n").cast("bigint"), 31) + F.col("i")).alias("set"), "low", "high", "t.token", F.when(F.col("i") > 0, F.col("t.before")).alias("before"))
 
 
 def _could_match(x: str, y: str, percent: int) -> str:
@@ -104,11 +110,12 @@ def _i(side: str) -> str:
 
 
 def _earlier(x: str, y: str) -> str:
-    return f"({x}.doc < {y}.doc OR ({x}.doc = {y}.doc AND shiftright({x}.line, 1) < shiftright({y}.line, 1)))"
+    lines = f"shiftright({x}.line, 1) < shiftright({y}.line, 1) OR (shiftright({x}.line, 1) = shiftright({y}.line, 1) AND {x}.row < {y}.row)"
+    return f"({x}.doc < {y}.doc OR ({x}.doc = {y}.doc AND ({lines})))"
 
 
 def _at(side: str) -> Column:
-    return F.struct(F.col(f"{side}.doc").alias("doc"), F.shiftright(F.col(f"{side}.line"), 1).cast("int").alias("line_no"))
+    return F.struct(F.col(f"{side}.doc").alias("doc"), F.shiftright(F.col(f"{side}.line"), 1).cast("int").alias("line_no"), F.col(f"{side}.row").alias("row"))
 
 
 def _among(keys: DataFrame) -> Callable[[Column, Column], Column]:
@@ -132,29 +139,29 @@ def _among(keys: DataFrame) -> Callable[[Column, Column], Column]:
 
 def _jaccard(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The late classes of ``pairs`` (early_at, late_at) that reach ``percent`` with their early one, on full sets."""
-    ends = cut(pairs.select(F.col("early_at").alias("at")).union(pairs.select("late_at")).distinct().select("at.doc", "at.line_no"), "line-ends")
+    ends = cut(pairs.select(F.col("early_at").alias("at")).union(pairs.select("late_at")).distinct().select("at.doc", "at.line_no", "at.row"), "line-ends")
     among = _among(ends)
     # the filter comes before the shuffle; the join makes it exact
-    some = _lines(docs).where(among(F.col("doc"), F.col("line_no"))).select("doc", "line_no", F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))).alias("tokens"))
-    sets = cut(some.join(ends, ["doc", "line_no"]).select(F.struct("doc", "line_no").alias("at"), "tokens"), "line-sets")
+    some = _lines(docs).where(among(F.col("doc"), F.col("line_no"))).select("doc", "line_no", "row", F.array_distinct(F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))).alias("tokens"))
+    sets = cut(some.join(ends, _AT).groupBy(F.struct(*_AT).alias("at")).agg(F.first("tokens").alias("tokens")), "line-sets")
     both = pairs.join(sets.toDF("early_at", "early"), "early_at").join(sets.toDF("late_at", "late"), "late_at")
     common = F.size(F.array_intersect("early", "late"))
     return both.where(100 * common >= percent * (F.size("early") + F.size("late") - common)).select("late_at").distinct()
 
 
 def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc, line_no) of the lines that stay: first of their token set, and like no earlier line."""
+    """(doc, line_no, row) of the lines that stay: first of their token set, and like no earlier line."""
     classes = cut(line_classes(docs, percent), "line-classes")
     # each line against the earliest holder of its rarest tokens: most copies are settled by these, without pairs of copies
-    holder = F.struct("doc", "line", "set", "low", "high")
+    holder = F.struct("doc", "line", "row", "set", "low", "high")
     rare = _entries(classes, F.lit(HOLDERS))
-    ordered = Window.partitionBy("token").orderBy("doc", "line")
+    ordered = Window.partitionBy("token").orderBy("doc", "line", "row")
     first = rare.select("token", holder.alias("y"), F.first(holder).over(ordered).alias("x")).where(_earlier("x", "y")).where(_could_match("x", "y", percent))
     near = cut(first.select(_at("x").alias("early_at"), _at("y").alias("late_at")).distinct(), "line-pairs")
     settled = cut(_jaccard(near, docs, percent), "line-matches")
     # then whatever is left against all; a shorter line's tokens count up to the place where the pair must have met.  That condition
     # names both sides, so it stays in the join and both sides read one exchange
-    marked = classes.join(settled.select("late_at.doc", "late_at.line_no", F.lit(True).alias("known")), ["doc", "line_no"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    marked = classes.join(settled.select("late_at.*", F.lit(True).alias("known")), _AT, "left").withColumn("known", F.coalesce("known", F.lit(False)))
     entries = _entries(marked, F.size("rarest"), F.col("known"))
     x, y = entries.alias("x"), entries.alias("y")
     forward = F.expr(_earlier("x", "y"))
@@ -166,12 +173,12 @@ def first_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = x.join(y, alike).select(F.when(forward, _at("x")).otherwise(_at("y")).alias("early_at"), F.when(forward, _at("y")).otherwise(_at("x")).alias("late_at"))
     rest = cut(pairs.distinct().join(near, ["early_at", "late_at"], "left_anti"), "line-pairs")
     matched = settled.union(_jaccard(rest, docs, percent)).distinct()
-    return classes.select("doc", "line_no").join(matched.select("late_at.doc", "late_at.line_no"), ["doc", "line_no"], "left_anti")
+    return classes.select(*_AT).join(matched.select("late_at.*"), _AT, "left_anti")
 
 
 def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc, kept): the numbers of the lines that stay in each document that keeps any."""
-    return first_lines(docs, percent).groupBy("doc").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
+    """(doc, row, kept): the numbers of the lines that stay in each text that keeps any."""
+    return first_lines(docs, percent).groupBy("doc", "row").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,24 +191,33 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     length, positional and parity filters, and are decided on full sets.
 
     Blank lines are left alone, and every row stays, if need be with an empty
-    text.  Null texts stay null.  A null doc_id comes before all others.  Rows
-    with equal doc_id are one document: a line number is kept in all of them if
-    it is kept in one, so repeated rows stay equal.  No rows give no rows.
+    text.  Null texts stay null.  A null doc_id comes before all others.  Texts
+    under one doc_id, or without one, are documents of their own, ordered by a
+    hash of the text behind the line number; repeated rows are one document and
+    stay equal.  doc_id is a whole number.  No rows give no rows.
     """
-    kept = kept_lines(docs, percent).select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_key", _doc(docs)).join(kept, F.col("_key") == F.col("_doc"), "left")
-    lines = F.split("text", "\n", -1)
-    stay = F.filter(lines, lambda line, i: (F.btrim(line, F.lit(BLANKS)) == "") | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
+    own, doc, row, kept = _free(docs, 4)
+    keyed = docs.withColumns({doc: _doc(docs), row: _row(docs)})
+    found = kept_lines(docs, percent).select(F.col("doc").alias(own + "d"), F.col("row").alias(own + "r"), F.col("kept").alias(kept))
+    joined = keyed.join(found, (F.col(doc) == F.col(own + "d")) & (F.col(row) == F.col(own + "r")), "left")
+    lines = F.split(docs["text"], "\n", -1)
+    stay = F.filter(lines, lambda line, i: (F.btrim(line, F.lit(BLANKS)) == "") | F.coalesce(F.array_contains(kept, i), F.lit(False)))
     text = F.array_join(stay, "\n")
-    out = joined.withColumn("text", text)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(new.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns))
+
+
+def _free(docs: DataFrame, n: int) -> list[str]:
+    """Column names that ``docs`` doesn't have, and that begin with none of its names."""
+    longest = max(len(c) for c in docs.columns)
+    return [f"_{i}" + "_" * longest for i in range(n)]
 
 
 def line_report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, kept for each row of ``docs``: lines that aren't blank, and the numbers of those that stay; as ``dedup_lines``."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda line, i: F.when(F.btrim(line, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull())
-    given = docs.select("doc_id", _doc(docs).alias("_key"), F.size(lines).alias("n_lines"))
-    kept = kept_lines(docs, percent).withColumnRenamed("doc", "_key")
-    return given.join(kept, "_key", "left").select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+    given = docs.select("doc_id", _doc(docs).alias("doc"), _row(docs).alias("row"), F.size(lines).alias("n_lines"))
+    found = given.join(kept_lines(docs, percent), ["doc", "row"], "left")
+    return found.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))

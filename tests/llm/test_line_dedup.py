@@ -64,3 +64,46 @@ def test_text_nulls_blanks_repeats_and_other_columns(spark):
     assert dedup_lines(df.limit(0)).collect() == [] and dedup_lines(df).schema == df.schema
     plan = dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_texts_under_one_id_or_none_are_documents_of_their_own(spark):
+    first, more, other = "a b c d e f g h i j", "a b c d e f g h i j k", "totally different unique words here"
+    docs = [(1, first), (5, more), (5, other), (5, other), (None, "q r s t u"), (None, "v w x y z"), (None, "v w x y z\nnew line of this one"), (7, "v w x y z\nkept")]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(4)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text) for r in dedup_lines(df).collect())
+    null_ids = [t for known, _, t in got if not known]
+    # of the two null-id texts that share a line, the one with the lower hash keeps it
+    assert sorted(null_ids) in (sorted(["q r s t u", "v w x y z", "new line of this one"]), sorted(["q r s t u", "", "v w x y z\nnew line of this one"]))
+    assert [x[1:] for x in got if x[0]] == [(1, first), (5, ""), (5, other), (5, other), (7, "kept")]
+    kept = sorted((str(r.doc_id), list(r.kept)) for r in line_report(df).collect())
+    assert sum(len(k) for _, k in kept) == 7 and len(kept) == len(docs)
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_equals_plain_with_shared_ids(spark, seed):
+    """Many texts under few ids and none: as if each were a document, ordered by id, line and the text's hash."""
+    docs = [(None if i % 5 == 0 else i % 7, text) for i, text in corpus(seed)]
+    df = spark.createDataFrame(docs, SCHEMA)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    lines = []
+    for doc_id, text in set(docs):
+        for i, line in enumerate(text.split("\n")):
+            tokens = frozenset(t for t in re.split(r"[\x09-\x0D\x20]+", line.lower()) if t)
+            if tokens:
+                lines.append(((doc_id is not None, doc_id or 0, i, hashes[text]), (doc_id, text), i, tokens))
+    lines.sort(key=lambda x: x[0])
+    stay = {d: [] for d in set(docs)}
+    for k, (_, d, i, s) in enumerate(lines):
+        if not any(100 * len(s & t) >= 80 * len(s | t) for *_, t in lines[:k]):
+            stay[d].append(i)
+    want = {(d, t, "\n".join(x for i, x in enumerate(t.split("\n")) if i in stay[d, t] or not x.strip())) for d, t in set(docs)}
+    got = {(r.doc_id, r.given, r.text) for r in dedup_lines(df.withColumn("given", df["text"])).collect()}
+    assert got == want
+
+
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c\nd e f", 7, 8, 9, 10, 11, 12), (2, "a b c\nother one here", 7, 8, 9, 10, 11, 12)], SCHEMA + ", _key int, _doc int, _kept int, `a.b` int, row int, doc int")
+    got = dedup_lines(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c\nd e f", 7, 8, 9, 10, 11, 12), (2, "other one here", 7, 8, 9, 10, 11, 12)]
+    assert sorted((r.doc_id, r.n_lines, list(r.kept)) for r in line_report(df).collect()) == [(1, 2, [0, 1]), (2, 2, [1])]
