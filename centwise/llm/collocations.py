@@ -179,14 +179,13 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", product.cast("decimal(38,0)"), (wide(left) * wide(right)).cast("decimal(38,0)"))
 
 
-def scored_phrases(docs: DataFrame, least: int = LEAST, covered: int = COVERED) -> DataFrame:
-    """lang, phrase, a, l, r, n, score of every phrase that stays, see ``collocations``."""
+def scored_phrases(docs: DataFrame, least: int = LEAST, covered: int = COVERED) -> tuple[DataFrame, DataFrame]:
+    """lang, phrase, a, l, r, score of every phrase that stays, see ``collocations``; lang, n of every language."""
     counts = cut(phrase_counts(docs, least), "phrase-counts")
     size = F.size("words")
     of = lambda k: counts.where(size == k)
     word = lambda c: F.get("words", F.lit(c))
     joined = lambda *c: F.array_join(F.array(*map(word, c)), " ")
-    total = of(0).select(F.col("lang").alias("total_lang"), F.col("n").alias("total"))
     one = lambda name: of(1).select(F.col("lang").alias(f"{name}_lang"), word(0).alias(f"{name}_word"), F.col("n").alias(name)).hint("merge")
     two = lambda name: of(2).select(F.col("lang").alias(f"{name}_lang"), joined(0, 1).alias(f"{name}_word"), F.col("n").alias(name)).hint("merge")
 
@@ -207,7 +206,7 @@ def scored_phrases(docs: DataFrame, least: int = LEAST, covered: int = COVERED)
     sides = of(3).select("lang", F.explode(F.array(joined(0, 1), joined(1, 2))).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
     open_pairs = pairs.join(sides.hint("merge"), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
     found = longest.unionByName(open_pairs.select("lang", "phrase", "a", "l", "r", _score(F.col("a"), F.col("l"), F.col("r")).alias("score")))
-    return found.join(total, F.col("lang") == F.col("total_lang")).select("lang", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    return found, of(0).select("lang", "n")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, best: int = BEST) -> DataFrame:
@@ -225,8 +224,9 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, be
     count each; doc_id and other columns are not looked at; no rows give no rows.
     """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    found = scored_phrases(docs, least, covered).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    phrases, totals = scored_phrases(docs, least, covered)
+    found = phrases.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     # no language is ranked in one task: first the best of each part
     some = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= best)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
