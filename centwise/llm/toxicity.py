@@ -20,6 +20,8 @@ from centwise.storage import cut
 
 #: Labelled rows the model is fitted on at most, the first by a hash of doc_id; terms of the learned lexicon at most.
 SAMPLE_ROWS, TERMS = 20_000, 256
+#: Toxic texts that hold a learned term at least.
+LEAST_TEXTS = 5
 THRESHOLD = 0.3
 TREES, DEPTH = 30, 3
 NEAR = 5
@@ -107,7 +109,7 @@ def learned_lexicon(texts: DataFrame) -> dict[str, float]:
     sizes = texts.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     rate = (F.col("toxic") + 0.5) / (sizes[0] + 1) / ((F.col("other") + 0.5) / (sizes[1] + 1))
     counted = texts.select("text", "toxic").mapInArrow(_counted, "unit string, toxic bigint, other bigint").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    telling = counted.withColumn("odds", F.log(rate)).where(f"odds >= 2 AND toxic >= {3 if sizes[0] < 200 else 5}")
+    telling = counted.withColumn("odds", F.log(rate)).where(f"odds >= 2 AND toxic >= {LEAST_TEXTS}")
     return {r["unit"]: r["odds"] for r in telling.orderBy((F.col("odds") * F.col("toxic")).desc(), "unit").limit(TERMS).collect()}
 
 
