@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from centwise.llm.token_counts import VOCABULARY, token_counts
+from centwise.llm.token_counts import VOCABULARY, token_lengths
 from centwise.storage import cut
 
 LONGEST, BUCKETS, BUDGET = 2048, 8, 65_536
@@ -83,7 +83,7 @@ def pack(lengths: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, bud
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket", "shard").count().select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     own = Window.partitionBy("bucket", "shard").orderBy("order", "doc_id", "piece")
-    numbered = placed.withColumn("row", F.row_number().over(own) - 1).join(F.broadcast(offsets) if shards * len(ends) <= 50_000 else offsets, ["bucket", "shard"]).withColumn("row", F.col("row") + F.col("offset"))
+    numbered = placed.withColumn("row", F.row_number().over(own) - 1).join(offsets, ["bucket", "shard"]).withColumn("row", F.col("row") + F.col("offset"))
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
     out = numbered.select("doc_id", "piece", "first_token", "n_tokens", "bucket", F.floor(F.col("row") / size).alias("batch"), (F.col("row") % size).cast("bigint").alias("place"))
     return out.union(pieces.where("piece IS NULL").select("*", *(F.lit(None).cast("bigint").alias(c) for c in ("bucket", "batch", "place"))))
@@ -91,4 +91,4 @@ def pack(lengths: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, bud
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, longest: int = LONGEST, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``pack`` over the token counts of ``docs`` (doc_id, text)."""
-    return pack(token_counts(docs, vocabulary).select("doc_id", "n_tokens"), longest, buckets, budget)
+    return pack(token_lengths(docs, vocabulary), longest, buckets, budget)

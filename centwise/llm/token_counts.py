@@ -80,8 +80,16 @@ class UnigramCounter:
 
     def __call__(self, text: str | None) -> tuple[int, float]:
         """(pieces, score); null and empty texts have none."""
+        words = self._words(text)
+        return sum(map(self.known.__getitem__, words)), float(sum(map(self.scores.__getitem__, words)))
+
+    def count(self, text: str | None) -> int:
+        """Pieces only."""
+        return sum(map(self.known.__getitem__, self._words(text)))
+
+    def _words(self, text: str | None) -> list[str]:
         if not text:
-            return 0, 0.0
+            return []
         text = text.replace(" ", SPACE)
         if text[0] == SPACE:
             text = text[1:]
@@ -89,8 +97,7 @@ class UnigramCounter:
             self.known.clear()
             self.scores.clear()
             self.held = 0
-        words = text.split(SPACE)
-        return sum(map(self.known.__getitem__, words)), sum(map(self.scores.__getitem__, words))
+        return text.split(SPACE)
 
     def _count(self, word: str) -> int:
         pieces, self.scores[word] = self.segment(SPACE + word)
@@ -131,3 +138,14 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score", "n_chars"])
 
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint, score double, n_chars bigint")
+
+
+def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id and n_tokens of ``token_counts``, without the scores' sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count_one = counter(vocabulary).count
+        for batch in rows(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(map(count_one, batch.column("text").to_pylist()), pa.int64())], ["doc_id", "n_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")

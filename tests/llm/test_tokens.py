@@ -7,7 +7,7 @@ import sentencepiece
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from centwise.llm.packing import boundaries, pack
-from centwise.llm.token_counts import SPACE, VOCABULARY, UnigramCounter, counter, token_counts
+from centwise.llm.token_counts import SPACE, VOCABULARY, UnigramCounter, counter, token_counts, token_lengths
 
 DATA = "/root/testdata/sf0.001"
 ODD = ["", " ", "  a  b ", "▁x", "日本語 text ünï\n\n q", "a" * 5000, "\x00ab ✨✨ x", "x\ty", "🙂" * 7]
@@ -46,6 +46,8 @@ def test_nulls_repeats_and_other_columns(spark):
     df = spark.createDataFrame([(1, None, 3), (None, "ab cd", 4), (2, "", 5), (2, "", 5)], "doc_id bigint, text string, n_tokens int")
     assert sorted(map(tuple, token_counts(df).select("doc_id", "n_tokens", "n_chars").collect()), key=str) == [(1, 0, 0), (2, 0, 0), (2, 0, 0), (None, counter()("ab cd")[0], 5)]
     assert token_counts(df.limit(0)).collect() == []
+    assert sorted(map(tuple, token_lengths(df).collect()), key=str) == sorted(map(tuple, token_counts(df).select("doc_id", "n_tokens").collect()), key=str)
+    assert token_lengths(df.limit(0)).collect() == []
 
 
 def padding(histogram, ends):
