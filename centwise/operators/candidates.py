@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from centwise.config import ReconcileConfig, RECONCILE
 from centwise.functions.dates import day_number, days_between
 from centwise.functions.similarity import comparable
+from centwise.operators.blocks import blocks, members
 from centwise.operators.cells import cell, touched
 from centwise.operators.names import similar_names
+from centwise.storage import cut
 
 KEY = "household_id"
 
@@ -43,11 +45,30 @@ def _scorable(receipts: DataFrame) -> DataFrame:
     )
 
 
+def name_pairs(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
+    """Receipt and debit names that are alike; for callers that look for candidates more than once."""
+    return similar_names(_scorable(receipts), _debits(bank), cfg.merchant_cutoff)
+
+
 def receipt_candidates(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
     """Receipt–debit pairs inside the amount band, the date window and the name cutoff, with their score."""
+    return _receipt_edges(_debits(bank), _scorable(receipts), name_pairs(bank, receipts, cfg), cfg)
+
+
+def receipt_blocks(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE, names: DataFrame | None = None) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """``receipt_candidates`` between blocks of equal receipts and of equal debits, and the blocks' members (receipts, debits)."""
+    return _block_edges(_receipt_edges, bank, receipts, cfg, names)
+
+
+def _block_edges(edges, bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig, names: DataFrame | None) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
     debits, slips = _debits(bank), _scorable(receipts)
+    many_debits, many_slips = cut(blocks(debits, "transaction_id", "_bn"), "debits"), cut(blocks(slips, "receipt_id", "_sn"), "slips")
+    names = name_pairs(bank, receipts, cfg) if names is None else names
+    return edges(many_debits, many_slips, names, cfg), (members(slips, many_slips, "receipt_id", "_sn"), members(debits, many_debits, "transaction_id", "_bn"))
+
+
+def _receipt_edges(debits: DataFrame, slips: DataFrame, names: DataFrame, cfg: ReconcileConfig) -> DataFrame:
     tol, win = cfg.tip_tolerance_cents, cfg.receipt_window_days
-    names = similar_names(slips, debits, cfg.merchant_cutoff)
     left = (
         slips.join(names, [KEY, "left_name"])
         .withColumn("day_cell", F.explode(touched(day_number(F.col("purchased_at")), win)))
@@ -73,11 +94,18 @@ def receipt_candidates(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfi
     )
 
 
+def partial_blocks(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE, names: DataFrame | None = None) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """``partial_candidates`` between blocks, and the blocks' members (receipts, debits)."""
+    return _block_edges(_partial_edges, bank, receipts, cfg, names)
+
+
 def partial_candidates(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
     """Pairs where the bank line pays less than the receipt; the gap would come from credit."""
-    debits, slips = _debits(bank), _scorable(receipts)
+    return _partial_edges(_debits(bank), _scorable(receipts), name_pairs(bank, receipts, cfg), cfg)
+
+
+def _partial_edges(debits: DataFrame, slips: DataFrame, names: DataFrame, cfg: ReconcileConfig) -> DataFrame:
     win = cfg.receipt_window_days
-    names = similar_names(slips, debits, cfg.merchant_cutoff)
     left = slips.join(names, [KEY, "left_name"]).withColumn("day_cell", F.explode(touched(day_number(F.col("purchased_at")), win)))
     right = debits.withColumn("day_cell", cell(day_number(F.col("posted_date")), win))
     date_score = F.lit(1.0) if win == 0 else F.lit(1.0) - F.col("date_diff") / F.lit(float(win))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 KEY = "household_id"
@@ -13,18 +14,29 @@ def _keyed(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def _place(batch: DataFrame) -> Column:
+    """Path and row number of a row read from a file that knows them; splits are read in order of their size, so their numbers don't tell."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    try:
+        batch.select(place).schema
+    except AnalysisException:
+        return F.monotonically_increasing_id()
+    return place
+
+
 def insert_or_ignore(existing: DataFrame, batch: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Rows of ``batch`` to insert.
 
-    Within the batch the first row by ``order`` wins; without one, the row that
-    stands first in the batch as it is read.  As with a unique index, a row with a
-    missing key part never conflicts.
+    Within the batch the first row by ``order`` wins.  Without one it is the row
+    that stands first by file path and place in the file, where the batch is read
+    from Parquet files; other batches are taken in the order of their partitions.
+    As with a unique index, a row with a missing key part never conflicts.
     """
     columns = batch.columns
     whole = _keyed(keys)
     keyed = batch.filter(whole)
     if not order:
-        order, keyed = ["_at"], keyed.withColumn("_at", F.monotonically_increasing_id())
+        order, keyed = ["_at"], keyed.withColumn("_at", _place(batch))
     rest = [c for c in columns if c not in keys and c not in order]
     first = keyed.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row")).select(*keys, "_row.*").select(*columns)
     fresh = first.join(existing.select(*keys), keys, "left_anti").select(*columns)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from centwise.config import ReconcileConfig, RECONCILE
 from centwise.functions.money import route
 from centwise.operators.assign import greedy_pairs, greedy_sets
-from centwise.operators.candidates import KEY, order_direct, receipt_candidates
+from centwise.operators.candidates import KEY, order_direct, receipt_blocks
 from centwise.operators.split import order_split
 
 MATCH_FIELDS = {
@@ -43,9 +43,10 @@ def _iso(name: str) -> Column:
     return F.date_format(name, "yyyy-MM-dd")
 
 
-def match_receipts(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
-    edges = receipt_candidates(bank, receipts, cfg)
-    won = greedy_pairs(edges, "receipt_id", "transaction_id", [-F.col("confidence"), F.col("receipt_id"), F.col("transaction_id")])
+def match_receipts(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE, names: DataFrame | None = None) -> DataFrame:
+    edges, members = receipt_blocks(bank, receipts, cfg, names)
+    sized = edges.withColumnsRenamed({"_sn": "_ln", "_bn": "_rn"})
+    won = greedy_pairs(sized, "receipt_id", "transaction_id", [-F.col("confidence")], members)
     seen4 = (F.coalesce("receipt_last4", F.lit("")) != "") & (F.coalesce("bank_last4", F.lit("")) != "")
     card = (
         F.when(~seen4, "")

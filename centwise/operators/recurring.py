@@ -9,6 +9,7 @@ from centwise.config import ReconcileConfig, RECONCILE
 from centwise.functions.money import half_up
 from centwise.operators.candidates import KEY
 from centwise.operators.rollup import first_items
+from centwise.storage import cut
 
 GROUP = [KEY, "merchant"]
 
@@ -27,34 +28,39 @@ def amount_anchors(amounts: DataFrame, tolerance: int) -> DataFrame:
     """Anchor of every distinct (household, merchant, amount).
 
     Ascending, an amount joins the group of the current anchor while it lies
-    within ``tolerance`` of that anchor, else it becomes the next anchor.  Gaps
-    wider than the tolerance always start a new group, so runs between such gaps
-    are independent; a run no wider than the tolerance has its minimum as anchor.
-    Only distinct amounts of wider runs are gathered, and their number is bounded
-    by the run's width in cents, not by the number of charges.
-    """
-    line = W.partitionBy(*GROUP).orderBy("signed_spend_cents")
-    gap = F.col("signed_spend_cents") - F.lag("signed_spend_cents").over(line)
-    runs = amounts.select(*GROUP, "signed_spend_cents").distinct().withColumn("opens", F.coalesce((gap > tolerance).cast("int"), F.lit(0)))
-    runs = runs.withColumn("run", F.sum("opens").over(line))
-    run_key = GROUP + ["run"]
-    span = runs.groupBy(*run_key).agg(F.min("signed_spend_cents").alias("lo"), F.max("signed_spend_cents").alias("hi"))
-    wide = span.filter(F.col("hi") - F.col("lo") > tolerance).select(*run_key)
+    within ``tolerance`` of that anchor, else it becomes the next anchor.  So
+    anchors are the amounts with none in reach below, and whatever pointers reach
+    from there that lead from each amount to the first one beyond its tolerance.
+    Pointers are followed by doubling, in joins.
 
-    narrow_rows = runs.join(span.filter(F.col("hi") - F.col("lo") <= tolerance), run_key).select(*GROUP, "signed_spend_cents", F.col("lo").alias("anchor"))
-    sorted_amounts = F.array_sort(F.collect_list("signed_spend_cents"))
-    anchors = F.aggregate(
-        "amounts",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > tolerance), F.array_append(acc, x)).otherwise(acc),
-    )
-    folded = runs.join(wide, run_key, "left_semi").groupBy(*run_key).agg(sorted_amounts.alias("amounts")).withColumn("anchors", anchors)
-    marked = folded.select(*GROUP, "anchors", F.explode("amounts").alias("signed_spend_cents"))
-    is_anchor = F.array_contains("anchors", F.col("signed_spend_cents"))
-    wide_rows = marked.withColumn("mark", F.when(is_anchor, F.col("signed_spend_cents"))).select(
-        *GROUP, "signed_spend_cents", F.last("mark", ignorenulls=True).over(line).alias("anchor")
+    Amounts are dealt into cells one tolerance and a cent wide: neighbours and
+    pointers end in the next two cells, a cell holds ``tolerance`` + 1 amounts at
+    most, and no merchant is gathered in one task.
+    """
+    width = tolerance + 1
+    at = F.floor(F.col("signed_spend_cents") / width)
+    cell = [*GROUP, "cell"]
+    cells = cut(amounts.select(*GROUP, "signed_spend_cents").distinct().groupBy(*GROUP, at.alias("cell")).agg(F.array_sort(F.collect_list("signed_spend_cents")).alias("own")), "amount-cells")
+    moved = lambda by, value, name: cells.select(*GROUP, (F.col("cell") + by).alias("cell"), value.alias(name))
+    around = (
+        cells.join(moved(1, F.array_max("own"), "below"), cell, "left").join(moved(-1, F.col("own"), "next_one"), cell, "left").join(moved(-2, F.array_min("own"), "next_two"), cell, "left")
     )
-    return narrow_rows.unionByName(wide_rows)
+    each = around.select(*GROUP, "cell", "own", "below", "next_one", "next_two", F.posexplode("own").alias("i", "amount"))
+    before = F.when(F.col("i") > 0, F.get("own", F.col("i") - 1)).otherwise(F.col("below"))
+    beyond = F.coalesce(F.array_min(F.filter("next_one", lambda y: y >= F.col("amount") + width)), F.col("next_two"))
+    linked = cut(each.select(*GROUP, "cell", "amount", F.coalesce(F.col("amount") - before > tolerance, F.lit(True)).alias("starts"), beyond.alias("beyond")), "amounts")
+    anchors = linked.filter("starts").select(*GROUP, "amount")
+    inner = linked.filter("NOT starts").select(*GROUP, F.col("amount").alias("beyond"))
+    hops = cut(linked.join(inner, [*GROUP, "beyond"]).select(*GROUP, "amount", "beyond"), "hops")
+    while not hops.isEmpty():
+        reached = anchors.join(hops, [*GROUP, "amount"]).select(*GROUP, F.col("beyond").alias("amount"))
+        anchors = cut(anchors.union(reached).distinct(), "anchors")
+        further = hops.select(*GROUP, F.col("amount").alias("beyond"), F.col("beyond").alias("far"))
+        hops = cut(hops.join(further, [*GROUP, "beyond"]).select(*GROUP, "amount", F.col("far").alias("beyond")), "hops")
+    # a cell has one anchor at most; an amount's own is in its cell or the one below
+    placed = anchors.select(*GROUP, F.explode(F.sequence(F.floor(F.col("amount") / width), F.floor(F.col("amount") / width) + 1)).alias("cell"), F.col("amount").alias("anchor"))
+    near = linked.select(*GROUP, "cell", "amount").join(placed, cell).filter((F.col("anchor") <= F.col("amount")) & (F.col("amount") - F.col("anchor") <= tolerance))
+    return near.groupBy(*GROUP, F.col("amount").alias("signed_spend_cents")).agg(F.max("anchor").alias("anchor"))
 
 
 def detect_recurring(events: DataFrame, items: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:

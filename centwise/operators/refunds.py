@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from centwise.config import ReconcileConfig, RECONCILE
 from centwise.functions.money import bank_to_spend, route
 from centwise.operators.assign import greedy_pairs
-from centwise.operators.candidates import KEY, partial_candidates
+from centwise.operators.candidates import KEY, partial_blocks
 from centwise.operators.cells import cell, touched
 from centwise.operators.matching import line_ids, match_record
+from centwise.operators.ordered import running
 from centwise.storage import cut
 
 # The order in which kinds of credit are spent.
@@ -108,56 +106,67 @@ def credit_balance(accruals: DataFrame) -> DataFrame:
     return accruals.groupBy(KEY, "kind").agg(F.sum("amount_cents").alias("balance_cents"))
 
 
-def _spend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk pairs in order, spending the first kind of credit that still covers the gap.
+def _draw(pairs: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` that one kind of credit covers, and the others.
 
-    Batches arrive sorted by household and rank; only three balances are held.
+    In order, a pair is covered if what is left of the household's balance is
+    enough.  With running sums that is every pair up to the first that does not
+    fit.  What is left then only shrinks, so pairs above it are out for good, and
+    the rest is summed again: one pass where a balance covers all pairs it could
+    cover, one more for each time that a pair does not fit but a later one might.
     """
-    household, left = None, {}
-    for pdf in batches:
-        chosen = []
-        columns = [pdf[KEY], pdf["gap_cents"], *[pdf[k] for k in CREDIT_KINDS]]
-        for hh, gap, *balances in zip(*columns):
-            if hh != household:
-                household, left = hh, dict(zip(CREDIT_KINDS, balances))
-            kind = next((k for k in CREDIT_KINDS if left[k] >= gap), None)
-            if kind:
-                left[kind] -= gap
-            chosen.append(kind)
-        yield pd.DataFrame({KEY: pdf[KEY], "transaction_id": pdf["transaction_id"], "receipt_id": pdf["receipt_id"], "kind": chosen})
+    order = [F.desc("confidence"), F.col("transaction_id"), F.col("receipt_id")]
+    drawn, rest, left = None, None, pairs.withColumn("_left", F.col(kind))
+    while True:
+        fits = F.col("gap_cents") <= F.col("_left")
+        out = left.filter(~fits).select(*pairs.columns)
+        rest = out if rest is None else rest.unionByName(out)
+        tried = cut(running(left.filter(fits), [KEY], order, _total=F.col("gap_cents")), "tried")
+        enough = F.col("_total") <= F.col("_left")
+        found = tried.filter(enough).select(*pairs.columns)
+        drawn = found if drawn is None else drawn.unionByName(found)
+        if tried.filter(~enough).isEmpty():
+            return drawn, rest
+        spent = tried.filter(enough).groupBy(KEY).agg(F.max("_total").alias("_spent"))
+        left = tried.filter(~enough).join(spent, KEY).withColumn("_left", F.col("_left") - F.col("_spent")).drop("_total", "_spent")
 
 
 def spend_credit(pairs: DataFrame, accruals: DataFrame) -> DataFrame:
     """``pairs`` with the credit kind each one draws on (null: not covered).
 
-    The choice depends on every earlier pair of the household, so it is one
-    ordered pass.  Pairs larger than every balance of their household can never
-    be covered and take no part in it.
+    By falling confidence, then ids, each pair draws on the first kind whose
+    balance still covers its gap.  Which pairs a kind covers depends on that kind
+    and those before it only, so kinds are drawn on one after another.
     """
     wide = credit_balance(accruals).groupBy(KEY).pivot("kind", CREDIT_KINDS).agg(F.first("balance_cents"))
     wide = wide.select(KEY, *[F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in CREDIT_KINDS])
     in_play = pairs.join(wide, KEY).filter(F.greatest(*CREDIT_KINDS) >= F.col("gap_cents"))
-    ordered = in_play.select(KEY, "transaction_id", "receipt_id", "gap_cents", *CREDIT_KINDS, "confidence").repartition(KEY).sortWithinPartitions(
-        KEY, F.desc("confidence"), "transaction_id", "receipt_id"
-    )
-    drawn = ordered.drop("confidence").mapInPandas(_spend, f"{KEY} string, transaction_id string, receipt_id string, kind string")
-    return pairs.join(drawn.filter("kind IS NOT NULL"), [KEY, "transaction_id", "receipt_id"], "left")
+    ident = [KEY, "transaction_id", "receipt_id"]
+    rest = cut(in_play.select(*ident, "gap_cents", "confidence", *CREDIT_KINDS), "gaps")
+    covered = None
+    for kind in CREDIT_KINDS:
+        drawn, rest = _draw(rest, kind)
+        found = drawn.select(*ident, F.lit(kind).alias("kind"))
+        covered = found if covered is None else covered.unionByName(found)
+    return pairs.join(covered, ident, "left")
 
 
 def partial_payments(
-    bank: DataFrame, receipts: DataFrame, accruals: DataFrame, matches: DataFrame, cfg: ReconcileConfig = RECONCILE
+    bank: DataFrame, receipts: DataFrame, accruals: DataFrame, matches: DataFrame, cfg: ReconcileConfig = RECONCILE, names: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Receipts part-paid from credit: (matches, events, drawdowns).
 
     ``matches`` are all earlier matches, whatever their status: their lines and
-    receipts are out of the pool.
+    receipts are out of the pool.  ``names`` are the name pairs of all lines and
+    receipts, where the caller has them.
     """
     used_lines = matches.select(KEY, F.explode(line_ids()).alias("id"))
     used_receipts = matches.filter("receipt_id IS NOT NULL").select(KEY, F.col("receipt_id").alias("id"))
     free_lines = bank.join(used_lines, [KEY, "id"], "left_anti")
     free_receipts = receipts.join(used_receipts, [KEY, "id"], "left_anti")
-    edges = partial_candidates(free_lines, free_receipts, cfg)
-    pairs = greedy_pairs(edges, "transaction_id", "receipt_id", [-F.col("confidence"), F.col("transaction_id"), F.col("receipt_id")])
+    edges, (slips, debits) = partial_blocks(free_lines, free_receipts, cfg, names)
+    sized = edges.withColumnsRenamed({"_bn": "_ln", "_sn": "_rn"})
+    pairs = greedy_pairs(sized, "transaction_id", "receipt_id", [-F.col("confidence")], (debits, slips))
     drawn = cut(spend_credit(pairs, accruals), "drawn")
     largest = accruals.filter(F.col("amount_cents") > 0).groupBy(KEY, "kind").agg(F.min(F.struct(-F.col("amount_cents"), F.col("id").alias("id"))).alias("top"))
     drawn = drawn.join(largest.select(KEY, "kind", F.col("top.id").alias("credit_id")), [KEY, "kind"], "left")

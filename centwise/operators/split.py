@@ -9,23 +9,36 @@ from centwise.functions.dates import days_between
 from centwise.operators.candidates import KEY, payable_orders, retailer_debits
 
 
+def _shifted(bits: Column, by: Column) -> Column:
+    """A bit set in 64-bit words moved up by ``by`` places; what leaves its last word is lost."""
+    words, places = F.floor(by / 64).cast("int"), (by % 64).cast("int")
+    none = F.lit(0).cast("bigint")
+    low = lambda i: F.call_function("shiftleft", F.coalesce(F.get(bits, i - words), none), places)
+    carried = lambda i: F.call_function("shiftrightunsigned", F.coalesce(F.get(bits, i - words - 1), none), 64 - places)
+    return F.transform(F.sequence(F.lit(0), F.size(bits) - 1), lambda i: F.when(places > 0, low(i).bitwiseOR(carried(i))).otherwise(low(i)))
+
+
+def _holds(bits: Column, value: Column) -> Column:
+    word = F.coalesce(F.get(bits, F.floor(value / 64).cast("int")), F.lit(0).cast("bigint"))
+    return (value >= 0) & (F.call_function("shiftrightunsigned", word, F.pmod(value, F.lit(64)).cast("int")).bitwiseAND(1) == 1)
+
+
 def first_exact_subset(amounts: Column, target: Column) -> Column:
     """Places (from 0) of the first subset, in depth-first order, that sums to ``target``; empty if none.
 
-    ``reach[i]`` holds the sums up to ``target`` that the amounts from place i on
-    can make, so a pool of any size costs its length times ``target`` + 1 at most.
-    The walk takes an amount whenever the rest can still be made.
+    ``reach[i]`` is the set of sums up to ``target`` that the amounts from place i
+    on can make, one bit for each cent in 64-bit words.  A pool of n amounts holds
+    (n + 1) * (target / 8 + 8) bytes at most: 7.7 MB for 40 charges and 15,000
+    dollars.  The walk takes an amount whenever the rest can still be made.
     """
     none = F.array().cast("array<int>")
-    reach = F.aggregate(
-        F.reverse(amounts),
-        F.array(F.array(F.lit(0).cast("bigint"))),
-        lambda acc, x: F.concat(F.array(F.array_distinct(F.concat(acc[0], F.filter(F.transform(acc[0], lambda s: s + x), lambda s: s <= target)))), acc),
-    )
+    empty = F.transform(F.sequence(F.lit(0), F.floor(target / 64).cast("int")), lambda i: F.when(i == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
+    reach = F.aggregate(F.reverse(amounts), F.array(empty), lambda acc, x: F.concat(F.array(both(acc[0], _shifted(acc[0], x))), acc))
 
     def step(walk: Column, i: Column) -> Column:
         left = walk["left"] - F.get(amounts, i)
-        take = (walk["left"] > 0) & F.array_contains(F.get(walk["reach"], i + 1), left)
+        take = (walk["left"] > 0) & _holds(F.get(walk["reach"], i + 1), left)
         return F.struct(F.when(take, left).otherwise(walk["left"]).alias("left"), F.when(take, F.concat(walk["chosen"], F.array(i))).otherwise(walk["chosen"]).alias("chosen"), walk["reach"].alias("reach"))
 
     start = F.struct(target.alias("left"), none.alias("chosen"), reach.alias("reach"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from centwise.config import ReconcileConfig, RECONCILE
+from centwise.operators.candidates import name_pairs
 from centwise.operators.matching import apply_decisions, line_ids, match_orders, match_receipts
 from centwise.operators.merge import event_items, merge_counted
 from centwise.operators.refunds import card_refunds, credit_refunds, partial_payments
@@ -34,18 +35,19 @@ class Ledger:
         return self.matches.filter(F.col("status") == "review")
 
 
-def match_all(inputs: Inputs, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
+def match_all(inputs: Inputs, cfg: ReconcileConfig = RECONCILE, names: DataFrame | None = None) -> DataFrame:
     """Receipt and order matches with human decisions applied. The two matchers do not share claims."""
-    found = match_receipts(inputs.bank, inputs.receipts, cfg).unionByName(match_orders(inputs.bank, inputs.orders, cfg))
+    found = match_receipts(inputs.bank, inputs.receipts, cfg, names).unionByName(match_orders(inputs.bank, inputs.orders, cfg))
     return cut(apply_decisions(found, inputs.confirmed), "matches")
 
 
 def reconcile(inputs: Inputs, cfg: ReconcileConfig = RECONCILE) -> Ledger:
-    found = match_all(inputs, cfg)
+    names = cut(name_pairs(inputs.bank, inputs.receipts, cfg), "names")
+    found = match_all(inputs, cfg, names)
     card_matches, card_events = card_refunds(inputs.bank)
     credit_matches, credit_events = credit_refunds(inputs.order_items, inputs.orders, inputs.accruals)
     before = found.unionByName(card_matches).unionByName(credit_matches)
-    part_matches, part_events, drawdowns = partial_payments(inputs.bank, inputs.receipts, inputs.accruals, before, cfg)
+    part_matches, part_events, drawdowns = partial_payments(inputs.bank, inputs.receipts, inputs.accruals, before, cfg, names)
     # partial payments carry their own events, so they are not merged again
     bought, links = merge_counted(found.filter(F.col("status") == "auto_linked"), inputs.bank, inputs.orders, inputs.accruals)
     items = event_items(bought, links, inputs.receipts, inputs.receipt_items, inputs.order_items)

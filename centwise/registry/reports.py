@@ -163,3 +163,24 @@ def relinked_events(spark, d):
     direct = ledger.matches.filter((F.col("type") == "order_bank") & F.col("confirmed_by").isNull() & (F.col("transaction_id") != target))
     moved = corrections.relink(ledger, direct.select("household_id", "match_id", target.alias("new_transaction_id")))
     return moved.events.select("household_id", "event_id", "transaction_id", "occurred_on")
+
+
+# moves that build on each other: of a household's first three direct order matches the first goes on to the second's and the third's line, then the second to the first's
+fragment("r_three", """
+SELECT household_id, min(match_id) FILTER (n = 1) AS m1, min(match_id) FILTER (n = 2) AS m2, min(transaction_id) FILTER (n = 1) AS t1, min(transaction_id) FILTER (n = 2) AS t2, min(transaction_id) FILTER (n = 3) AS t3
+FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY match_id) AS n FROM e_all_matches WHERE type = 'order_bank' AND status = 'auto_linked' AND confirmed_by IS NULL) GROUP BY 1 HAVING max(n) >= 3""")
+
+
+@query("relinked_chains", """
+WITH f AS (SELECT household_id, transaction_id, min(event_id) AS event_id, arg_min(occurred_on, event_id) AS on_ FROM e_events WHERE transaction_id IS NOT NULL GROUP BY ALL),
+c AS (SELECT r.*, a.event_id AS e1, b.event_id AS e2, c.event_id AS e3, a.on_ AS d1, b.on_ AS d2, c.on_ AS d3 FROM r_three r
+  JOIN f a ON a.household_id = r.household_id AND a.transaction_id = t1 JOIN f b ON b.household_id = r.household_id AND b.transaction_id = t2 JOIN f c ON c.household_id = r.household_id AND c.transaction_id = t3),
+m AS (SELECT household_id, e1 AS event_id, t3 AS tx, d3 AS day FROM c UNION ALL SELECT household_id, e2, t2, d2 FROM c UNION ALL SELECT household_id, e3, t1, d1 FROM c)
+SELECT e.household_id, e.event_id, coalesce(tx, transaction_id) AS transaction_id, coalesce(day, occurred_on) AS occurred_on FROM e_events e LEFT JOIN m USING (household_id, event_id)""")
+def relinked_chains(spark, d):
+    ledger = _ledger(spark, d)
+    direct = ledger.matches.filter("type = 'order_bank' AND status = 'auto_linked' AND confirmed_by IS NULL").select("household_id", "match_id", "transaction_id")
+    three = direct.groupBy("household_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("match_id", "transaction_id"))), 1, 3).alias("m")).filter(F.size("m") == 3)
+    move = lambda seq, match, line: F.struct(F.lit(seq).alias("seq"), F.col("m")[match]["match_id"].alias("match_id"), F.col("m")[line]["transaction_id"].alias("new_transaction_id"))
+    moves = three.select("household_id", F.explode(F.array(move(1, 0, 1), move(2, 0, 2), move(3, 1, 0))).alias("v")).select("household_id", "v.*")
+    return corrections.relink_in_order(ledger, moves).events.select("household_id", "event_id", "transaction_id", "occurred_on")

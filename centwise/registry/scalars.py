@@ -146,7 +146,7 @@ def _rule_sql(subject: str, want: str) -> str:
 @query("document_categories", f"SELECT doc_id, {_rule_sql('text', 'category')} AS category, {_rule_sql('text', 'keyword')} AS keyword FROM documents")
 def document_categories(spark, d):
     hit = rules.keyword_category(F.col("text"))
-    return derived.table(spark, d, "documents").select("doc_id", "text").select("doc_id", hit.alias("hit")).select("doc_id", "hit.category", "hit.keyword")
+    return _dealt(spark, d, "documents", "doc_id").select("doc_id", hit.alias("hit")).select("doc_id", "hit.category", "hit.keyword")
 
 
 @query("item_classes", f"""
@@ -257,8 +257,13 @@ def account_names(spark, d):
     )
 
 
+def _dealt(spark, d, table, ident):
+    """A table's texts over as many tasks as a shuffle has: a file of one row group is one task else, and patterns cost more than the shuffle."""
+    return derived.table(spark, d, table).select(ident, "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), ident)
+
+
 def _hits(df, ident):
-    return df.select(ident, "text").select(ident, F.explode(sensitive.sensitive_hits(F.col("text"))).alias("h")).groupBy(ident, "h.kind", "h.match").agg(F.count("*").alias("hits"))
+    return df.select(ident, F.explode(sensitive.sensitive_hits(F.col("text"))).alias("h")).groupBy(ident, "h.kind", "h.match").agg(F.count("*").alias("hits"))
 
 
 _SQL_PATTERNS = {
@@ -274,10 +279,10 @@ def _hits_sql(table: str, ident: str) -> str:
 
 @query("sensitive_documents", _hits_sql("documents", "doc_id"))
 def sensitive_documents(spark, d):
-    return _hits(derived.table(spark, d, "documents"), "doc_id")
+    return _hits(_dealt(spark, d, "documents", "doc_id"), "doc_id")
 
 
 @query("sensitive_conversations", _hits_sql("conversations", "conv_id"))
 def sensitive_conversations(spark, d):
-    return _hits(derived.table(spark, d, "conversations"), "conv_id")
+    return _hits(derived.table(spark, d, "conversations").select("conv_id", "text"), "conv_id")
 

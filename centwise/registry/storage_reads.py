@@ -13,6 +13,7 @@ from centwise.registry.catalog import query
 from centwise.registry.engine import inputs
 from centwise.registry.fragments import fragment
 from centwise.registry.stored import household
+from centwise.storage import new_path
 
 _CATS = ", ".join("('{}', '{}')".format(i, n) for i, n in CATEGORIES.items())
 fragment("q_categories", f"SELECT * FROM (VALUES {_CATS}) AS c(category_id, category)")
@@ -40,6 +41,17 @@ def insert_or_ignore(spark, d):
     return _line_load(spark, d)[1].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
 
 
+@query("first_in_file_order", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'early' ELSE 'late' END AS file, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0")
+def first_in_file_order(spark, d):
+    """A small file comes before a large one by name; keys that both hold are taken from the first."""
+    orders = derived.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    folder = new_path(spark, "batch")
+    for name, part in (("a-early", orders.filter("o_orderkey % 10 = 3")), ("b-late", orders)):
+        part.select("o_orderkey", F.lit(name[2:]).alias("file"), "o_totalprice").write.parquet(f"{folder}/{name}")
+    batch = spark.read.schema("o_orderkey bigint, file string, o_totalprice double").parquet(f"{folder}/a-early", f"{folder}/b-late")
+    return load.insert_or_ignore(orders.filter("o_orderkey % 7 = 0"), batch, ["o_orderkey"])
+
+
 @query("load_counts", """
 SELECT l_linestatus, coalesce(CAST(n AS BIGINT), 0) AS inserted, seen - coalesce(n, 0) AS skipped_duplicates, errors
 FROM (SELECT l_linestatus, count(*) AS seen, count(*) FILTER (l_quantity >= 50) AS errors FROM lineitem GROUP BY 1) LEFT JOIN (SELECT l_linestatus, count(*) AS n FROM q_line_new GROUP BY 1) USING (l_linestatus)""")

@@ -121,6 +121,42 @@ def test_corrections(spark, golden):
         corrections.apply_corrections(ledger, [{"kind": "other"}])
 
 
+def test_relinks_in_order_equal_one_at_a_time(spark):
+    """A list of moves composed at once against plain steps; the plan doesn't grow with the list."""
+    rnd = random.Random(8)
+    matches, events, moves = [], [], []
+    for hh in ("h1", "h2", "h3"):
+        lines = [f"{hh}t{i}" for i in range(7)]
+        matches += [(hh, f"{hh}m{i}", rnd.choice([*lines[:5], None])) for i in range(5)]
+        events += [(hh, f"{hh}e{i:02d}", rnd.choice([*lines[:6], None]), day(f"2024-01-{i + 1:02d}")) for i in range(9)]
+        moves += [(hh, i, rnd.choice([f"{hh}m{k}" for k in range(5)] + ["no-such"]), rnd.choice(lines)) for i in range(25)]
+    tx = {(h, m): t for h, m, t in matches}
+    at = {(h, e): [t, d] for h, e, t, d in events}
+    for h, _, m, new in sorted(moves, key=lambda x: x[1]):
+        old = tx.get((h, m))
+        if (h, m) in tx:
+            tx[h, m] = new
+        here, there = (min((e for (g, e), v in at.items() if g == h and t is not None and v[0] == t), default=None) for t in (old, new))
+        if here is None or here == there:
+            continue
+        at[h, here][0] = new
+        if there is not None:
+            at[h, there][0] = old
+            at[h, here][1], at[h, there][1] = at[h, there][1], at[h, here][1]
+    made = match_record(spark.createDataFrame(matches, "household_id string, match_id string, transaction_id string"))
+    ledger = engine.Ledger(spark.createDataFrame(events, "household_id string, event_id string, transaction_id string, occurred_on date"), spark.range(0), made, spark.range(0))
+    frame = spark.createDataFrame(moves, "household_id string, seq int, match_id string, new_transaction_id string")
+    out = corrections.relink_in_order(ledger, frame)
+    assert {(r.household_id, r.event_id): [r.transaction_id, r.occurred_on] for r in out.events.collect()} == at
+    assert {(r.household_id, r.match_id): r.transaction_id for r in out.matches.collect()} == tx
+
+    def joins(n):
+        edits = [{"kind": "relink_match", "household_id": h, "match_id": m, "new_transaction_id": t} for h, _, m, t in (moves * 3)[:n]]
+        return corrections.apply_corrections(ledger, edits).events._jdf.queryExecution().analyzed().toString().count("Join")
+
+    assert joins(1) == joins(200)
+
+
 def greedy(edges):
     left, right, out = set(), set(), []
     for rank, a, b in sorted(edges):
@@ -181,6 +217,17 @@ def test_first_subset_equals_depth_first(spark):
     assert got == [first_subset(a, t) for a, t in cases]
 
 
+def test_subsets_across_words_of_the_bit_set(spark):
+    rnd = random.Random(11)
+    cases = [([rnd.choice([1, 63, 64, 65, 127, 128, 129, 500]) for _ in range(rnd.randint(2, 8))], rnd.choice([64, 127, 128, 192, 255, 256, 700])) for _ in range(200)]
+    cases.append(([30_000 + 7 * i for i in range(40)], 30_000 + 31_001 + 6))
+    cases.append(([37_501] * 39 + [37_461], 1_500_000))
+    df = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(cases)], "i int, a array<bigint>, t bigint")
+    got = [r[0] for r in df.orderBy("i").select(split.first_exact_subset(F.col("a"), F.col("t"))).collect()]
+    assert got[:-2] == [first_subset(a, t) for a, t in cases[:-2]]
+    assert got[-2] == [] and got[-1] == list(range(40))
+
+
 def test_a_pool_of_any_size_is_searched(spark):
     orders = spark.createDataFrame([(H, "o", "x", day("2024-01-10"), 30_011)], ORDERS)
     lines = bank(spark, [("a", "2024-01-10", -10_000, "AMAZON"), ("b", "2024-01-11", -20_011, "AMAZON")] + [(f"c{i}", "2024-01-12", -2 * (900 + i), "AMAZON") for i in range(38)] + [(f"z{i}", "2024-01-12", -90_000 - i, "AMAZON") for i in range(30)])
@@ -242,10 +289,35 @@ def test_credit_is_spent_in_order(spark):
     assert got == {"t0": "gift_card", "t1": None, "t2": "store_credit", "t3": "gift_card", "t4": None}
 
 
+def test_credit_equals_a_walk(spark):
+    rnd = random.Random(6)
+    pairs, credit, want = [], [], {}
+    kinds = ["gift_card", "store_credit", "account_balance"]
+    for hh in range(25):
+        left = {}
+        for k in kinds:
+            if rnd.random() < 0.8:
+                left[k] = rnd.choice([-50, 0, 120, 400, 2000])
+                credit.append((f"{hh}{k}", str(hh), k, left[k], None, None, None))
+        own = [(f"t{i}", f"r{i}", rnd.choice([1, 30, 60, 99, 100, 119, 400]), rnd.choice([0.5, 0.7, 0.9])) for i in range(rnd.choice([0, 3, 40]))]
+        pairs += [(str(hh), *x) for x in own]
+        for t, r, gap, _ in sorted(own, key=lambda x: (-x[3], x[0], x[1])):
+            kind = next((k for k in kinds if left.get(k, 0) >= gap), None)
+            if kind:
+                left[kind] -= gap
+            want[str(hh), t] = kind
+    df = spark.createDataFrame(pairs, "household_id string, transaction_id string, receipt_id string, gap_cents bigint, confidence double")
+    got = {(r.household_id, r.transaction_id): r.kind for r in refunds.spend_credit(df, spark.createDataFrame(credit, CREDIT)).collect()}
+    assert got == want and len({k for k in want.values()}) == 4
+
+
 def test_anchor_groups_equal_a_fold(spark):
     rnd = random.Random(3)
     amounts = {m: sorted({rnd.randint(0, 4000) for _ in range(60)}) for m in "abc"}
     df = spark.createDataFrame([(H, m, a) for m, xs in amounts.items() for a in xs], "household_id string, merchant string, signed_spend_cents bigint")
+    chain = [(H, "d", 201 * i) for i in range(300)] + [(H, "e", -5), (H, "e", 195), (H, "e", 196), (H, "e", -206)]
+    amounts |= {"d": [201 * i for i in range(300)], "e": [-206, -5, 195, 196]}
+    df = df.union(spark.createDataFrame(chain, df.schema))
     got = {(r.merchant, r.signed_spend_cents): r.anchor for r in recurring.amount_anchors(df, 200).collect()}
     want = {}
     for m, xs in amounts.items():
@@ -270,3 +342,65 @@ def test_one_huge_household_is_not_special(spark):
                 edges.append(((-conf, r, i), r, i))
     got = match_receipts(bank(spark, lines), spark.createDataFrame(slips, RECEIPTS))
     assert sorted((r.receipt_id, r.transaction_id) for r in got.collect()) == greedy(edges)
+
+
+def block_edges(seed, households=12):
+    """Edges between blocks of random sizes, whose members' ids are mixed among the blocks, with few different ranks."""
+    rnd = random.Random(seed)
+    edges, lefts, rights, pairs = [], [], [], []
+    for hh in range(households):
+        sides = []
+        for side, rows in (("l", lefts), ("r", rights)):
+            names = [f"{hh}{side}{i:03d}" for i in range(rnd.randint(2, 14))]
+            rnd.shuffle(names)
+            own = []
+            while names:
+                n = rnd.choice([1, 1, 2, 3, 7])
+                own.append(sorted(names[:n]))
+                names = names[n:]
+                if len(own[-1]) > 1:
+                    rows += [(str(hh), own[-1][0], x, at) for at, x in enumerate(own[-1])]
+            sides.append(own)
+        for a in sides[0]:
+            for b in sides[1]:
+                if rnd.random() < 0.6:
+                    rank = rnd.randint(0, 2)
+                    edges.append((str(hh), rank, a[0], b[0], len(a), len(b)))
+                    pairs += [(rank, x, y) for x in a for y in b]
+    return edges, lefts, rights, pairs
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pairs_of_blocks_equal_sequential_greedy(spark, seed):
+    edges, lefts, rights, pairs = block_edges(seed)
+    member = "household_id string, block string, id string, at bigint"
+    df = spark.createDataFrame(edges, "household_id string, k int, l string, r string, _ln bigint, _rn bigint")
+    got = assign.greedy_pairs(df, "l", "r", [F.col("k")], (spark.createDataFrame(lefts, member), spark.createDataFrame(rights, member)))
+    assert got.columns == ["household_id", "k", "l", "r"]
+    assert sorted((r.l, r.r) for r in got.collect()) == greedy(pairs)
+
+
+def test_equal_receipts_and_charges_settle_as_one_block(spark, monkeypatch):
+    """500 receipts and 500 charges that differ in their ids only, beside ordinary ones: few rounds, few candidate rows."""
+    rounds, candidates_seen = [], []
+    put, once = assign.Rounds.put, assign.cut
+    monkeypatch.setattr(assign.Rounds, "put", lambda self, df, name: rounds.append(1) or put(self, df, name))
+    monkeypatch.setattr(assign, "cut", lambda df, name: (lambda t: (candidates_seen.append(t.count()) if name == "edges" else None, t)[1])(once(df, name)))
+    lines = [(f"b{i:03d}", "2024-01-10", -500, "COSTCO") for i in range(500)] + [(f"c{i}", "2024-01-10", -500 - i, "TARGET") for i in range(3)]
+    slips = [(H, f"r{i:03d}", "COSTCO", day("2024-01-10"), 500, None) for i in range(500)] + [(H, f"s{i}", "TARGET", day("2024-01-10"), 500 + i, None) for i in range(3)]
+    got = match_receipts(bank(spark, lines), spark.createDataFrame(slips, RECEIPTS)).collect()
+    assert sorted((r.receipt_id, r.transaction_id) for r in got) == sorted([(f"r{i:03d}", f"b{i:03d}") for i in range(500)] + [(f"s{i}", f"c{i}") for i in range(3)])
+    assert len({r.match_id for r in got}) == 503 and len(rounds) <= 3 and sum(candidates_seen) < 100
+
+
+def test_running_sums_equal_a_walk(spark):
+    from centwise.operators.ordered import running
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("aab"), i, rnd.randint(-5, 9)) for i in rnd.sample(range(5000), 3000)]
+    got = {(r.g, r.o): (r.total, r.n) for r in running(spark.createDataFrame(rows, "g string, o int, v int").repartition(7), ["g"], [F.col("o")], total=F.col("v"), n=F.lit(1)).collect()}
+    seen, want = {}, {}
+    for g, o, v in sorted(rows):
+        total, n = seen.get(g, (0, 0))
+        seen[g] = want[g, o] = (total + v, n + 1)
+    assert got == want

@@ -141,3 +141,19 @@ def test_sensitive(spark):
     hits = apply(spark, sensitive.sensitive_hits, ["card 4111111111111111 ****4242 ending in 4242 123-45-6789 sk-abcdefghijklmnopqrstuvwx 4111 1111 1111 1111", "paid 4242"])
     assert sorted(h["kind"] for h in hits[0]) == ["api_key", "ending_in", "masked_last4", "pan", "pan_grouped", "ssn"]
     assert hits[1] == []
+
+
+@pytest.mark.parametrize("text, category, keyword", [
+    ("UBER EATS 8005928996", "Dining", "UBER EATS"), ("UBER TRIP HELP.UBER.COM", "Transportation", "UBER"), ("Uber  Eats", None, None), ("Lyft ride", "Transportation", "Lyft"), ("flyft", None, None),
+    ("Apple TV+ monthly", "Subscriptions", "Apple TV+"), ("whole foods mkt", "Groceries", "whole foods"), ("Domino's Pizza", "Dining", "Domino's"), ("dominos", "Dining", "dominos"),
+    ("Subway store", "Dining", "Subway"), ("subways", None, None), ("HBO", "Subscriptions", "HBO"), ("hboard", None, None), ("CVS/PHARMACY", "Health & Medical", "CVS"),
+    ("USB-C cable and hub", "Electronics", "USB-C cable"), ("usb cable", "Electronics", "usb cable"), ("Kindle book", "Electronics", "Kindle"), ("a novel by", "Books & Media", "novel"),
+    ("running shoe", "Clothing", "shoe"), ("H&M store", "Clothing", "H&M"), ("Lowe's", "Home Improvement", "Lowe's"), ("AT&T bill", "Utilities", "AT&T"), ("monthly rent", "Housing", "rent"),
+    ("current account", None, None), ("Delta 123", "Travel", "Delta"), ("Booking.com", "Travel", "Booking.com"), ("bookingXcom", None, None), ("State Farm", "Insurance", "State Farm"),
+    ("day spa", "Personal Care", "spa"), ("spaghetti", None, None), ("Chewy order", "Pet Care", "Chewy"), ("college fees", "Education", "college"), ("light bulb", "Household", "light bulb"),
+    ("lightbulb", "Household", "lightbulb"), ("Sam's Club", "Shopping", "Sam's Club"), ("Amazon Prime", "Subscriptions", "Amazon Prime"), ("Amazon", "Shopping", "Amazon"),
+    ("Netflix via Amazon", "Subscriptions", "Netflix"), ("CAFÉ netflìx", None, None), ("", None, None), (None, None, None), ("word " * 20_000 + "petco", "Pet Care", "petco"),
+])
+def test_keyword_categories_by_hand(spark, text, category, keyword):
+    hit = spark.createDataFrame([(text,)], "t string").select(rules.keyword_category(F.col("t")).alias("h")).first().h
+    assert (hit and (hit.category, hit.keyword) or (None, None)) == (category, keyword)

@@ -252,3 +252,15 @@ def test_even_sampling(spark, n, limit):
     rows = spark.range(n).select(F.format_string("%05d", "id").alias("id"))
     want = list(range(n)) if limit is None or limit >= n else [int(i * (n / limit)) for i in range(limit)]
     assert sorted(int(r.id) for r in quality.sample_evenly(rows, ["id"], limit).collect()) == want
+
+
+def test_first_row_by_file_and_place(spark, tmp_path):
+    """The smaller file comes first by name; Spark reads the larger one first."""
+    small = [(i, "small", n) for n, i in enumerate([5, 3, 5, 9])]
+    large = [(i % 4000, "large", i) for i in range(60_000)]
+    for name, rows in (("a", small), ("b", large)):
+        spark.createDataFrame(rows, "k int, file string, n int").coalesce(1).write.parquet(str(tmp_path / name))
+    batch = spark.read.parquet(str(tmp_path / "a"), str(tmp_path / "b"))
+    stored = spark.createDataFrame([(9,)], "k int")
+    got = {r.k: (r.file, r.n) for r in insert_or_ignore(stored, batch, ["k"]).collect()}
+    assert got == {i: ("large", i) for i in range(4000) if i != 9} | {5: ("small", 0), 3: ("small", 1)}
