@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from centwise.functions.text import let
+
+#: Cells of a record at most; the reader sets up one slot for each.
+MOST_CELLS = 1 << 20
+_BLANK = r"[\x00-\x20&&[^\r\n]]*+"
 
 
 def csv_cells(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
     """(file, pos, cells) of every row; no header is assumed, and no cell is cut off.
 
-    A first pass over the raw records bounds their number of cells by their
-    number of commas.  Cells may hold line breaks, so one file is one task;
-    positions follow file order.  Rows end at their last cell that isn't empty.
+    The reader finds the records, which may hold quoted line breaks, and hands
+    each over whole; its cells are cut in place, so one wide record widens no other
+    and the file is read once.  One file is one task; positions follow file order.
+    Empty cells, quoted or not, are null.  Rows end at their last cell that isn't
+    null.
     """
-    def reader():
-        return (
-            spark.read.option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("maxCharsPerColumn", -1)
-            .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim)
-        )
-
-    many = 1 << 20
-    raw = reader().schema("first string, raw string").option("columnNameOfCorruptRecord", "raw").option("maxColumns", many).csv(path)
-    commas = raw.agg(F.max("first"), F.max(F.length("raw") - F.length(F.replace("raw", F.lit(","), F.lit(""))))).first()[1]
-    width = (commas or 0) + 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = reader().schema(schema).option("maxColumns", max(width, 20480)).csv(path)
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
+    # a record of more cells than the schema counts as corrupt and is kept as it stands
+    rows = (
+        spark.read.option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("maxCharsPerColumn", -1).option("maxColumns", MOST_CELLS)
+        .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).option("columnNameOfCorruptRecord", "record").schema("only string, record string").csv(path)
+    )
+    cells = F.when(F.col("record").isNull(), F.array("only")).otherwise(record_cells(F.col("record"), trim))
     clean = F.transform(cells, lambda c: F.regexp_replace(c, "^" + chr(0xFEFF), ""))
-    last = F.aggregate(clean, F.struct(F.lit(0).alias("at"), F.lit(0).alias("last")), lambda s, c: F.struct((s["at"] + 1).alias("at"), F.when(c.isNotNull(), s["at"] + 1).otherwise(s["last"]).alias("last")), lambda s: s["last"])
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), F.slice(clean, F.lit(1), last).alias("cells"))
+    kept = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), clean.alias("cells"))
+    empty_end = let(F.reverse("cells"), lambda back: F.coalesce(F.array_position(F.transform(back, lambda c: c.isNotNull()), True).cast("int"), F.lit(0)))
+    return kept.withColumn("cells", let(empty_end, lambda p: F.when(p == 0, F.slice("cells", 1, 0)).otherwise(F.slice("cells", F.lit(1), F.size("cells") - p + 1))))
+
+
+def record_cells(record: Column, trim: bool = True) -> Column:
+    """Cells of one record: quoted ones without their quotes, others trimmed if asked; empty ones null."""
+    around = _BLANK if trim else ""
+    quoted = rf'{around}"[^"]*+(?:""[^"]*+)*+"{around}(?=,|\z)'
+    parts = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(record, r"[\r\n]+\z", "")), F.lit(f",(?:{quoted}|[^,]*+)"), F.lit(0))
+
+    def value(part: Column) -> Column:
+        body = F.substr(part, F.lit(2))
+        plain = F.regexp_replace(body, r"^[\x00-\x20]++|[\x00-\x20]++\z", "") if trim else body
+        inside = F.replace(F.regexp_extract(body, rf'(?s)^{around}"(.*)"{around}\z', 1), F.lit('""'), F.lit('"'))
+        return F.nullif(F.when(body.contains('"') & body.rlike(rf"^{quoted}\z"), inside).otherwise(plain), F.lit(""))
+
+    return F.transform(parts, value)

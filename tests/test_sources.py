@@ -207,3 +207,18 @@ def test_images(spark, tmp_path):
     assert {(r.media_type, r.image_hash) for r in images.collect()} == {("image/png", hashlib.sha256(b"one").hexdigest()), ("image/jpeg", hashlib.sha256(b"two").hexdigest())}
     assert [r.reason for r in rejects.collect()] == ["MIME_REJECTED"]
     assert {r.reason for r in index_images(spark, str(tmp_path), ReceiptConfig(max_image_bytes=2))[1].collect()} == {"MIME_REJECTED", "SIZE_EXCEEDED"}
+
+
+def test_a_wide_record_widens_no_other_and_the_file_is_read_once(spark, tmp_path):
+    from centwise.sources.csv_cells import csv_cells
+
+    wide = "Some, text " * 25_000
+    (tmp_path / "x.csv").write_text(f'Date,Amount,Payee\n01/02/2024,-5.00,"{wide}"\n01/03/2024,-6.00,{"," * 50_000}end\n01/04/2024,-7.00,"two\nlines, ""quoted"""\nalone\n', encoding="utf-8")
+    cells = [r.cells for r in csv_cells(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert [len(c) for c in cells] == [3, 3, 50_003, 3, 1]
+    assert cells[1][2] == wide and cells[2][2:4] == [None, None] and cells[2][-1] == "end" and cells[3][2] == 'two\nlines, "quoted"' and cells[4] == ["alone"]
+    plan = csv_cells(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    rows, rejects = read_bank_csv(spark, str(tmp_path))
+    assert sorted(r.amount_cents for r in rows.collect()) == [-700, -500]
+    assert sorted(r.reason for r in rejects.collect()) == ["missing payee", "unparseable date: alone"]
