@@ -9,11 +9,11 @@ from centwise.functions.receipt_lines import account_name, account_type
 from centwise.operators import feed
 from centwise.plans import reconcile as engine
 from centwise.registry.catalog import query
-from centwise.registry.engine import inputs
 from centwise.registry.fragments import fragment
 from centwise.registry.imports import _once
 from centwise.registry.stored import household
 from centwise.sources.feed import page_changes, read_feed
+from centwise.sources.tables import load_inputs
 from centwise.storage import new_path
 from centwise.streaming import jobs
 
@@ -196,8 +196,10 @@ def dropped_lines(spark, d):
 @query("rederived_matches", """
 SELECT household_id, match_id, type, status FROM e_all_matches WHERE household_id IN (SELECT household_id FROM v_bank WHERE posted_date >= DATE '1998-05-29')""")
 def rederived_matches(spark, d):
-    """After the last days' lines were written, only their households are reconciled again."""
-    out = new_path(spark, "rederived")
+    """After the last days' lines were written, only their households are reconciled again, from the folders that hold them."""
+    out, folder = new_path(spark, "rederived"), new_path(spark, "by-household")
+    names = {"transactions": "transactions", "orders": "orders", "order_items": "order_items", "receipts": "receipts", "receipt_items": "receipt_items", "credit": "store_credit", "confirmed": "confirmed"}
+    schemas = jobs.store_tables({k: household(spark, d, v) for k, v in names.items()}, folder)
     changed = household(spark, d, "transactions").filter((F.col("posted_date") >= F.lit("1998-05-29").cast("date")) & ~F.col("pending"))
-    jobs.rederive(inputs(spark, d), changed, engine.reconcile, out, 0)
+    jobs.rederive(load_inputs(**jobs.touched_tables(spark, folder, schemas, changed)), changed, engine.reconcile, out, 0)
     return spark.read.parquet(out).select("household_id", "match_id", "type", "status")

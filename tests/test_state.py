@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -264,3 +265,71 @@ def test_first_row_by_file_and_place(spark, tmp_path):
     stored = spark.createDataFrame([(9,)], "k int")
     got = {r.k: (r.file, r.n) for r in insert_or_ignore(stored, batch, ["k"]).collect()}
     assert got == {i: ("large", i) for i in range(4000) if i != 9} | {5: ("small", 0), 3: ("small", 1)}
+
+
+def folders_read(df):
+    """(batch or snapshot folder, bucket folder) of the files that a frame scans."""
+    scans = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line]
+    assert all("bucket" in s.split("PartitionFilters: [", 1)[1].split("]")[0] for s in scans)  # pruned before they are opened
+    return {tuple(r.f.split("/")[-3:-1]) for r in df.select(F.input_file_name().alias("f")).distinct().collect() if r.f}
+
+
+def test_a_batch_reads_the_folders_of_its_keys(spark, tmp_path):
+    from centwise.streaming.keyed import KeyedLog, bucket, buckets_of
+
+    rnd = random.Random(5)
+    newest = lambda rows: rows.groupBy("k").agg(F.max(F.struct("version", "v")).alias("m")).select("k", "m.v", "m.version")
+    log = KeyedLog(spark, str(tmp_path / "log"), "k string, v int", ["k"], newest, buckets=8, every=3)
+    held = {}
+    for batch in range(8):
+        rows = [(f"k{rnd.randint(0, 30)}", 100 * batch + i) for i in range(12)]
+        rows = list({k: (k, v) for k, v in rows}.values())
+        df = spark.createDataFrame(rows, "k string, v int")
+        before = log.before(batch, df)
+        wanted = {f"bucket={r.bucket}" for r in df.select(bucket(["k"], 8)).collect()}
+        named = {k for k, _ in rows}
+        assert {r.k: r.v for r in before.filter(F.col("k").isin(list(named))).collect()} == {k: v for k, v in held.items() if k in named}
+        if batch:
+            one = spark.createDataFrame(rows[:1], df.schema)
+            parts = folders_read(log._rows(log._folders(batch), buckets_of(one, ["k"], 8)))
+            assert {b for _, b in parts} <= {f"bucket={buckets_of(one, ['k'], 8)[0]}"} and {f for f, _ in parts} <= {f.rsplit("/", 1)[-1] for f in log._folders(batch)} and len(log._folders(batch)) <= 3
+            assert {b for _, b in folders_read(log._rows(log._folders(batch), buckets_of(df, ["k"], 8)))} <= wanted
+        if batch % 2:  # a batch that is run again replaces what it wrote
+            log.write(spark.createDataFrame([("gone", 1)], df.schema), batch)
+        log.write(df, batch)
+        held |= dict(rows)
+    assert sorted(p.name for p in (tmp_path / "log-snapshots").iterdir()) == ["upto=2", "upto=5"]
+
+
+def test_rederivation_reads_the_folders_of_touched_households(spark, tmp_path):
+    facts = spark.createDataFrame([(f"h{i}", i) for i in range(200)], "household_id string, n int")
+    schemas = jobs.store_tables({"bank": facts}, str(tmp_path / "t"))
+    changed = spark.createDataFrame([("h7",), ("h9",), ("h9",)], "household_id string")
+    got = jobs.touched_tables(spark, str(tmp_path / "t"), schemas, changed)["bank"]
+    assert len({b for _, b in folders_read(got)}) <= 2 and {"h7", "h9"} <= {r.household_id for r in got.collect()}
+    assert got.columns == ["household_id", "n"]
+
+
+def test_feed_stream_across_snapshots(spark, tmp_path, monkeypatch):
+    """Twelve batches of one page, a snapshot after every second one: as all pages at once."""
+    monkeypatch.setattr(jobs, "feed_log", lambda spark, path: jobs.KeyedLog(spark, path, jobs._LOG, ["account_id"], jobs.current_rows, every=2))
+    rnd = random.Random(12)
+    pages = []
+    for page in range(12):
+        side = {"added": [], "modified": [], "removed": []}
+        for _ in range(5):
+            ext, op = f"e{rnd.randint(0, 7)}", rnd.choice(["added", "modified", "removed"])
+            body = {"transaction_id": ext, "account_id": rnd.choice(["x", "y"])}
+            if op != "removed":
+                body |= {"amount": rnd.randint(1, 3) + 0.5, "date": "2026-01-01", "name": "Shop", "pending": False, "pending_transaction_id": f"e{rnd.randint(0, 7)}" if rnd.random() < 0.3 else None}
+            side[op].append(body)
+        pages.append({"login_id": "L", "page_no": page, "cursor": f"c{page}", "has_more": page < 11, **side})
+    accounts = spark.createDataFrame([("L", "x", "ax"), ("L", "y", "ay")], "login_id string, external_account_id string, id string")
+    (tmp_path / "pages").mkdir()
+    for i, page in enumerate(pages):  # files are taken by their time
+        (tmp_path / "pages" / f"{i:02d}.json").write_text(json.dumps(page))
+        os.utime(tmp_path / "pages" / f"{i:02d}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    jobs.sync_feed(spark, str(tmp_path / "pages"), accounts, str(tmp_path / "log"), str(tmp_path / "ck"), files_per_trigger=1).awaitTermination()
+    batch = feed.apply_feed(spark.createDataFrame([], feed.STATE_SCHEMA), feed.known_accounts(page_changes(read_feed(spark, str(tmp_path / "pages"))), accounts)[0])
+    want = sorted(map(str, batch.rows.select(*feed.STATE).collect()))
+    assert sorted(map(str, jobs.feed_state(spark, str(tmp_path / "log")).collect())) == want and want
