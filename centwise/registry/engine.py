@@ -73,6 +73,23 @@ def order_matches(spark, d):
     return _matches(matching.match_orders(i.bank, i.orders))
 
 
+@query("match_rationales", """
+SELECT f.household_id, f.match_id, 'Receipt ' || coalesce(nullif(r.store, ''), '?') || ' (' || r.total_cents || '¢, ' || strftime(r.purchased_at, '%Y-%m-%d') || ') ↔ Bank ' || b.normalized_merchant || ' (' || abs(b.amount_cents) || '¢, '
+    || strftime(b.posted_date, '%Y-%m-%d') || '): merchant sim ' || printf('%.2f', c.sim) || ', amount diff ' || c.amount_diff || '¢, ' || c.date_diff || ' day(s) apart' AS rationale
+FROM e_found f JOIN v_receipts r ON r.id = f.receipt_id JOIN v_bank b ON b.id = f.transaction_id JOIN e_receipt_cand c ON c.receipt_id = f.receipt_id AND c.transaction_id = f.transaction_id WHERE f.type = 'receipt_bank'
+UNION ALL
+SELECT f.household_id, f.match_id, 'Order ' || o.external_order_id || ' (' || o.order_total_cents || '¢, ' || strftime(o.order_date, '%Y-%m-%d') || ') ↔ Bank ' || b.normalized_merchant || ' (' || abs(b.amount_cents) || '¢, '
+    || strftime(b.posted_date, '%Y-%m-%d') || '): amount diff ' || d.amount_diff || '¢, ' || d.date_diff || ' day(s) apart'
+FROM e_found f JOIN v_orders o ON o.id = f.order_id JOIN e_order_direct d ON d.order_id = f.order_id JOIN v_bank b ON b.id = d.transaction_id WHERE f.type = 'order_bank'
+UNION ALL
+SELECT household_id, 'refund_card-' || id, 'Bank CREDIT ' || normalized_merchant || ' (' || amount_cents || '¢, ' || strftime(posted_date, '%Y-%m-%d') || '): card refund' FROM v_bank WHERE direction = 'credit'""")
+def match_rationales(spark, d):
+    i = inputs(spark, d)
+    orders = matching.match_orders(i.bank, i.orders).filter("type = 'order_bank'")
+    found = matching.match_receipts(i.bank, i.receipts).unionByName(orders).unionByName(refunds.card_refunds(i.bank)[0])
+    return found.select("household_id", "match_id", "rationale")
+
+
 @query("decided_matches", f"{_MATCH_SQL}, confirmed_by FROM e_decided")
 def decided_matches(spark, d):
     m = engine.match_all(inputs(spark, d))
