@@ -286,3 +286,25 @@ def sensitive_documents(spark, d):
 def sensitive_conversations(spark, d):
     return _hits(derived.table(spark, d, "conversations").select("conv_id", "text"), "conv_id")
 
+
+
+_LAST4 = "lpad(CAST(conv_id % 10000 AS VARCHAR), 4, '0')"
+
+
+@query("sensitive_messages", f"""
+SELECT conv_id, kind, match, count(*) AS hits FROM (
+  SELECT conv_id, CASE (conv_id + turn) % 5 WHEN 0 THEN 'pan_grouped' WHEN 1 THEN 'ending_in' WHEN 2 THEN 'ssn' WHEN 3 THEN 'api_key' ELSE 'masked_last4' END AS kind,
+    CASE (conv_id + turn) % 5 WHEN 0 THEN '4111 2222 3333 ' || {_LAST4} WHEN 1 THEN 'Ending in ' || {_LAST4} WHEN 2 THEN '123-45-' || {_LAST4}
+      WHEN 3 THEN 'sk-' || translate(md5(CAST(conv_id AS VARCHAR)), '0123456789', 'ghijklmnop') ELSE '****' || {_LAST4} END AS match
+  FROM conversations) GROUP BY ALL""")
+def sensitive_messages(spark, d):
+    """Every message with a card, a number or a key written into it; the check names what was written, it doesn't search."""
+    last4 = F.lpad((F.col("conv_id") % 10000).cast("string"), 4, "0")
+    key = F.translate(F.md5(F.col("conv_id").cast("string")), "0123456789", "ghijklmnop")
+    kind = (F.col("conv_id") + F.col("turn")) % 5
+    written = (
+        F.when(kind == 0, F.concat(F.lit("card 4111 2222 3333 "), last4, F.lit(" thanks"))).when(kind == 1, F.concat(F.lit("Ending in "), last4, F.lit("."))).when(kind == 2, F.concat(F.lit("(123-45-"), last4, F.lit(")")))
+        .when(kind == 3, F.concat(F.lit("key=sk-"), key, F.lit("!"))).otherwise(F.concat(F.lit("xx ****"), last4, F.lit(" on file")))
+    )
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[0-9]", ""), F.lit(" "), written)
+    return _hits(derived.table(spark, d, "conversations").select("conv_id", text.alias("text")), "conv_id")
