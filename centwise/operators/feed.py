@@ -182,3 +182,17 @@ def advancing(pages: DataFrame) -> DataFrame:
     """Pages of each login up to the first whose cursor stands still; that page and later ones are not folded."""
     so_far = W.partitionBy("login_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, 0)
     return pages.withColumn("_stuck", _stuck()).withColumn("_stuck", F.max("_stuck").over(so_far)).filter("NOT _stuck").drop("_stuck")
+
+
+def login_summary(pages: DataFrame, skipped: DataFrame, accounts: DataFrame, reported: DataFrame) -> DataFrame:
+    """One row per login: accounts created and updated, pages folded, where the cursor stands, the feed's own status, changes skipped.
+
+    ``accounts`` are those known before the sync, ``reported`` those that the
+    logins named; ``skipped`` is the second result of :func:`known_accounts`.
+    """
+    key = ["login_id", "external_account_id"]
+    known = accounts.select(*key, F.lit(True).alias("_known")).distinct()
+    named = reported.select(*key).distinct().join(known, key, "left").groupBy("login_id").agg(F.count_if(F.col("_known").isNull()).alias("accounts_created"), F.count_if("_known").alias("accounts_updated"))
+    folded = advancing(pages).groupBy("login_id").agg(F.count("*").alias("pages"), F.max_by("cursor", "page_no").alias("cursor"), F.max_by("update_status", "page_no").alias("update_status"))
+    counted = ["accounts_created", "accounts_updated", "pages", "skipped_unknown_account"]
+    return folded.join(named, "login_id", "full_outer").join(skipped, "login_id", "full_outer").select("login_id", "cursor", "update_status", *[F.coalesce(c, F.lit(0)).alias(c) for c in counted])

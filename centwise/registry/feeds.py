@@ -128,6 +128,20 @@ def feed_sync_summary(spark, d):
     return feed.sync_summary(result, linked)
 
 
+@query("feed_login_summary", """
+WITH u AS (SELECT user_id, 'L' || user_id // 25 AS login_id FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) <> 'error'),
+a AS (SELECT login_id, count(*) FILTER (user_id % 2 = 1) AS accounts_created, count(*) FILTER (user_id % 2 = 0) AS accounts_updated FROM u GROUP BY 1),
+p AS (SELECT 'L' || user_id // 25 AS login_id, count(DISTINCT event_id // 50) AS pages, 'c' || max(event_id // 50) AS cursor FROM events GROUP BY 1),
+k AS (SELECT login_id, count(*) AS n FROM f_changes WHERE external_account_id IN (SELECT 'u' || user_id FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) = 'error') GROUP BY 1)
+SELECT login_id, cursor, 'ready' AS update_status, coalesce(accounts_created, 0) AS accounts_created, coalesce(accounts_updated, 0) AS accounts_updated, pages, coalesce(n, 0) AS skipped_unknown_account
+FROM p LEFT JOIN a USING (login_id) LEFT JOIN k USING (login_id)""")
+def feed_login_summary(spark, d):
+    """Accounts of users with even numbers are known already."""
+    pages, accounts = read_feed(spark, _landed(spark, d)), _accounts(spark, d)
+    known = accounts.filter(F.substring("external_account_id", 2, 20).cast("bigint") % 2 == 0)
+    return feed.login_summary(pages, feed.known_accounts(page_changes(pages), accounts)[1], known, accounts)
+
+
 @query("feed_withdrawn_matches", "SELECT 'm-' || id AS match_id, id AS transaction_id, 'manual' AS status FROM f_lines WHERE id NOT IN (SELECT reset_id FROM f_walk WHERE reset_id IS NOT NULL)")
 def feed_withdrawn_matches(spark, d):
     result = _applied(spark, d)
