@@ -41,7 +41,7 @@ def resolve_revisits(records: DataFrame, permitted: list[str] | None = None) ->
     'changed' if the one asked differs or the response lacks it; 'unverified' if
     it carries none; 'missing' without an earlier response.  Only a resolved
     revisit gets the response's digest, size and headers, the ``permitted`` ones
-    renewed by its own.
+    renewed by its own.  A record_id is a number or a text.
 
     Records without URL, host or time are never matched (a revisit is then
     'missing'); null headers are empty; a null record_id is passed through;
@@ -57,7 +57,7 @@ def resolve_revisits(records: DataFrame, permitted: list[str] | None = None) ->
     keyed = plain.select("*", at.alias("at"), F.floor(at / (CELL * 1_000_000)).alias("cell"), full.alias("full"))
     # rows at one time see only responses of an earlier one
     within = Window.partitionBy("canonical", "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    order = F.struct("at", F.coalesce("record_id", F.lit(-(2**63))))
+    order = F.struct("at", "record_id")  # a null id comes before others
     near = keyed.withColumn("near", F.max_by("full", F.when(F.col("full").isNotNull(), order)).over(within)).where("kind = 'revisit'")
     cells = keyed.where(usable).groupBy("canonical", "cell").agg(F.max_by("full", F.when(F.col("full").isNotNull(), order)).alias("last"))
     before = Window.partitionBy("canonical").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,3 +52,12 @@ def test_nulls_repeats_and_other_columns(spark):
     good = {"etag": '"2"', "x": "y"}
     assert got == sorted([(2, 1, "resolved", good), (2, 1, "resolved", good), (3, None, "missing", None), (4, None, "missing", None), (5, 1, "unverified", None), (None, 1, "changed", None), (6, None, "missing", None)], key=str)
     assert resolve_revisits(df.limit(0)).collect() == []
+
+
+def test_text_record_ids(spark):
+    """Ids as web archives have them; of responses at one time the largest id counts, a null id before all."""
+    when = START
+    rows = [(f"<urn:uuid:{k}>" if k else None, "response", "http://x.test/a", when, {"ETag": '"1"'}, k, 1) for k in ("b", None, "c", "a")]
+    rows.append(("<urn:uuid:r>", "revisit", "http://x.test/a", when + timedelta(hours=1), {"ETag": '"1"'}, None, None))
+    df = spark.createDataFrame(rows, RECORD.replace("record_id bigint", "record_id string"))
+    assert [(r.record_id, r.response_id, r.status, r.digest) for r in resolve_revisits(df).collect()] == [("<urn:uuid:r>", "<urn:uuid:c>", "resolved", "c")]
