@@ -14,18 +14,27 @@ from centwise.llm.tokens import rows
 from centwise.storage import cut
 
 LEAST, COVERED, BEST = 10, 50, 2000
-#: Words that a worker counts in memory before it emits a sorted run; changes no result.
-RUN_WORDS = 1_000_000
+#: Words, and different words, that a worker counts in memory before it emits a sorted run; changes no result.
+RUN_WORDS, RUN_KINDS = 2_500_000, 250_000
 #: Bytes of a text that are split into words at a time; changes no result.
 SLICE = 4_000_000
 #: Parts into which a language's phrases are dealt before the best of each are compared.
 PARTS = 128
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\xff" * 10 + b" ")  # 0xFF is in no UTF-8 text
+_END = b"\xff"
 _EMIT = 50_000
 
 
+class Numbered(dict):
+    """Words numbered from 1 as they come; 0 stands for the end of a piece."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class PrefixRuns:
-    """Windows of three words, counted and put in prefix order, one run for each language and ``RUN_WORDS`` words.
+    """Windows of three words, counted and put in prefix order, one run for each language and some millions of words.
 
     A window stands for its first word, its first two and all three, so one
     stream carries the counts of every order.  Rows are (head, tail, n): head is
@@ -35,41 +44,42 @@ class PrefixRuns:
     """
 
     def __init__(self):
-        self.words: dict[str, list[list[bytes]]] = {}
+        self.numbers = Numbered({_END: 0})
+        self.words: dict[str, list[np.ndarray]] = {}
         self.held = 0
 
     def add(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
-        streams = self.words.setdefault(lang, [])
         while text:
             end = len(text)
             if end > SLICE:  # not inside a word
                 space = max(text.rfind(b" ", 0, SLICE), text.rfind(b"\n", 0, SLICE))
                 end = space + 1 if space >= 0 else min(x for x in (text.find(b" ", SLICE), text.find(b"\n", SLICE), len(text) - 1) if x >= 0) + 1
-            found = text[:end].lower().translate(_ENDS).replace(b"\xff", b" \xff ").split(b" ")
+            found = text[:end].lower().translate(_ENDS).replace(_END, b" \xff ").split(b" ")
             text = text[end:]
-            found = [w for w in found if w]
-            streams.append(found)
-            self.held += len(found)
-            if self.held >= RUN_WORDS:
+            self._put(lang, [w for w in found if w])
+            if self.held >= RUN_WORDS or len(self.numbers) >= RUN_KINDS:
                 yield from self.flush(lang)
-                streams = self.words.setdefault(lang, streams)
-        streams.append([b"\xff"])
+        self._put(lang, [_END])
+
+    def _put(self, lang: str, words: list[bytes]) -> None:
+        self.words.setdefault(lang, []).append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        self.held += len(words)
 
     def flush(self, within: str | None = None) -> Iterator[pa.RecordBatch]:
-        """Everything held as sorted runs; the last two words of ``within``'s open text are held on to."""
-        for lang, streams in self.words.items():
-            words = [w for s in streams for w in s]
-            tail = words[-2:] if lang == within else []
-            streams[:] = [tail] if tail else []
-            # open texts: windows that begin in the last two words come with the next run
-            yield from self._run(lang, words if lang == within else [*words, b"\xff", b"\xff"])
-        self.words = {within: self.words[within]} if within is not None else {}
-        self.held = sum(map(len, self.words.get(within, [])))
-
-    def _run(self, lang: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sorted(set(words) - {b"\xff"})
-        number = {w: i + 1 for i, w in enumerate(vocabulary)} | {b"\xff": 0}  # 0: the piece ends
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        """Everything held as sorted runs; the last two words of ``within``'s open text come with the next run."""
+        known = sorted(self.numbers)[:-1]  # 0xFF comes last
+        rank = np.zeros(len(self.numbers), np.int64)
+        rank[np.fromiter(map(self.numbers.__getitem__, known), np.int64, len(known))] = np.arange(1, len(known) + 1)
+        streams, self.words, self.held, self.numbers = self.words, {}, 0, Numbered({_END: 0})
+        for lang, parts in streams.items():
+            ids = rank[np.concatenate(parts)]
+            if lang == within:
+                self._put(lang, [known[i - 1] if i else _END for i in ids[-2:]])
+            else:
+                ids = np.append(ids, [0, 0])
+            yield from self._run(lang, ids, known)
+
+    def _run(self, lang: str, ids: np.ndarray, vocabulary: list[bytes]) -> Iterator[pa.RecordBatch]:
         first, second, third = ids[:-2], ids[1:-1], ids[2:]
         if not (first > 0).any():
             return
@@ -81,12 +91,14 @@ class PrefixRuns:
         yield from _batches(pc.binary_join_element_wise(lead, take(single), ""), pa.nulls(len(single), pa.string()), n_single)
         two = (first > 0) & (second > 0)
         bits = len(vocabulary).bit_length()
-        assert 3 * bits < 63
+        assert 3 * bits < 64
         keys, n = np.unique((first[two] << 2 * bits) | (second[two] << bits) | third[two], return_counts=True)
         low = (1 << bits) - 1
-        head = pc.binary_join_element_wise(pc.binary_join_element_wise(lead, take(keys >> 2 * bits), ""), take((keys >> bits) & low), " ")
-        tail = (keys & low) - 1
-        yield from _batches(head, names.take(pa.array(tail, mask=tail < 0)), n)
+        for at in range(0, len(keys), _EMIT):
+            part = keys[at : at + _EMIT]
+            head = pc.binary_join_element_wise(pc.binary_join_element_wise(lead, take(part >> 2 * bits), ""), take((part >> bits) & low), " ")
+            tail = (part & low) - 1
+            yield from _batches(head, names.take(pa.array(tail, mask=tail < 0)), n[at : at + _EMIT])
 
 
 def _batches(head: pa.Array, tail: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
