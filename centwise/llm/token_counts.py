@@ -90,14 +90,15 @@ class UnigramCounter:
     def _words(self, text: str | None) -> list[str]:
         if not text:
             return []
-        text = text.replace(" ", SPACE)
-        if text[0] == SPACE:
+        if SPACE in text:  # the same to the tokenizer; plain spaces keep most texts at one byte a character
+            text = text.replace(SPACE, " ")
+        if text[0] == " ":
             text = text[1:]
         if self.held > REMEMBERED:
             self.known.clear()
             self.scores.clear()
             self.held = 0
-        return text.split(SPACE)
+        return text.split(" ")
 
     def _count(self, word: str) -> int:
         pieces, self.scores[word] = self.segment(SPACE + word)
