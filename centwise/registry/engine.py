@@ -10,18 +10,14 @@ from centwise.plans import reconcile as engine
 from centwise.registry import sql_engine  # noqa: F401  (registers fragments)
 from centwise.registry.catalog import query
 from centwise.registry.stored import household
-from centwise.sources.tables import Inputs, load_inputs
+from centwise.sources.tables import LazyInputs
 
 PCT = "CAST(floor(confidence * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS confidence_pct"
 
 
-def inputs(spark, d, household_id: str | None = None) -> Inputs:
-    def t(name: str):
-        return household(spark, d, name)
-
-    return load_inputs(
-        t("transactions"), t("orders"), t("order_items"), t("receipts"), t("receipt_items"), t("store_credit"), confirmed=t("confirmed"), household_id=household_id,
-    )
+def inputs(spark, d, household_id: str | None = None) -> LazyInputs:
+    """The engine's inputs; household tables that a query doesn't use are not derived for it."""
+    return LazyInputs(lambda name: household(spark, d, name), household_id)
 
 
 def pct():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,13 +51,44 @@ def load_inputs(
         if matches is None:
             raise ValueError("give the stored matches or the confirmed links")
         confirmed = first_manual_links(matches)
-    o, oi = scoped(orders, household_id), scoped(order_items, household_id)
-    return Inputs(
-        bank=posted_only(scoped(transactions, household_id)).select(KEY, "id", "account_id", "posted_date", "amount_cents", "direction", "normalized_merchant"),
-        orders=o.select(KEY, "id", "external_order_id", "order_date", "order_total_cents"),
-        order_items=oi.select(KEY, "id", "order_id", "shipment_id", "item_seq", "description", "amount_cents", "is_return", "refund_destination"),
-        receipts=scoped(receipts, household_id),
-        receipt_items=scoped(receipt_items, household_id),
-        accruals=dated_credit(scoped(credit, household_id), oi, o),
-        confirmed=scoped(confirmed, household_id),
-    )
+    given = {
+        "transactions": transactions, "orders": orders, "order_items": order_items, "receipts": receipts, "receipt_items": receipt_items,
+        "store_credit": credit, "confirmed": confirmed,
+    }
+    lazy = LazyInputs(given.__getitem__, household_id)
+    return Inputs(**{f.name: getattr(lazy, f.name) for f in fields(Inputs)})
+
+
+class LazyInputs:
+    """The fields of :class:`Inputs`, each read from the stored tables when it is first used."""
+
+    def __init__(self, table: Callable[[str], DataFrame], household_id: str | None = None):
+        self._table = lambda name: scoped(table(name), household_id)
+
+    @cached_property
+    def bank(self) -> DataFrame:
+        return posted_only(self._table("transactions")).select(KEY, "id", "account_id", "posted_date", "amount_cents", "direction", "normalized_merchant")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._table("orders").select(KEY, "id", "external_order_id", "order_date", "order_total_cents")
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self._table("order_items").select(KEY, "id", "order_id", "shipment_id", "item_seq", "description", "amount_cents", "is_return", "refund_destination")
+
+    @cached_property
+    def receipts(self) -> DataFrame:
+        return self._table("receipts")
+
+    @cached_property
+    def receipt_items(self) -> DataFrame:
+        return self._table("receipt_items")
+
+    @cached_property
+    def accruals(self) -> DataFrame:
+        return dated_credit(self._table("store_credit"), self._table("order_items"), self._table("orders"))
+
+    @cached_property
+    def confirmed(self) -> DataFrame:
+        return self._table("confirmed")
