@@ -35,7 +35,7 @@ def _dollars(cents):
 # ---- bank statements, one file per hundred households
 def _bank_files(spark, d):
     def write(path):
-        t = household(spark, d, "transactions").withColumn("grp", F.substring("household_id", 1, 11))
+        t = household(spark, d, "transactions").withColumn("grp", F.substring("household_id", 1, 10))
         money = _dollars(F.col("amount_cents"))
         shown = (
             F.when(F.col("pending"), "n/a").when(F.col("direction") == "credit", F.concat(F.lit("$"), money))
@@ -47,7 +47,7 @@ def _bank_files(spark, d):
         top = ["Statement of account", "Prepared for,A. Customer", "Period,1998", "", "Balances in USD,,", "Posted Date,Reference Number,Payee,Address,Amount"]
         heads = t.select("grp").distinct().select("grp", F.posexplode(F.array(*[F.lit(x) for x in top])).alias("i", "value"))
         rows = body.unionByName(heads.select("grp", F.concat(F.lit("1"), F.col("i").cast("string")).alias("ord"), "value"))
-        rows.repartition("grp").sortWithinPartitions("grp", "ord").select("grp", "value").write.partitionBy("grp").text(path)
+        rows.repartition("grp").sortWithinPartitions("grp", "ord").select("grp", "value").write.partitionBy("grp").option("compression", "gzip").text(path)
 
     return _once(spark, d, "bank-csv", write)
 
@@ -84,7 +84,7 @@ def _order_files(spark, d):
             F.concat("description", F.lit(', "boxed"\nset')).alias("Product Name"), F.when(F.col("quantity") < 10, "").otherwise(amount).alias("Total Amount"), amount.alias("Shipment Item Subtotal"),
             F.lit("Shipped").alias("Shipment Status"), F.lit("$1.00").alias("Unit Price"), F.lit("Jane Roe, 1 Street").alias("Shipping Address"), F.substring_index("id", "-", -1).cast("int").alias("ln"),
         )
-        out.repartition("Order ID").sortWithinPartitions("Order ID", "ln").drop("ln").write.option("header", True).option("escape", '"').csv(path)
+        out.repartition("Order ID").sortWithinPartitions("Order ID", "ln").drop("ln").write.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
 
     return _once(spark, d, "order-csv", write)
 
@@ -114,26 +114,35 @@ def order_history_rejects(spark, d):
 # ---- digital receipts
 def _digital_files(spark, d):
     def write(path):
-        r = household(spark, d, "receipts")
-        sign = F.when(F.col("total_cents") < 0, -1).otherwise(1)
-        i = household(spark, d, "receipt_items").join(r.select(F.col("id").alias("receipt_id"), sign.alias("sign")), "receipt_id")
-        item = F.struct(
-            ((F.col("line_price_cents") * F.col("sign")) / F.lit(100.0)).alias("amount"), F.col("sku").alias("itemNumber"), F.col("raw_description").alias("itemDescription01"),
-            F.col("canonical_name").alias("itemActualName"), F.col("quantity").alias("unit"))
-        saving = F.struct(
-            (-F.col("discount_cents") / F.lit(100.0)).alias("amount"), F.col("sku").alias("itemNumber"), F.concat(F.lit("/"), "sku").alias("itemDescription01"), F.lit(None).cast("string").alias("itemActualName"), F.lit(None).cast("double").alias("unit"))
-        rows = i.select("receipt_id", "line_no", F.when(F.col("discount_cents") > 0, F.array(item, saving)).otherwise(F.array(item)).alias("x"))
-        lists = rows.groupBy("receipt_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x"))), lambda s: s["x"])).alias("itemArray"))
-        rec = r.join(lists, r["id"] == lists["receipt_id"], "left").select(
-            F.lit("WarehouseReceiptDetail").alias("documentType"), F.col("id").alias("transactionBarcode"), F.date_format("purchased_at", "yyyy-MM-dd").alias("transactionDate"),
-            F.when(F.col("total_cents") < 0, "Refund").otherwise("Sales").alias("transactionType"), F.when(F.col("store").startswith("HOME DEPOT"), "Gas Station").otherwise("In-Warehouse").alias("receiptType"),
-            (F.col("tax_cents") / F.lit(100.0)).alias("taxes"), (F.col("total_cents") / F.lit(100.0)).cast("string").alias("total"), F.col("id").alias("invoiceNumber"),
-            F.array(F.struct(F.lit("**** 4321").alias("displayAccountNumber"), F.lit("VISA").alias("tenderDescription"))).alias("tenderArray"), F.lit("member 1").alias("membershipNumber"), "itemArray",
+        # heads and lines are dealt by household once; a receipt and then a document come together where they lie
+        r, i = household(spark, d, "receipts"), household(spark, d, "receipt_items")
+        head = F.struct("store", "purchased_at", "tax_cents", "total_cents").alias("head")
+        line = F.struct("line_no", "sku", "raw_description", "canonical_name", "quantity", "line_price_cents", "discount_cents").alias("line")
+        rows = r.select("household_id", F.col("id").alias("receipt_id"), head).unionByName(i.select("household_id", "receipt_id", line), allowMissingColumns=True).repartition("household_id")
+        slips = rows.groupBy("household_id", "receipt_id").agg(F.first("head", True).alias("head"), F.array_sort(F.collect_list("line")).alias("lines")).filter("head IS NOT NULL")
+        sign = F.when(F.col("head.total_cents") < 0, -1).otherwise(1)
+        none = F.lit(None)
+
+        def item(x):
+            return F.struct(
+                ((x["line_price_cents"] * sign) / F.lit(100.0)).alias("amount"), x["sku"].alias("itemNumber"), x["raw_description"].alias("itemDescription01"),
+                x["canonical_name"].alias("itemActualName"), x["quantity"].alias("unit"))
+
+        def saving(x):
+            return F.struct(
+                (-x["discount_cents"] / F.lit(100.0)).alias("amount"), x["sku"].alias("itemNumber"), F.concat(F.lit("/"), x["sku"]).alias("itemDescription01"), none.cast("string").alias("itemActualName"), none.cast("double").alias("unit"))
+
+        printed = F.flatten(F.transform("lines", lambda x: F.when(x["discount_cents"] > 0, F.array(item(x), saving(x))).otherwise(F.array(item(x)))))
+        rec = F.struct(
+            F.lit("WarehouseReceiptDetail").alias("documentType"), F.col("receipt_id").alias("transactionBarcode"), F.date_format("head.purchased_at", "yyyy-MM-dd").alias("transactionDate"),
+            F.when(F.col("head.total_cents") < 0, "Refund").otherwise("Sales").alias("transactionType"), F.when(F.col("head.store").startswith("HOME DEPOT"), "Gas Station").otherwise("In-Warehouse").alias("receiptType"),
+            (F.col("head.tax_cents") / F.lit(100.0)).alias("taxes"), (F.col("head.total_cents") / F.lit(100.0)).cast("string").alias("total"), F.col("receipt_id").alias("invoiceNumber"),
+            F.array(F.struct(F.lit("**** 4321").alias("displayAccountNumber"), F.lit("VISA").alias("tenderDescription"))).alias("tenderArray"), F.lit("member 1").alias("membershipNumber"),
+            F.when(F.size("lines") > 0, printed).alias("itemArray"),
         )
         # one export document per household, one per line
-        doc = rec.join(r.select(F.col("id").alias("transactionBarcode"), "household_id"), "transactionBarcode").groupBy("household_id").agg(
-            F.to_json(F.struct(F.collect_list(F.struct(*rec.columns)).alias("receipts"))).alias("value"))
-        doc.select("value").write.text(path)
+        doc = slips.select("household_id", rec.alias("rec")).groupBy("household_id").agg(F.to_json(F.struct(F.collect_list("rec").alias("receipts"))).alias("value"))
+        doc.select("value").write.option("compression", "gzip").text(path)
 
     return _once(spark, d, "digital-json", write)
 

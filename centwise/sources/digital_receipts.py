@@ -12,6 +12,7 @@ from centwise.functions.receipt_lines import (
     SUPPORTED_DOCUMENTS, is_card_tender, last4, line_name, raw_description, tender_refund_destination,
 )
 from centwise.functions.text import trim
+from centwise.storage import cut
 
 # Only commerce fields are declared, so nothing else in the export is ever read.
 _TENDER = "struct<displayAccountNumber: string, tenderDescription: string>"
@@ -63,12 +64,15 @@ def fold_savings(lines: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame
     order = W.partitionBy(*key).orderBy("pos")
     anchor = F.last(F.when(F.col("kind") != "savings", F.struct("kind", "pos")), ignorenulls=True).over(order)
     marked = lines.withColumn("anchor", anchor)
-    belongs = F.coalesce(F.col("anchor.kind") == "item", F.lit(False))
+    belongs = (F.col("kind") == "savings") & F.coalesce(F.col("anchor.kind") == "item", F.lit(False))
     orphans = marked.filter((F.col("kind") == "savings") & ~belongs)
-    savings = marked.filter((F.col("kind") == "savings") & belongs).groupBy(*key, F.col("anchor.pos").alias("pos")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("pos").alias("at"), "amount"))).alias("savings")
+    # an item and its savings lie in one task already
+    rest = [c for c in lines.columns if c not in (*key, "pos")]
+    group = marked.filter((F.col("kind") == "item") | belongs).groupBy(*key, F.col("anchor.pos").alias("pos")).agg(
+        F.first(F.when(F.col("kind") == "item", F.struct(*rest)), ignorenulls=True).alias("own"),
+        F.array_sort(F.collect_list(F.when(belongs, F.struct(F.col("pos").alias("at"), "amount")))).alias("savings"),
     )
-    items = lines.filter("kind = 'item'").join(savings, key + ["pos"], "left")
+    items = group.select(*key, "pos", "own.*", "savings").select(*lines.columns, "savings")
     start = F.struct(F.col("amount").alias("price"), F.lit(0).cast("bigint").alias("discount"), F.col("row_hash").alias("hash"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -79,8 +83,7 @@ def fold_savings(lines: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame
             F.sha2(F.concat_ws(NUL, acc["hash"], F.lit("savings"), s["amount"].cast("string")), 256).alias("hash"),
         )
 
-    none = F.array().cast("array<struct<at:bigint,amount:bigint>>")
-    folded = items.withColumn("f", F.aggregate(F.coalesce("savings", none), start, step))
+    folded = items.withColumn("f", F.aggregate("savings", start, step))
     line_no = F.row_number().over(W.partitionBy(*key).orderBy("pos")).cast("bigint")
     out = folded.withColumn("line_price_cents", F.col("f.price")).withColumn("discount_cents", F.col("f.discount")).withColumn("source_row_hash", F.col("f.hash"))
     return out.withColumn("line_no", line_no).drop("f", "savings", "row_hash"), orphans.drop("anchor", "row_hash")
@@ -101,7 +104,9 @@ def read_digital_receipts(spark: SparkSession, path: str, per_line: bool = False
     refund = F.lower(F.coalesce(F.col(r + "transactionType"), F.lit(""))).contains("refund")
     gas = F.lower(F.coalesce(F.col(r + "receiptType"), F.lit(""))).contains("gas")
     tender = F.get(F.col(r + "tenderArray"), F.lit(0))
-    judged = rec.withColumn("reason", reason)
+    raw = F.when(F.col("reason").isNotNull(), F.coalesce("_corrupt", F.to_json("rec")))
+    # the text is parsed once
+    judged = cut(rec.withColumn("reason", reason).withColumn("raw", raw).withColumn("_corrupt", F.when(F.col("_corrupt").isNotNull(), "")), "digital-records")
     head = judged.filter("reason IS NULL").select(
         F.col("file"), F.concat_ws(":", F.col("file"), F.col("doc").cast("string"), F.col("seq").cast("string")).alias("entry"), barcode.alias("barcode"),
         F.when(gas, "COSTCO GAS").otherwise("COSTCO WHSE").alias("store"), purchased.alias("purchased_at"), _cents(F.col(r + "subTotal")).alias("subtotal_cents"),
@@ -124,7 +129,9 @@ def read_digital_receipts(spark: SparkSession, path: str, per_line: bool = False
     )
     lines = lines.withColumn("row_hash", hash_of(F.col("barcode"), F.col("pos"), F.col("sku"), F.col("amount")))
     items, orphans = fold_savings(lines, ["entry"])
-    sums = items.groupBy("entry").agg(F.count("*").alias("n"), F.sum(F.col("line_price_cents") - F.col("discount_cents")).alias("net"))
+    # sums need amounts only, and texts would travel with them
+    bare = fold_savings(lines.select("entry", "pos", "kind", "amount", F.lit(None).cast("string").alias("row_hash")), ["entry"])[0]
+    sums = bare.groupBy("entry").agg(F.count("*").alias("n"), F.sum(F.col("line_price_cents") - F.col("discount_cents")).alias("net"))
     broken = lines.filter("kind = 'bad'").select("entry").union(orphans.select("entry")).distinct().withColumn("broken", F.lit(True))
     expected = F.coalesce("net", F.lit(0)) + F.coalesce("tax_cents", F.lit(0))
     adds_up = (F.coalesce("n", F.lit(0)) > 0) & (F.abs(expected - F.col("total_cents")) <= RECEIPT.arithmetic_tolerance_cents)
@@ -140,7 +147,7 @@ def read_digital_receipts(spark: SparkSession, path: str, per_line: bool = False
     )
     ref = F.when(F.col("reason").isin("missing or invalid transactionDate", "missing total"), barcode).when(F.col("_corrupt").isNotNull(), "file").otherwise(
         F.concat(F.lit("receipt["), F.col("seq").cast("string"), F.lit("]")))
-    rejects = judged.filter("reason IS NOT NULL").select(F.lit("receipts").alias("source"), ref.alias("row_ref"), "reason", F.coalesce("_corrupt", F.to_json("rec")).alias("raw"))
+    rejects = judged.filter("reason IS NOT NULL").select(F.lit("receipts").alias("source"), ref.alias("row_ref"), "reason", "raw")
     no_amount = lines.filter("kind = 'bad'").select(
         F.lit("receipts").alias("source"), F.col("barcode").alias("row_ref"), F.concat(F.lit("line without a numeric amount (item "), F.coalesce("sku", F.lit("?")), F.lit(")")).alias("reason"), F.col("raw_description").alias("raw"))
     no_item = orphans.select(

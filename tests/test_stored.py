@@ -1,6 +1,7 @@
 """Household tables: what a query derives, and lines numbered before they meet their parts."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +49,15 @@ def test_lines_without_a_part_are_not_counted(spark, tmp_path):
         if r["partkey"] != lost:
             want[r["k"], r["ln"]] = 1 + sum(k == r["k"] for k, _ in want)
     assert got == want and any(seq != ln for (_, ln), seq in got.items())
+
+
+@pytest.mark.parametrize("name, kind", [("digital_receipts", "json"), ("bank_csv_rows", "csv"), ("order_history_orders", "csv"), ("all_rejects", "csv"), ("all_rejects", "json")])
+def test_text_is_parsed_once(spark, name, kind):
+    plan = catalog.all_queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert f"FileScan {kind}" not in plan and "FileScan parquet" in plan
+
+
+@pytest.mark.parametrize("name", ["decision_outcomes", "decided_receipt_items"])
+def test_decisions_are_judged_once(spark, name):
+    plan = catalog.all_queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^\]]*payload_json", plan)) == 1
