@@ -10,6 +10,7 @@ from centwise.functions.money import amount_to_cents
 from centwise.functions.receipt_lines import canonical_header
 from centwise.functions.text import clean_bank_merchant, trim
 from centwise.sources.csv_cells import csv_cells
+from centwise.storage import cut
 
 # Header spellings accepted for each column.
 HEADER_WORDS = {
@@ -34,7 +35,8 @@ def header_columns(cells: Column) -> Column:
 
 def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). Rows: file, row_no, posted_date, amount_cents, direction, raw and normalised merchant, source_row_hash."""
-    rows = csv_cells(spark, path)
+    # the header of a file is found first, so its rows are read twice; the text is cut into cells once
+    rows = cut(csv_cells(spark, path), "bank-cells")
     width = F.size(F.filter("cells", lambda c: c.isNotNull()))
     marked = rows.withColumn("h", header_columns(F.col("cells")))
     is_header = (F.col("h.date") >= 0) & (F.col("h.amount") >= 0) & (F.col("h.payee") >= 0)

@@ -11,6 +11,7 @@ from centwise.functions.money import amount_to_cents
 from centwise.functions.receipt_lines import payment_to_refund_destination
 from centwise.functions.text import trim
 from centwise.sources.csv_cells import csv_cells
+from centwise.storage import cut
 
 # The commerce columns read; no address, gift or tracking column is.
 COLUMNS = [
@@ -21,7 +22,8 @@ COLUMNS = [
 
 def read_order_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(orders, order_items, rejects)."""
-    cells = csv_cells(spark, path)
+    # headers are found first, so rows are read twice; the text is cut into cells once
+    cells = cut(csv_cells(spark, path), "order-cells")
     names = F.transform("cells", lambda c: trim(F.coalesce(c, F.lit(""))))
     places = F.struct(*[(F.array_position(names, c) - 1).cast("int").alias(c) for c in COLUMNS])
     # every file has its own header, whatever the order of its columns
