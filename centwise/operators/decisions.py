@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from centwise.functions.taxonomy import category_id_for
 from centwise.operators.dictionary import upsert
@@ -105,8 +107,9 @@ def apply_decisions_batch(
     before = decided.select(*item_key, F.lit(True).alias("_before")).distinct()
     judged = judged.join(before, item_key, "left")
     sound = F.col("_early").isNull() & F.col("_late").isNull() & F.col("_before").isNull()
-    first = judged.filter(sound).groupBy(*item_key).agg(F.min("seq").alias("_first"))
-    judged = judged.join(first, item_key, "left")
+    # judged once: the decisions on an item lie together since the last join
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in item_key])
+    judged = judged.withColumn("_first", F.when(known, F.min(F.when(sound, F.col("seq"))).over(W.partitionBy(*item_key))))
     taken = F.coalesce(F.col("_before"), F.lit(False)) | F.coalesce(F.col("seq") > F.col("_first"), F.lit(False))
     code = F.coalesce("_early", F.when(taken, "conflict"), "_late", F.lit("accepted"))
     judged = judged.withColumn("outcome", code)
