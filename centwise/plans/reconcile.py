@@ -44,20 +44,21 @@ def match_all(inputs: Inputs, cfg: ReconcileConfig = RECONCILE, names: DataFrame
 def reconcile(inputs: Inputs, cfg: ReconcileConfig = RECONCILE) -> Ledger:
     names = cut(name_pairs(inputs.bank, inputs.receipts, cfg), "names")
     found = match_all(inputs, cfg, names)
+    accruals = cut(inputs.accruals, "accruals")
     card_matches, card_events = card_refunds(inputs.bank)
-    credit_matches, credit_events = credit_refunds(inputs.order_items, inputs.orders, inputs.accruals)
+    credit_matches, credit_events = credit_refunds(inputs.order_items, inputs.orders, accruals)
     before = found.unionByName(card_matches).unionByName(credit_matches)
-    part_matches, part_events, drawdowns = partial_payments(inputs.bank, inputs.receipts, inputs.accruals, before, cfg, names)
+    part_matches, part_events, drawdowns = partial_payments(inputs.bank, inputs.receipts, accruals, before, cfg, names)
     # partial payments carry their own events, so they are not merged again
-    bought, links = merge_counted(found.filter(F.col("status") == "auto_linked"), inputs.bank, inputs.orders, inputs.accruals)
+    bought, links = merge_counted(found.filter(F.col("status") == "auto_linked"), inputs.bank, inputs.orders, accruals)
     items = event_items(bought, links, inputs.receipts, inputs.receipt_items, inputs.order_items)
     events = bought.unionByName(card_events).unionByName(credit_events).unionByName(part_events)
     return Ledger(events, items, before.unionByName(part_matches), drawdowns)
 
 
-def written(ledger: Ledger) -> Ledger:
-    """The ledger stored once, for callers that read it several times."""
-    return replace(ledger, events=cut(ledger.events, "events"), items=cut(ledger.items, "items"), matches=cut(ledger.matches, "matches"))
+def written(ledger: Ledger, *parts: str) -> Ledger:
+    """The ledger with the named parts stored once, for callers that read them several times; what is read once or never need not be."""
+    return replace(ledger, **{p: cut(getattr(ledger, p), p) for p in parts or ("events", "items", "matches")})
 
 
 def unmatched(inputs: Inputs, ledger: Ledger) -> DataFrame:

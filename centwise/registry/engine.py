@@ -11,6 +11,7 @@ from centwise.registry import sql_engine  # noqa: F401  (registers fragments)
 from centwise.registry.catalog import query
 from centwise.registry.stored import household
 from centwise.sources.tables import LazyInputs
+from centwise.storage import cut
 
 PCT = "CAST(floor(confidence * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS confidence_pct"
 
@@ -126,7 +127,7 @@ def credit_balance(spark, d):
 def _partials(spark, d):
     i = inputs(spark, d)
     found = engine.match_all(i)
-    return refunds.partial_payments(i.bank, i.receipts, i.accruals, found.unionByName(refunds.card_refunds(i.bank)[0]))
+    return refunds.partial_payments(i.bank, i.receipts, cut(i.accruals, "accruals"), found.unionByName(refunds.card_refunds(i.bank)[0]))
 
 
 @query("partial_payments", f"""SELECT household_id, match_id, transaction_id, receipt_id, credit_id, status, {PCT}
@@ -200,4 +201,4 @@ FULL JOIN (SELECT household_id, count(*) FILTER (kind = 'bank_line') AS ub, coun
 FULL JOIN (SELECT household_id, CAST(sum(signed_spend_cents) AS BIGINT) AS n FROM e_events GROUP BY 1) USING (household_id)""")
 def run_summary(spark, d):
     i = inputs(spark, d)
-    return engine.run_summary(i, engine.written(engine.reconcile(i)))
+    return engine.run_summary(i, engine.written(engine.reconcile(i), "matches"))

@@ -72,8 +72,9 @@ _FLAG = """household_id, code, subject, observed_cents, comparison_cents,
     ELSE 'New recurring charge for ' || subject || ' detected' END AS message"""
 
 
-def _ledger(spark, d):
-    return engine.written(engine.reconcile(inputs(spark, d)))
+def _ledger(spark, d, *parts):
+    """The ledger, with the parts stored that a query reads several times."""
+    return engine.written(engine.reconcile(inputs(spark, d)), *parts)
 
 
 def _rollup(ledger):
@@ -82,7 +83,7 @@ def _rollup(ledger):
 
 @query("recurring_charges", "SELECT * FROM r_recurring")
 def recurring_charges(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "items")
     return recurring.detect_recurring(ledger.events, ledger.items)
 
 
@@ -90,31 +91,31 @@ def recurring_charges(spark, d):
 def merchant_month_spend(spark, d):
     from centwise.functions.dates import month_text
 
-    ledger = _ledger(spark, d)
+    ledger = engine.reconcile(inputs(spark, d))
     return insights.merchant_month_spend(ledger.events, ledger.items).select("household_id", "merchant", month_text(F.col("month_idx")).alias("month"), "cents")
 
 
 @query("insight_merchant_above_average", f"SELECT {_FLAG} FROM r_above")
 def insight_merchant_above_average(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events")
     return insights.merchant_above_average(ledger.events, ledger.items)
 
 
 @query("insight_category_over_last_month", f"SELECT {_FLAG} FROM r_over")
 def insight_category_over_last_month(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "items")
     return insights.category_over_last_month(_rollup(ledger), ledger.events)
 
 
 @query("insight_new_recurring", f"SELECT {_FLAG} FROM r_new")
 def insight_new_recurring(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "items")
     return insights.new_recurring_charge(ledger.events, recurring.detect_recurring(ledger.events, ledger.items))
 
 
 @query("insights", f"SELECT {_FLAG} FROM (SELECT * FROM r_above UNION ALL SELECT * FROM r_over UNION ALL SELECT * FROM r_new)")
 def all_insights(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "items")
     found = recurring.detect_recurring(ledger.events, ledger.items)
     return insights.derive_insights(ledger.events, ledger.items, _rollup(ledger), found)
 
@@ -135,7 +136,7 @@ SELECT household_id, event_id, side, parent, shipment, seq, CASE WHEN descriptio
 SELECT e.household_id, coalesce(f.category, 'uncategorized') AS category, strftime(occurred_on, '%Y-%m') AS month, CAST(sum(signed_spend_cents) AS BIGINT) AS net_spend_cents, count(*) AS events
 FROM e_events e LEFT JOIN (SELECT * FROM r_fixed_items QUALIFY row_number() OVER (PARTITION BY household_id, event_id ORDER BY side, parent, shipment, seq) = 1) f USING (household_id, event_id) GROUP BY ALL""")
 def reclassified_rollup(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "items")
     wanted = ledger.items.filter(F.lower("description").contains("hardcover"))
     edits = wanted.select("household_id", F.lit(1).alias("seq"), "receipt_item_id", "order_item_id", F.lit("Education").alias("new_category"))
     return _rollup(replace(ledger, items=corrections.reclassify(ledger.items, edits)))
@@ -145,7 +146,7 @@ def reclassified_rollup(spark, d):
 SELECT household_id, CAST(sum(signed_spend_cents) AS BIGINT) AS net_spend_cents, count(*) AS events FROM e_events
 WHERE transaction_id IS NULL OR transaction_id NOT IN (SELECT transaction_id FROM e_all_matches WHERE confidence < CAST(0.8 AS DOUBLE) AND transaction_id IS NOT NULL) GROUP BY 1""")
 def rejected_net_spend(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "matches")
     weak = ledger.matches.filter(F.col("confidence") < F.lit(0.8)).select("household_id", "match_id")
     left = corrections.reject(ledger, weak)
     return left.events.groupBy("household_id").agg(F.sum("signed_spend_cents").alias("net_spend_cents"), F.count("*").alias("events"))
@@ -158,7 +159,7 @@ p AS (SELECT m.*, o.event_id AS oe, o.occurred_on AS oo, n.event_id AS ne, n.occ
 ch AS (SELECT household_id, oe AS event_id, new_tx AS tx, no AS day FROM p UNION ALL SELECT household_id, ne, old_tx, oo FROM p WHERE ne IS NOT NULL)
 SELECT e.household_id, e.event_id, coalesce(tx, transaction_id) AS transaction_id, coalesce(day, occurred_on) AS occurred_on FROM e_events e LEFT JOIN ch USING (household_id, event_id)""")
 def relinked_events(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "matches")
     target = F.concat(F.substring("transaction_id", 1, 16), F.lit("b"))
     direct = ledger.matches.filter((F.col("type") == "order_bank") & F.col("confirmed_by").isNull() & (F.col("transaction_id") != target))
     moved = corrections.relink(ledger, direct.select("household_id", "match_id", target.alias("new_transaction_id")))
@@ -178,7 +179,7 @@ c AS (SELECT r.*, a.event_id AS e1, b.event_id AS e2, c.event_id AS e3, a.on_ AS
 m AS (SELECT household_id, e1 AS event_id, t3 AS tx, d3 AS day FROM c UNION ALL SELECT household_id, e2, t2, d2 FROM c UNION ALL SELECT household_id, e3, t1, d1 FROM c)
 SELECT e.household_id, e.event_id, coalesce(tx, transaction_id) AS transaction_id, coalesce(day, occurred_on) AS occurred_on FROM e_events e LEFT JOIN m USING (household_id, event_id)""")
 def relinked_chains(spark, d):
-    ledger = _ledger(spark, d)
+    ledger = _ledger(spark, d, "events", "matches")
     direct = ledger.matches.filter("type = 'order_bank' AND status = 'auto_linked' AND confirmed_by IS NULL").select("household_id", "match_id", "transaction_id")
     three = direct.groupBy("household_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("match_id", "transaction_id"))), 1, 3).alias("m")).filter(F.size("m") == 3)
     move = lambda seq, match, line: F.struct(F.lit(seq).alias("seq"), F.col("m")[match]["match_id"].alias("match_id"), F.col("m")[line]["transaction_id"].alias("new_transaction_id"))
