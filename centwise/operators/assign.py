@@ -52,7 +52,7 @@ def greedy_pairs(edges: DataFrame, left: str, right: str, order: list[Column], m
         # an edge that is not used up is accepted and stays as well
         as_won = F.struct(F.lit(True).alias("taken"), F.col("_lo").alias("lo"), F.col("_ro").alias("ro"), used_l.alias("n"))
         as_open = F.struct(F.lit(False).alias("taken"), (F.col("_lo") + used_l).alias("lo"), (F.col("_ro") + used_r).alias("ro"), F.lit(0).cast("bigint").alias("n"))
-        both = labelled.withColumn("_as", F.explode(F.filter(F.array(F.when(taken, as_won), F.when(stays, as_open)), lambda x: x.isNotNull())))
+        both = labelled.withColumn("_as", F.explode(F.when(taken & stays, F.array(as_won, as_open)).when(taken, F.array(as_won)).when(stays, F.array(as_open))))
         kept = ["_rank", "_ln", "_rn", "_lh", "_rh"]
         out = both.select(*columns, *kept, F.col("_as.lo").alias("_lo"), F.col("_as.ro").alias("_ro"), F.col("_as.n").alias("_n"), F.col("_as.taken").alias("_taken"))
         if several:

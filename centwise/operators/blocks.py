@@ -25,7 +25,8 @@ def blocks(df: DataFrame, ident: str, size: str) -> DataFrame:
 
 def members(df: DataFrame, whole: DataFrame, ident: str, size: str) -> DataFrame:
     """(household, block, id, at) of every row whose block ``whole`` holds more than one; ``at`` counts from 0 by id."""
-    many = whole.filter(F.col(size) > 1).select(*[F.col(c).alias("_block" if c == ident else f"_{c}") for c in df.columns])
+    # as a rule few blocks hold several rows: written, they have a size that the planner knows, and ``df`` need not be shuffled to meet them
+    many = cut(whole.filter(F.col(size) > 1).select(*[F.col(c).alias("_block" if c == ident else f"_{c}") for c in df.columns]), "many")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in df.columns if c != ident])
-    rows = df.join(many, same).select(KEY, F.col("_block").alias("block"), F.col(ident).alias("id"))
+    rows = cut(df.join(many, same).select(KEY, F.col("_block").alias("block"), F.col(ident).alias("id")), "alike")
     return cut(running(rows, [KEY, "block"], [F.col("id")], at=F.lit(1).cast("bigint")).withColumn("at", F.col("at") - 1), "members")

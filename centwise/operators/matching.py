@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from centwise.config import ReconcileConfig, RECONCILE
 from centwise.functions.money import route
+from centwise.functions.text import filled
 from centwise.operators.assign import greedy_pairs, greedy_sets
 from centwise.operators.candidates import KEY, order_direct, receipt_blocks
 from centwise.operators.split import order_split
+from centwise.storage import cut
 
 MATCH_FIELDS = {
     "household_id": "string", "match_id": "string", "type": "string", "transaction_id": "string",
@@ -40,7 +42,7 @@ def line_ids() -> Column:
 
 
 def _iso(name: str) -> Column:
-    return F.date_format(name, "yyyy-MM-dd")
+    return F.col(name).cast("date").cast("string")
 
 
 def match_receipts(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig = RECONCILE, names: DataFrame | None = None) -> DataFrame:
@@ -53,10 +55,11 @@ def match_receipts(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig =
         .when(F.col("receipt_last4") == F.col("bank_last4"), F.format_string(", card ****%s matched", "receipt_last4"))
         .otherwise(F.format_string(", card mismatch (receipt ****%s vs bank ****%s)", "receipt_last4", "bank_last4"))
     )
-    text = F.format_string(
-        "Receipt %s (%d¢, %s) ↔ Bank %s (%d¢, %s): merchant sim %.2f, amount diff %d¢, %d day(s) apart%s",
+    sim = F.when(F.col("sim") == 1, "1.00").otherwise(F.format_string("%.2f", "sim"))
+    text = filled(
+        "Receipt {} ({}¢, {}) ↔ Bank {} ({}¢, {}): merchant sim {}, amount diff {}¢, {} day(s) apart{}",
         F.coalesce("receipt_merchant", F.lit("?")), "total_cents", _iso("purchased_at"), "bank_merchant", "bank_cents",
-        _iso("posted_date"), "sim", "amount_diff", "date_diff", card,
+        _iso("posted_date"), sim, "amount_diff", "date_diff", card,
     )
     return match_record(
         won,
@@ -67,10 +70,10 @@ def match_receipts(bank: DataFrame, receipts: DataFrame, cfg: ReconcileConfig =
 
 def order_candidates(bank: DataFrame, orders: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
     """One candidate per order: its best direct line, else its split charge."""
-    direct = order_direct(bank, orders, cfg)
+    direct = cut(order_direct(bank, orders, cfg), "direct")
     split = order_split(bank, orders, direct, cfg)
-    one = F.format_string(
-        "Order %s (%d¢, %s) ↔ Bank %s (%d¢, %s): amount diff %d¢, %d day(s) apart",
+    one = filled(
+        "Order {} ({}¢, {}) ↔ Bank {} ({}¢, {}): amount diff {}¢, {} day(s) apart",
         "external_order_id", "order_total_cents", _iso("order_date"), "bank_merchant", "bank_cents", _iso("posted_date"), "amount_diff", "date_diff",
     )
     parts = F.array_join(F.transform("chosen", lambda x: F.format_string("%s(%d¢)", x["transaction_id"], x["bank_cents"])), " + ")

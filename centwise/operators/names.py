@@ -3,7 +3,8 @@
 Two names whose Dice score reaches the cutoff must share a bigram among the
 first few of each name's bigrams, taken in any one fixed order.  Joining on
 those few (household, bigram) keys gives every pair that can qualify; the exact
-score then decides.
+score then decides.  Names recur from household to household, so bigrams are
+made once a name and scores once a pair of names.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from centwise.functions.similarity import bigrams, dice_of_comparable
+from centwise.storage import cut
 
 
 def _prefix_keys(name: Column, cutoff: float) -> Column:
@@ -28,21 +30,26 @@ def similar_names(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
     Names must already be in comparable form.  Returns household_id, left_name,
     right_name, sim.
     """
-    a = left.select("household_id", "left_name").distinct()
-    b = right.select("household_id", "right_name").distinct()
+    a = cut(left.select("household_id", "left_name").distinct(), "left-names")
+    b = cut(right.select("household_id", "right_name").distinct(), "right-names")
     same = a.join(
         b.withColumn("left_name", F.col("right_name")), ["household_id", "left_name"]
     ).select("household_id", "left_name", "right_name", F.lit(1.0).alias("sim"))
 
-    ak = a.select("*", F.explode(_prefix_keys(F.col("left_name"), cutoff)).alias("gram"))
-    bk = b.select("*", F.explode(_prefix_keys(F.col("right_name"), cutoff)).alias("gram"))
+    ak = a.join(_grams(a, "left_name", cutoff), "left_name")
+    bk = b.join(_grams(b, "right_name", cutoff), "right_name")
     na, nb = F.length("left_name") - 1, F.length("right_name") - 1
-    close = (
+    near = cut(
         ak.join(bk, ["household_id", "gram"])
         .filter((F.col("left_name") != F.col("right_name")) & (F.least(na, nb) * 2 >= (na + nb) * F.lit(cutoff) - F.lit(1e-9)))
         .select("household_id", "left_name", "right_name")
-        .distinct()
-        .withColumn("sim", dice_of_comparable(F.col("left_name"), F.col("right_name")))
-        .filter(F.col("sim") >= F.lit(cutoff))
+        .distinct(),
+        "near-names",
     )
-    return same.unionByName(close)
+    names = ["left_name", "right_name"]
+    scored = near.select(*names).distinct().withColumn("sim", dice_of_comparable(F.col("left_name"), F.col("right_name"))).filter(F.col("sim") >= F.lit(cutoff))
+    return same.unionByName(near.join(scored, names).select("household_id", *names, "sim"))
+
+
+def _grams(side: DataFrame, name: str, cutoff: float) -> DataFrame:
+    return side.select(name).distinct().select(name, F.explode(_prefix_keys(F.col(name), cutoff)).alias("gram"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from centwise.config import ReconcileConfig, RECONCILE
 from centwise.functions.money import bank_to_spend, route
+from centwise.functions.text import filled
 from centwise.operators.assign import greedy_pairs
 from centwise.operators.candidates import KEY, partial_blocks
 from centwise.operators.cells import cell, touched
@@ -34,7 +35,7 @@ def event_record(df: DataFrame, **fields) -> DataFrame:
 def card_refunds(bank: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every bank credit is a card refund: (matches, events)."""
     credit = bank.filter(F.col("direction") == "credit")
-    text = F.format_string("Bank CREDIT %s (%d¢, %s): card refund", "normalized_merchant", "amount_cents", F.date_format("posted_date", "yyyy-MM-dd"))
+    text = filled("Bank CREDIT {} ({}¢, {}): card refund", "normalized_merchant", "amount_cents", F.col("posted_date").cast("date"))
     matches = match_record(
         credit, match_id=F.concat(F.lit("refund_card-"), "id"), type=F.lit("refund_card"), transaction_id=F.col("id"),
         confidence=F.lit(0.9), rationale=text, status=F.lit("auto_linked"),
@@ -87,8 +88,8 @@ def credit_refunds(order_items: DataFrame, orders: DataFrame, accruals: DataFram
     dated = orders.select(KEY, F.col("id").alias("order_id"), "order_date")
     linked = link_accruals(credit_returns(order_items), accruals).join(dated, [KEY, "order_id"])
     found = F.col("accrual_id").isNotNull()
-    text = F.when(found, F.format_string("Return %s (%d¢) linked to %s accrual %s", "description", "amount_cents", "kind", "accrual_id")).otherwise(
-        F.format_string("Return %s (%d¢) — no matching accrual; %s refund assumed", "description", "amount_cents", "kind")
+    text = F.when(found, filled("Return {} ({}¢) linked to {} accrual {}", "description", "amount_cents", "kind", "accrual_id")).otherwise(
+        filled("Return {} ({}¢) — no matching accrual; {} refund assumed", "description", "amount_cents", "kind")
     )
     matches = match_record(
         linked, match_id=F.concat(F.lit("store_credit_refund-"), "order_id", F.lit("-"), "order_item_id"), type=F.lit("store_credit_refund"),
@@ -171,10 +172,8 @@ def partial_payments(
     largest = accruals.filter(F.col("amount_cents") > 0).groupBy(KEY, "kind").agg(F.min(F.struct(-F.col("amount_cents"), F.col("id").alias("id"))).alias("top"))
     drawn = drawn.join(largest.select(KEY, "kind", F.col("top.id").alias("credit_id")), [KEY, "kind"], "left")
     covered = F.col("kind").isNotNull()
-    text = F.format_string(
-        "Partial store-credit payment: %s bank %d¢ + store credit %d¢ = receipt %d¢", "bank_merchant", "bank_cents", "gap_cents", "total_cents"
-    )
-    short = F.concat(text, F.format_string(" — insufficient accrual (%d¢ needed); routed to review", "gap_cents"))
+    text = filled("Partial store-credit payment: {} bank {}¢ + store credit {}¢ = receipt {}¢", "bank_merchant", "bank_cents", "gap_cents", "total_cents")
+    short = F.concat(text, filled(" — insufficient accrual ({}¢ needed); routed to review", "gap_cents"))
     records = match_record(
         drawn, match_id=F.concat(F.lit("store_credit_drawdown-"), "transaction_id", F.lit("-"), "receipt_id"), type=F.lit("store_credit_drawdown"),
         rationale=F.when(covered, text).otherwise(short),

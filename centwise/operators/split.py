@@ -9,6 +9,10 @@ from centwise.functions.dates import days_between
 from centwise.operators.candidates import KEY, payable_orders, retailer_debits
 
 
+#: Pools of at most this many amounts hold their sums one by one, 2^n at most, not as bits.
+FEW = 6
+
+
 def _shifted(bits: Column, by: Column) -> Column:
     """A bit set in 64-bit words moved up by ``by`` places; what leaves its last word is lost."""
     words, places = F.floor(by / 64).cast("int"), (by % 64).cast("int")
@@ -29,22 +33,37 @@ def first_exact_subset(amounts: Column, target: Column) -> Column:
     ``reach[i]`` is the set of sums up to ``target`` that the amounts from place i
     on can make, one bit for each cent in 64-bit words.  A pool of n amounts holds
     (n + 1) * (target / 8 + 8) bytes at most: 7.7 MB for 40 charges and 15,000
-    dollars.  The walk takes an amount whenever the rest can still be made.
+    dollars.  The walk takes an amount whenever the rest can still be made.  A few
+    amounts make fewer sums than there are words, so theirs are held as numbers.
     """
+    enough = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda s, x: s + x) >= target
+    found = F.when(F.size(amounts) <= FEW, _walk(amounts, target, *_numbers(target))).otherwise(_walk(amounts, target, *_bits(target)))
+    return F.when(enough, found).otherwise(F.array().cast("array<int>"))
+
+
+def _numbers(target: Column):
+    """The sum of nothing, the sums with one amount more, and a test, for sums held as numbers."""
+    more = lambda sums, x: F.array_distinct(F.concat(sums, F.filter(F.transform(sums, lambda s: s + x), lambda s: s <= target)))
+    return F.array(F.lit(0).cast("bigint")), more, F.array_contains
+
+
+def _bits(target: Column):
+    """The same for sums held as bits."""
+    none = F.transform(F.sequence(F.lit(0), F.floor(target / 64).cast("int")), lambda i: F.when(i == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    return none, lambda bits, x: F.zip_with(bits, _shifted(bits, x), lambda a, b: a.bitwiseOR(b)), _holds
+
+
+def _walk(amounts: Column, target: Column, nothing: Column, more, holds) -> Column:
     none = F.array().cast("array<int>")
-    empty = F.transform(F.sequence(F.lit(0), F.floor(target / 64).cast("int")), lambda i: F.when(i == 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    both = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))
-    reach = F.aggregate(F.reverse(amounts), F.array(empty), lambda acc, x: F.concat(F.array(both(acc[0], _shifted(acc[0], x))), acc))
+    reach = F.aggregate(F.reverse(amounts), F.array(nothing), lambda acc, x: F.concat(F.array(more(acc[0], x)), acc))
 
     def step(walk: Column, i: Column) -> Column:
         left = walk["left"] - F.get(amounts, i)
-        take = (walk["left"] > 0) & _holds(F.get(walk["reach"], i + 1), left)
+        take = (walk["left"] > 0) & holds(F.get(walk["reach"], i + 1), left)
         return F.struct(F.when(take, left).otherwise(walk["left"]).alias("left"), F.when(take, F.concat(walk["chosen"], F.array(i))).otherwise(walk["chosen"]).alias("chosen"), walk["reach"].alias("reach"))
 
     start = F.struct(target.alias("left"), none.alias("chosen"), reach.alias("reach"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(amounts) - 1), start, step, lambda walk: F.when(walk["left"] == 0, walk["chosen"]).otherwise(none))
-    enough = F.aggregate(amounts, F.lit(0).cast("bigint"), lambda s, x: s + x) >= target
-    return F.when(enough, found).otherwise(none)
+    return F.aggregate(F.sequence(F.lit(0), F.size(amounts) - 1), start, step, lambda walk: F.when(walk["left"] == 0, walk["chosen"]).otherwise(none))
 
 
 def order_split(bank: DataFrame, orders: DataFrame, direct: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from centwise.config import ReconcileConfig
+from centwise.functions import text
 from centwise.operators import assign, candidates, corrections, merge, names, recurring, refunds, rollup, split
 from centwise.operators.matching import apply_decisions, match_record, match_receipts
 from centwise.plans import reconcile as engine
@@ -404,3 +405,33 @@ def test_running_sums_equal_a_walk(spark):
         total, n = seen.get(g, (0, 0))
         seen[g] = want[g, o] = (total + v, n + 1)
     assert got == want
+
+
+def test_only_the_named_parts_of_a_ledger_are_stored(spark, golden, tmp_path):
+    ledger = golden if isinstance(golden, engine.Ledger) else golden[-1]
+    stored = engine.written(ledger, "events")
+    assert stored.items is ledger.items and stored.matches is ledger.matches
+    assert sorted(map(str, stored.events.collect())) == sorted(map(str, ledger.events.collect()))
+
+
+def test_text_is_filled_as_format_string_fills_it(spark):
+    rows = spark.createDataFrame([("a{}b", 5, day("2024-01-02")), (None, None, None)], "s string, n bigint, d date")
+    one = text.filled("x {} ({}¢, {})", "s", F.col("n"), "d")
+    other = F.format_string("x %s (%d¢, %s)", "s", "n", F.date_format("d", "yyyy-MM-dd"))
+    assert rows.select(one.alias("one"), other.alias("other")).filter("one <> other OR one IS NULL").isEmpty()
+
+
+def test_sums_held_as_numbers_choose_what_sums_held_as_bits_choose(spark):
+    rng = random.Random(5)
+    rows = [([rng.choice([0, 1, 7, 64, 65, 130, rng.randint(0, 300)]) for _ in range(rng.randint(2, split.FEW))], rng.randint(1, 500)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "amounts array<bigint>, target bigint")
+    a, t = F.col("amounts"), F.col("target")
+    found = df.select(split._walk(a, t, *split._numbers(t)).alias("few"), split._walk(a, t, *split._bits(t)).alias("many"), split.first_exact_subset(a, t).alias("out")).collect()
+    assert all(r.few == r.many == r.out for r in found) and any(r.out for r in found)
+
+
+def test_a_name_is_cut_into_grams_once_for_all_households(spark):
+    a = spark.createDataFrame([(f"h{i}", "costco whse") for i in range(20)], "household_id string, left_name string")
+    assert names._grams(a, "left_name", 0.5).groupBy("gram").count().filter("count > 1").isEmpty()
+    b = spark.createDataFrame([(f"h{i}", "costco whse 118") for i in range(0, 20, 2)], "household_id string, right_name string")
+    assert names.similar_names(a, b, 0.5).count() == 10
