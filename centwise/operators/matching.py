@@ -111,16 +111,14 @@ def apply_decisions(matches: DataFrame, confirmed: DataFrame) -> DataFrame:
         .join(said, [KEY, "_tx"])
         .groupBy(KEY, "match_id").agg(F.min(F.struct("_pos", "_tx", "_receipt", "_order")).alias("_said"))
     )
-    rival_receipts = said.filter("_receipt IS NOT NULL").select(KEY, F.col("_receipt").alias("receipt_id"), F.lit(True).alias("_taken_receipt")).distinct()
-    rival_orders = said.filter("_order IS NOT NULL").select(KEY, F.col("_order").alias("order_id"), F.lit(True).alias("_taken_order")).distinct()
-    labelled = (
-        matches.join(spoken, [KEY, "match_id"], "left")
-        .join(rival_receipts, [KEY, "receipt_id"], "left")
-        .join(rival_orders, [KEY, "order_id"], "left")
-    )
+    # rivals are found among ids alone, so that the records, which are wide, are dealt once
+    by_receipt = matches.select(KEY, "match_id", "receipt_id").join(said.select(KEY, F.col("_receipt").alias("receipt_id")), [KEY, "receipt_id"], "left_semi")
+    by_order = matches.select(KEY, "match_id", "order_id").join(said.select(KEY, F.col("_order").alias("order_id")), [KEY, "order_id"], "left_semi")
+    rivals = by_receipt.select(KEY, "match_id").union(by_order.select(KEY, "match_id")).distinct().withColumn("_taken", F.lit(True))
+    labelled = matches.join(spoken, [KEY, "match_id"], "left").join(rivals, [KEY, "match_id"], "left")
     decided = F.col("_said").isNotNull()
     the_pair = F.coalesce(F.col("_said._receipt") == F.col("receipt_id"), F.lit(False)) | F.coalesce(F.col("_said._order") == F.col("order_id"), F.lit(False))
-    kept = labelled.filter(F.when(decided, the_pair).otherwise(F.col("_taken_receipt").isNull() & F.col("_taken_order").isNull()))
+    kept = labelled.filter(F.when(decided, the_pair).otherwise(F.col("_taken").isNull()))
     honoured = kept.filter(decided).select(KEY, F.col("_said._tx").alias("_tx"))
     out = match_record(
         kept,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from centwise.config import ReconcileConfig, RECONCILE
-from centwise.functions.dates import days_between
+from centwise.functions.dates import day_number, days_between
 from centwise.operators.candidates import KEY, payable_orders, retailer_debits
+from centwise.operators.cells import cell, touched
 
 
 #: Pools of at most this many amounts hold their sums one by one, 2^n at most, not as bits.
@@ -71,12 +72,11 @@ def order_split(bank: DataFrame, orders: DataFrame, direct: DataFrame, cfg: Reco
     lines = retailer_debits(bank)
     open_orders = payable_orders(orders).join(direct.select(KEY, "order_id"), [KEY, "order_id"], "left_anti")
     win = cfg.order_window_days
-    reach = F.sequence(F.date_sub("order_date", win), F.date_add("order_date", win))
     # a charge above the order's total is in no subset
     pool = (
-        open_orders.withColumn("posted_date", F.explode(reach))
-        .join(lines, [KEY, "posted_date"]).filter(F.col("bank_cents") <= F.col("order_total_cents"))
-        .withColumn("date_diff", days_between(F.col("posted_date"), F.col("order_date")))
+        open_orders.withColumn("day_cell", F.explode(touched(day_number(F.col("order_date")), win)))
+        .join(lines.withColumn("day_cell", cell(day_number(F.col("posted_date")), win)), [KEY, "day_cell"]).filter(F.col("bank_cents") <= F.col("order_total_cents"))
+        .withColumn("date_diff", days_between(F.col("posted_date"), F.col("order_date"))).filter(F.col("date_diff") <= win)
         .groupBy(KEY, "order_id", "external_order_id", "order_date", "order_total_cents")
         .agg(F.array_sort(F.collect_list(F.struct("transaction_id", "bank_cents", "date_diff"))).alias("pool"))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from centwise.config import ReconcileConfig
 from centwise.functions import text
-from centwise.operators import assign, candidates, corrections, merge, names, recurring, refunds, rollup, split
+from centwise.operators import assign, candidates, cells, corrections, merge, names, recurring, refunds, rollup, split
 from centwise.operators.matching import apply_decisions, match_record, match_receipts
 from centwise.plans import reconcile as engine
 from centwise.sources.tables import Inputs
@@ -435,3 +435,10 @@ def test_a_name_is_cut_into_grams_once_for_all_households(spark):
     assert names._grams(a, "left_name", 0.5).groupBy("gram").count().filter("count > 1").isEmpty()
     b = spark.createDataFrame([(f"h{i}", "costco whse 118") for i in range(0, 20, 2)], "household_id string, right_name string")
     assert names.similar_names(a, b, 0.5).count() == 10
+
+
+def test_an_interval_touches_fewer_than_two_cells_on_average(spark):
+    days = spark.range(-300, 300).select(F.col("id"), cells.touched(F.col("id"), 7).alias("t"))
+    assert days.agg(F.max(F.size("t")), F.avg(F.size("t")) < 1.75).first() == (2, True)
+    missed = days.withColumn("y", F.explode(F.sequence(F.col("id") - 7, F.col("id") + 7))).filter(~F.array_contains("t", cells.cell(F.col("y"), 7)))
+    assert missed.isEmpty()
