@@ -4,8 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from centwise.llm.line_dedup import dedup_lines, line_report
+from centwise.llm.line_dedup import _entries, _row, dedup_lines, line_classes, line_report
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -107,3 +108,19 @@ def test_columns_with_clashing_names(spark):
     assert got.columns == df.columns
     assert sorted(map(tuple, got.collect())) == [(1, "a b c\nd e f", 7, 8, 9, 10, 11, 12), (2, "other one here", 7, 8, 9, 10, 11, 12)]
     assert sorted((r.doc_id, r.n_lines, list(r.kept)) for r in line_report(df).collect()) == [(1, 2, [0, 1]), (2, 2, [1])]
+
+
+def test_entries_are_small(spark):
+    """Text hashes only where an id repeats, and 32 bits of a token: what is shuffled for each rare token stays small."""
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "g h\ni j k"), (2, "l m"), (None, "n o"), (None, "p q"), (3, None)], SCHEMA)
+    rows = df.select("doc_id", _row(df).alias("row")).collect()
+    assert {r.doc_id: r.row for r in rows if r.doc_id in (1, 3)} == {1: 0, 3: 0}
+    assert all(r.row != 0 for r in rows if r.doc_id not in (1, 3)) and len({r.row for r in rows}) == 5
+    entries = _entries(line_classes(df, _row(df)), F.lit(100))
+    assert dict(entries.dtypes) == {"token": "int", "doc": "bigint", "line": "bigint", "row": "bigint", "set": "bigint", "low": "bigint", "high": "bigint", "before": "int"}
+
+
+def test_blanks_within_a_line(spark):
+    docs = [(1, "A\tb\x0bC\r\n \t\x0c\r\nx  y"), (2, "a b c\r\nX\x0cY\nnew\u00a0one"), (3, "\tnew\u00a0ONE\n" + " ".join(f"w{i}" for i in range(200))), (4, "\t".join(f"W{i}" for i in range(10, 200)))]
+    got = {r.doc_id: list(r.kept) for r in line_report(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == plain(docs) == {1: [0, 2], 2: [2], 3: [1], 4: []}
