@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from centwise.config import DIGITAL_SOURCE, RECEIPT, ReceiptConfig
 from centwise.functions.rules import keyword_category
 from centwise.functions.taxonomy import CATEGORIES, category_id_for, clamp_to_taxonomy
-from centwise.functions.text import normalize_sku, normalize_store, trim
+from centwise.functions.text import blank_store, normalize_sku, normalize_store, trim
 
 KEY = ["household_id", "store", "sku_or_abbrev"]
 VALUE = ["canonical_name", "category", "name_confidence", "category_confidence", "source", "updated_at"]
@@ -47,6 +47,19 @@ def work_list(resolved: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def open_keys(items: DataFrame, dictionary: DataFrame, answers: DataFrame) -> DataFrame:
+    """``work_list`` of items resolved by the re-keyed ``dictionary`` and ``answers``.
+
+    Only keys matter for it, so names and categories are not carried along, and no entry has to win over another.
+    """
+    asked = items.select("household_id", normalize_store(F.col("store")).alias("store"), normalize_sku(F.coalesce("sku", "raw_description")).alias("sku_or_abbrev"), F.lit(0).alias("known"))
+    store, sku, blank = _new_key()
+    held = dictionary.select("household_id", F.when(blank, F.col("store")).otherwise(store).alias("store"), F.when(blank, F.col("sku_or_abbrev")).otherwise(sku).alias("sku_or_abbrev"), F.lit(1).alias("known"))
+    known = held.unionByName(answers.select(*KEY, F.lit(1).alias("known"))).dropna(subset=KEY)
+    # counted in one grouping; a key that is partly null meets no entry
+    return asked.unionByName(known).groupBy(*KEY).agg(F.max("known").alias("known")).filter("known = 0").select(*KEY)
+
+
 def confident_answers(answers: DataFrame, cfg: ReceiptConfig = RECEIPT) -> DataFrame:
     """Answers good enough to be written back as automatic entries."""
     known = F.when(F.col("category").isin(list(CATEGORIES)), F.col("category_confidence")).otherwise(0.0)
@@ -63,15 +76,20 @@ def upsert(dictionary: DataFrame, incoming: DataFrame) -> DataFrame:
     return best.select(*KEY, *[F.col(f"v.{c}").alias(c) for c in VALUE])
 
 
+def _new_key() -> tuple[Column, Column, Column]:
+    """An entry's normalised store and number, and whether it keeps its key since one of them would be empty."""
+    store, sku = normalize_store(F.col("store")), normalize_sku(F.col("sku_or_abbrev"))
+    # tested on the plain store: a filter on the normalised one would normalise every row once more
+    return store, sku, blank_store(F.col("store")) | (sku == "")
+
+
 def rekey(dictionary: DataFrame) -> DataFrame:
     """Entries moved to their normalised key; of several, the human one wins, then the newest."""
-    store, sku = normalize_store(F.col("store")), normalize_sku(F.col("sku_or_abbrev"))
-    keyed = dictionary.withColumn("_store", store).withColumn("_sku", sku)
-    blank = (F.col("_store") == "") | (F.col("_sku") == "")
+    store, sku, blank = _new_key()
     rank = F.struct(F.when(F.col("source") == "human", 0).otherwise(1).alias("r"), (-F.col("updated_at")).alias("u"), F.col("store").alias("s"), F.col("sku_or_abbrev").alias("k"), *VALUE)
-    best = keyed.filter(~blank).groupBy("household_id", "_store", "_sku").agg(F.min(rank).alias("v"))
+    best = dictionary.filter(~blank).groupBy("household_id", store.alias("_store"), sku.alias("_sku")).agg(F.min(rank).alias("v"))
     moved = best.select("household_id", F.col("_store").alias("store"), F.col("_sku").alias("sku_or_abbrev"), *[F.col(f"v.{c}").alias(c) for c in VALUE])
-    return moved.unionByName(keyed.filter(blank).select(*KEY, *VALUE))
+    return moved.unionByName(dictionary.filter(blank).select(*KEY, *VALUE))
 
 
 def learn_from_digital(dictionary: DataFrame, receipts: DataFrame, items: DataFrame, now_ms: int, cfg: ReceiptConfig = RECEIPT) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from centwise.operators import decisions, dictionary, quality, receipts
 from centwise.functions.money import to_pct
+from centwise.functions.text import normalize_sku, normalize_store
 from centwise.registry.catalog import query
 from centwise.registry.fragments import fragment
 from centwise.registry.sql_engine import walk
@@ -56,13 +57,12 @@ FROM v_receipt_items ri JOIN v_receipts r ON r.id = ri.receipt_id WHERE category
 
 
 def _lines(spark, d):
-    r = household(spark, d, "receipts").select(F.col("id").alias("receipt_id"), "store")
+    # a store's name is normalised once a receipt; to normalise it again changes nothing and costs little
+    r = household(spark, d, "receipts").select(F.col("id").alias("receipt_id"), normalize_store(F.col("store")).alias("store"))
     return household(spark, d, "receipt_items").join(r, "receipt_id")
 
 
 def _answers(spark, d):
-    from centwise.functions.text import normalize_sku, normalize_store
-
     open_lines = _lines(spark, d).filter("category_id IS NULL AND canonical_name IS NOT NULL")
     per = open_lines.groupBy("household_id", normalize_store(F.col("store")).alias("store"), normalize_sku(F.col("sku")).alias("sku_or_abbrev")).agg(
         F.min("raw_description").alias("canonical_name"), F.min("quantity").alias("lo"), F.max("quantity").alias("hi"))
@@ -94,7 +94,7 @@ def resolved_items(spark, d):
 
 @query("resolver_work_list", "SELECT DISTINCT household_id, skey AS store, sku2 AS sku_or_abbrev FROM l_resolved WHERE resolved_by IS NULL")
 def resolver_work_list(spark, d):
-    return dictionary.work_list(_resolved(spark, d))
+    return dictionary.open_keys(_lines(spark, d), household(spark, d, "sku_dictionary"), _answers(spark, d))
 
 
 @query("dictionary_upserted", f"""

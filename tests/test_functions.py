@@ -1,6 +1,8 @@
 """Column functions against tables of expected values."""
 
 import datetime as dt
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -74,6 +76,24 @@ def test_store_normaliser_is_idempotent_over_token_orders(spark, tokens):
     assert apply(spark, text.normalize_store, once) == once
 
 
+def test_keys_without_patterns_equal_those_with_them(spark):
+    """Even ASCII text skips the patterns; whatever it is, the key is that of the patterns."""
+    rnd = random.Random(5)
+    bits = ["A", "b", "WHSE", "whse", "INC", "corps", "12", "#7", "-", "*", "é", "ß", " ", "  ", TAB, NBSP, "\n", "\x0b", "\r", "\x1f", "’", "'"]
+    texts = ["", " ", "COSTCO WHSE", None] + ["".join(rnd.choice(bits) + rnd.choice(["", " "]) for _ in range(rnd.randint(1, 6))) for _ in range(400)]
+    slow = lambda c: F.upper(text.squeeze(F.regexp_replace(c, r"[\u2018\u2019\u201b\u02bc]", "'")))
+    words = lambda k: [w for w in k.split(" ") if not re.fullmatch(r"#[0-9]+", w) and w not in text.STORE_NOISE and not re.fullmatch(r"[^A-Z0-9]+", w)]
+
+    def store(k):
+        return k if k is None else re.sub(r"^(.*?[^ ])(?: [0-9]+)+$", r"\1", " ".join(words(k))) or k
+
+    keys = apply(spark, slow, texts)
+    assert apply(spark, text.normalize_store, texts) == [store(k) for k in keys]
+    assert apply(spark, text.blank_store, texts) == [None if k is None else k == "" for k in keys]
+    assert apply(spark, text.normalize_sku, texts) == apply(spark, lambda c: slow(F.regexp_replace(c, r"\*", " ")), texts)
+    assert apply(spark, text.even, ["a b", " a", "a ", "a  b", f"a{TAB}b", "é", "", None]) == [True, False, False, False, False, False, True, None]
+
+
 def test_sku(spark):
     assert apply(spark, text.normalize_sku, ["ks*evoo  2l"]) == ["KS EVOO 2L"]
     assert apply(spark, text.strip_leading_zeros, ["000123", "0", "00a", None]) == ["123", "0", "0a", None]

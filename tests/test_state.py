@@ -333,3 +333,20 @@ def test_feed_stream_across_snapshots(spark, tmp_path, monkeypatch):
     batch = feed.apply_feed(spark.createDataFrame([], feed.STATE_SCHEMA), feed.known_accounts(page_changes(read_feed(spark, str(tmp_path / "pages"))), accounts)[0])
     want = sorted(map(str, batch.rows.select(*feed.STATE).collect()))
     assert sorted(map(str, jobs.feed_state(spark, str(tmp_path / "log")).collect())) == want and want
+
+
+def test_open_keys_equals_the_work_list_of_resolved_items(spark):
+    """Keys alone, in one grouping: no join, and no names carried along to be thrown away."""
+    none = None
+    items = spark.createDataFrame([
+        ("h", "Costco Whse 118", "s1", "A"), ("h", "COSTCO", "S1", "A"), ("h", "COSTCO", none, "ks*evoo  2l"), ("h", "ACME", "S3", "A"), ("h", "", "S4", "A"), ("h", "", "S5", "A"), ("h", none, "S6", "A"),
+        ("h", "COSTCO", none, none), (none, "COSTCO", "S1", "A"), ("g", "COSTCO", "S1", "A"), ("h", "  ", "S7", "A"), ("h", "WALMART #12", "S8", "A"), ("h", "WALMART", "s8", "A"),
+    ], "household_id string, store string, sku string, raw_description string")
+    held = [("h", "costco 12", "s*1", "auto"), ("h", "COSTCO WHSE", "S*1", "human"), ("h", "", "S4", "auto"), ("h", " ", "S5", "auto"), ("h", none, "S6", "auto"), (none, "COSTCO", "S1", "auto"), ("h", "COSTCO", none, "auto")]
+    entries = spark.createDataFrame([(h, s, k, "n", "c", 0.9, 0.9, source, 1) for h, s, k, source in held], "household_id string, store string, sku_or_abbrev string, canonical_name string, category string, name_confidence double, category_confidence double, source string, updated_at bigint")
+    answers = spark.createDataFrame([("h", "ACME", "S3", "n", "zebra", 0.9, 0.9), ("h", none, "S6", "n", "other", 0.9, 0.9)], "household_id string, store string, sku_or_abbrev string, canonical_name string, category string, name_confidence double, category_confidence double")
+    want = dictionary.work_list(dictionary.resolve_items(items, dictionary.rekey(entries), answers))
+    got = dictionary.open_keys(items, entries, answers)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and ("h", "COSTCO", "S 1") not in {tuple(r) for r in got.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "SortAggregate" not in plan
