@@ -76,7 +76,8 @@ def _rarity(docs: DataFrame) -> Callable[[Column], Column]:
         for g, v in r["held"]:
             levels[g] = v
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
-    return lambda h: F.get(table, h.bitwiseAND(2**RARITY_BITS - 1).cast("int"))
+    # every group has a level; that it is never null lets the codes be sorted as plain numbers
+    return lambda h: F.coalesce(F.get(table, h.bitwiseAND(2**RARITY_BITS - 1).cast("int")), F.lit(0).cast("bigint"))
 
 
 def line_classes(docs: DataFrame, row: Column, percent: int = PERCENT) -> DataFrame:

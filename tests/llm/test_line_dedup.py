@@ -124,3 +124,10 @@ def test_blanks_within_a_line(spark):
     docs = [(1, "A\tb\x0bC\r\n \t\x0c\r\nx  y"), (2, "a b c\r\nX\x0cY\nnew\u00a0one"), (3, "\tnew\u00a0ONE\n" + " ".join(f"w{i}" for i in range(200))), (4, "\t".join(f"W{i}" for i in range(10, 200)))]
     got = {r.doc_id: list(r.kept) for r in line_report(spark.createDataFrame(docs, SCHEMA)).collect()}
     assert got == plain(docs) == {1: [0, 2], 2: [2], 3: [1], 4: []}
+
+
+def test_tokens_are_sorted_as_plain_numbers(spark):
+    """No token's code may be null, else each is compared as an object."""
+    df = spark.createDataFrame([(1, "a b c\td e f"), (2, None)], SCHEMA)
+    classes = line_classes(df, _row(df))
+    assert classes.schema["rarest"].dataType.containsNull is False
