@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import SPACE, trim
+from centwise.functions.text import SPACE, let, trim
 
 # Month names and the abbreviations accepted for them.
 MONTH_WORDS = {
@@ -22,18 +22,25 @@ def _month_number(word: Column) -> Column:
 
 def to_date_any(c: Column) -> Column:
     """ISO (with optional time), Y/M/D, US M/D/Y and M-D-Y, ``Jan 5, 2026``, ``5 Jan 2026``; else null."""
-    s = trim(c)
+    return let(trim(c), _read_date)
+
+
+def _read_date(s: Column) -> Column:
+    # a form that doesn't fit gives null, not an empty text: the parser raises an error for each text that it can't read
+    def found(p: str) -> Column:
+        return F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
+
     word_first = rf"^([A-Za-z]+)\.?{SPACE}+([0-9]{{1,2}}),?{SPACE}+([0-9]{{4}})$"
     day_first = rf"^([0-9]{{1,2}}){SPACE}+([A-Za-z]+)\.?,?{SPACE}+([0-9]{{4}})$"
 
     def spelled(p: str, word: int, day: int) -> Column:
         month = _month_number(F.regexp_extract(s, p, word))
-        return F.try_to_date(F.concat_ws("-", F.regexp_extract(s, p, 3), month.cast("string"), F.regexp_extract(s, p, day)), "yyyy-M-d")
+        return F.when(s.rlike(p), F.try_to_date(F.concat_ws("-", F.regexp_extract(s, p, 3), month.cast("string"), F.regexp_extract(s, p, day)), "yyyy-M-d"))
 
     return F.coalesce(
-        F.try_to_date(F.regexp_extract(s, r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$", 1), "yyyy-M-d"),
-        F.try_to_date(F.regexp_extract(s, r"^([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})$", 1), "yyyy/M/d"),
-        F.try_to_date(F.regexp_replace(F.regexp_extract(s, r"^([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})$", 1), "-", "/"), "M/d/yyyy"),
+        F.try_to_date(found(r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})(?:[T ].*)?$"), "yyyy-M-d"),
+        F.try_to_date(found(r"^([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})$"), "yyyy/M/d"),
+        F.try_to_date(F.replace(found(r"^([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{4})$"), F.lit("-"), F.lit("/")), "M/d/yyyy"),
         spelled(word_first, 1, 2),
         spelled(day_first, 2, 1),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import SPACE
+from centwise.functions.text import SPACE, let
 
 
 def half_up(x: Column) -> Column:
@@ -13,6 +13,8 @@ def half_up(x: Column) -> Column:
 
 _SIGNED = rf"([-+]?){SPACE}*([^()]*?){SPACE}*(-?)"
 _PRINTED = rf"(?s)^{SPACE}*(?:\({SPACE}*{_SIGNED}{SPACE}*\)|{_SIGNED}){SPACE}*$"
+#: The forms that most amounts have; their cents are their digits.
+_PLAIN = r"^(?:-?\$?[0-9]{1,12}\.[0-9]{2}|\(\$?[0-9]{1,12}\.[0-9]{2}\))\z"
 
 
 def amount_to_cents(c: Column) -> Column:
@@ -21,6 +23,14 @@ def amount_to_cents(c: Column) -> Column:
     Accepts accounting brackets, a leading or trailing sign, currency marks and
     thousands separators.  The magnitude is rounded before the sign is applied.
     """
+    return let(c, lambda text: F.when(text.rlike(_PLAIN), _plain_cents(text)).otherwise(_printed_cents(text)))
+
+
+def _plain_cents(c: Column) -> Column:
+    return F.translate(c, "-$.()", "").cast("bigint") * F.when(c.startswith("-") | c.startswith("("), -1).otherwise(1)
+
+
+def _printed_cents(c: Column) -> Column:
     def part(bracketed: int, plain: int) -> Column:
         return F.concat(F.regexp_extract(c, _PRINTED, bracketed), F.regexp_extract(c, _PRINTED, plain))
 

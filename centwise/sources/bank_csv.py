@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from centwise.functions.dates import to_date_any
 from centwise.functions.keys import row_hash
 from centwise.functions.money import amount_to_cents
 from centwise.functions.receipt_lines import canonical_header
-from centwise.functions.text import clean_bank_merchant, trim
+from centwise.functions.text import clean_bank_merchant, let, trim
 from centwise.sources.csv_cells import csv_cells
 from centwise.storage import cut
 
@@ -33,17 +35,24 @@ def header_columns(cells: Column) -> Column:
     return F.struct(*[first(words).alias(name) for name, words in HEADER_WORDS.items()])
 
 
+def _may_be_header(cells: Column) -> Column:
+    """False where a row cannot name all required columns: their words are not in its text. One look at a row instead of one at each cell."""
+    text = canonical_header(F.array_join(cells, ""))
+    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [text.contains(w) for w in HEADER_WORDS[name]]) for name in REQUIRED])
+
+
 def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). Rows: file, row_no, posted_date, amount_cents, direction, raw and normalised merchant, source_row_hash."""
     # the header of a file is found first, so its rows are read twice; the text is cut into cells once
     rows = cut(csv_cells(spark, path), "bank-cells")
     width = F.size(F.filter("cells", lambda c: c.isNotNull()))
-    marked = rows.withColumn("h", header_columns(F.col("cells")))
+    marked = rows.withColumn("h", F.when(let(F.col("cells"), _may_be_header), header_columns(F.col("cells"))))
     is_header = (F.col("h.date") >= 0) & (F.col("h.amount") >= 0) & (F.col("h.payee") >= 0)
-    files = marked.groupBy("file").agg(
+    # written, they are found once and have a size that the planner knows: the rows need not be shuffled to meet them
+    files = cut(marked.groupBy("file").agg(
         F.min("pos").alias("start"),
         F.min(F.when(is_header, F.struct("pos", "h", width.alias("width")))).alias("head"),
-    )
+    ), "bank-heads")
     body = rows.join(files, "file").filter(F.col("head").isNotNull() & (F.col("pos") > F.col("head.pos")))
     body = body.filter(F.exists("cells", lambda c: trim(c) != ""))
 

@@ -26,7 +26,8 @@ def csv_cells(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
         .option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).option("columnNameOfCorruptRecord", "record").schema("only string, record string").csv(path)
     )
     cells = F.when(F.col("record").isNull(), F.array("only")).otherwise(record_cells(F.col("record"), trim))
-    clean = F.transform(cells, lambda c: F.regexp_replace(c, "^" + chr(0xFEFF), ""))
+    mark = chr(0xFEFF)
+    clean = F.transform(cells, lambda c: F.when(c.startswith(mark), F.substr(c, F.lit(2))).otherwise(c))
     kept = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), clean.alias("cells"))
     empty_end = let(F.reverse("cells"), lambda back: F.coalesce(F.array_position(F.transform(back, lambda c: c.isNotNull()), True).cast("int"), F.lit(0)))
     return kept.withColumn("cells", let(empty_end, lambda p: F.when(p == 0, F.slice("cells", 1, 0)).otherwise(F.slice("cells", F.lit(1), F.size("cells") - p + 1))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
@@ -26,16 +28,20 @@ def read_order_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     cells = cut(csv_cells(spark, path), "order-cells")
     names = F.transform("cells", lambda c: trim(F.coalesce(c, F.lit(""))))
     places = F.struct(*[(F.array_position(names, c) - 1).cast("int").alias(c) for c in COLUMNS])
-    # every file has its own header, whatever the order of its columns
-    heads = cells.groupBy("file").agg(F.min(F.struct("pos", places.alias("at"))).alias("head"))
+    # every file has its own header, its first row, whatever the order of its columns; written, they have a size that the
+    # planner knows, and the rows need not be shuffled to meet them
+    tops = cut(cells.groupBy("file").agg(F.min("pos").alias("pos")), "order-tops")
+    heads = cut(cells.join(tops, ["file", "pos"]).select("file", F.struct("pos", places.alias("at")).alias("head")), "order-heads")
 
     def col(name: str) -> Column:
         at = F.col(f"head.at.`{name}`")
         return F.when(at >= 0, trim(F.coalesce(F.get("cells", at), F.lit("")))).otherwise("")
 
+    # a filter computes its expressions anew, so the tests are made to end at the first column that has a text
+    some = reduce(lambda a, b: a | b, [F.col(f"`{c}`") != "" for c in COLUMNS])
     rows = cells.join(heads, "file").filter(F.col("pos") > F.col("head.pos")).select(
         "file", "pos", F.col("head.pos").alias("start"), *[col(c).alias(c) for c in COLUMNS]
-    ).filter(F.concat(*[F.col(f"`{c}`") for c in COLUMNS]) != "")
+    ).filter(some)
     amount_raw = F.when(F.col("Total Amount") != "", F.col("Total Amount")).otherwise(F.col("Shipment Item Subtotal"))
     quantity = F.regexp_extract("Original Quantity", r"^[-+]?[0-9]+", 0).try_cast("int")
     ship = F.when(F.col("Ship Date") == "", "unshipped").otherwise(F.coalesce(F.date_format(to_date_any(F.col("Ship Date")), "yyyy-MM-dd"), F.col("Ship Date")))

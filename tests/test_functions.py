@@ -34,6 +34,22 @@ def test_amounts(spark):
     assert apply(spark, money.amount_to_cents, list(cases)) == list(cases.values())
 
 
+def test_plain_amounts_are_read_like_all_others(spark):
+    cases = {
+        "$12.34": 1234, "-$12.34": -1234, "-0.05": -5, "($7.00)": -700, "0012.30": 1230, "999999999999.99": 99999999999999, "-($7.00)": None, "$-7.00": None, "(-7.00)": 700, "(7.00": None, "7.00)": None,
+        "12.34\n": 1234, "7.0": 700, "$7.000": 700, "9.999": 1000, None: None,
+    }
+    assert apply(spark, money.amount_to_cents, list(cases)) == list(cases.values())
+    assert apply(spark, money._printed_cents, list(cases)) == list(cases.values())
+
+
+def test_a_date_form_that_does_not_fit_is_not_parsed(spark):
+    # the parser raises an error for each text that it can't read, which costs more than all else
+    df = spark.createDataFrame([("01/05/2026",)], "v string").select(dates.to_date_any(F.col("v")).alias("d"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.first().d == D(2026, 1, 5) and plan.count("nullif") + plan.count("= )") >= 3
+
+
 def test_dates(spark):
     cases = {
         "2026-01-05": D(2026, 1, 5), "2026-1-5T10:00:00Z": D(2026, 1, 5), "2026-01-05 09:00": D(2026, 1, 5), "2026/1/5": D(2026, 1, 5), "1/5/2026": D(2026, 1, 5),

@@ -222,3 +222,21 @@ def test_a_wide_record_widens_no_other_and_the_file_is_read_once(spark, tmp_path
     rows, rejects = read_bank_csv(spark, str(tmp_path))
     assert sorted(r.amount_cents for r in rows.collect()) == [-700, -500]
     assert sorted(r.reason for r in rejects.collect()) == ["missing payee", "unparseable date: alone"]
+
+
+def test_rows_are_not_shuffled_to_meet_their_header(spark, tmp_path):
+    (tmp_path / "o.csv").write_text(ORDERS, encoding="utf-8")
+    (tmp_path / "b.csv").write_text(BANK, encoding="utf-8")
+    _, _, order_rejects = read_order_history(spark, str(tmp_path / "o.csv"))
+    _, bank_rejects = read_bank_csv(spark, str(tmp_path / "b.csv"))
+    for rejects in (order_rejects, bank_rejects):
+        plan = rejects._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(file" not in plan and "SortAggregate" not in plan
+
+
+def test_header_words_may_be_spelled_with_signs_and_in_other_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Update of the amount,for the payee\nTrans. Date,Debit / Credit,Mer-chant\n01/05/2026,-1.00,SHOP\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("Amount,Da\n01/05/2026,-1.00\n", encoding="utf-8")
+    rows, rejects = read_bank_csv(spark, str(tmp_path))
+    assert [(r.amount_cents, r.raw_merchant) for r in rows.collect()] == [(-100, "SHOP")]
+    assert [r.row_ref for r in rejects.collect()] == ["b.csv"]
