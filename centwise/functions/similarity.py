@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import squeeze
+from centwise.functions.text import let, squeeze
 
 #: White space that ``squeeze`` would change; looked for first, since few names hold any.
 UNEVEN = r"[\t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]|  |^ | $"
@@ -21,6 +21,19 @@ def bigrams(normal: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def numbered_bigrams(normal: Column) -> Column:
+    """Bigrams as a set: a bigram's second and later occurrences carry their number, so that sets share what the multisets do."""
+    def number(grams: Column) -> Column:
+        return F.transform(grams, lambda g, i: let(i - F.array_position(grams, g) + 1, lambda n: F.when(n == 0, g).otherwise(F.concat(g, n.cast("string")))))
+
+    return let(bigrams(normal), lambda grams: F.when(F.size(F.array_distinct(grams)) == F.size(grams), grams).otherwise(let(F.sort_array(grams), number)))
+
+
+def dice_of_numbered(a: Column, b: Column, a_grams: Column, b_grams: Column) -> Column:
+    """:func:`dice_of_comparable` of strings whose :func:`numbered_bigrams` are at hand."""
+    return _dice(a, b, F.size(F.array_intersect(a_grams, b_grams)))
+
+
 def _multiset_overlap(a: Column, b: Column) -> Column:
     """Set intersection runs in generated code and is exact unless both sides repeat a bigram."""
     plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
@@ -34,7 +47,11 @@ def _multiset_overlap(a: Column, b: Column) -> Column:
 
 def dice_of_comparable(a: Column, b: Column) -> Column:
     """Dice of two strings already passed through :func:`comparable`."""
-    score = (F.lit(2.0) * _multiset_overlap(bigrams(a), bigrams(b))) / (F.length(a) + F.length(b) - 2)
+    return _dice(a, b, _multiset_overlap(bigrams(a), bigrams(b)))
+
+
+def _dice(a: Column, b: Column, shared: Column) -> Column:
+    score = (F.lit(2.0) * shared) / (F.length(a) + F.length(b) - 2)
     return (
         F.when(a == b, F.lit(1.0))
         .when((F.length(a) < 2) | (F.length(b) < 2), F.lit(0.0))

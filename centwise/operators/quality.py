@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 
 from centwise.config import RECEIPT, ReceiptConfig
 from centwise.functions.receipt_lines import identity_name
-from centwise.functions.similarity import comparable, dice_of_comparable
-from centwise.functions.text import present, strip_leading_zeros
+from centwise.functions.similarity import comparable, dice_of_numbered, numbered_bigrams
+from centwise.functions.text import let, present, strip_leading_zeros
 from centwise.storage import new_path
 
 
@@ -22,31 +22,53 @@ def pair_items(actual: DataFrame, expected: DataFrame, mode: str = "full") -> Da
     Expected items choose in order: an unclaimed item with the same number first,
     else the unclaimed item with the most similar name, the earlier on ties.
     ``actual``: household_id, receipt_id, idx, sku, name, category; ``expected``
-    alike.  One grouping by receipt and one pass over its pairs settle all of them.
+    alike.  The lines of a receipt meet in one row and are paired there; names are
+    compared only for items that are still free when no number decides.
     """
     key = ["household_id", "receipt_id"]
-    a = actual.select(*key, F.col("idx").alias("a_idx"), F.col("sku").alias("a_sku"), F.col("name").alias("a_name"), F.col("category").alias("a_category"),
-                      comparable(_graded_name(F.coalesce("name", F.lit("")), mode)).alias("a_text"), strip_leading_zeros(F.col("sku")).alias("a_no"))
-    e = expected.select(*key, F.col("idx").alias("e_idx"), F.col("sku").alias("e_sku"), F.col("name").alias("e_name"), F.col("category").alias("e_category"),
-                        comparable(_graded_name(F.col("name"), mode)).alias("e_text"), strip_leading_zeros(F.col("sku")).alias("e_no"))
-    hit = F.coalesce(present(F.col("e_sku")) & (F.col("a_no") == F.col("e_no")), F.lit(False))
+    keyed = F.col(key[0]).isNotNull() & F.col(key[1]).isNotNull()
+
+    def side(df: DataFrame, name: Column, alias: str) -> DataFrame:
+        line = F.struct("idx", "sku", "name", "category", comparable(_graded_name(name, mode)).alias("text"), strip_leading_zeros(F.col("sku")).alias("no"))
+        return df.filter(keyed).select(*key, line.alias(alias))
+
     # both sides are the lines of one printed receipt
-    edges = (
-        e.join(a, key).withColumn("hit", hit).withColumn("score", dice_of_comparable(F.col("a_text"), F.col("e_text")))
-        .select(*key, "e_idx", "a_idx", "hit", "score", "a_sku", "a_name", "a_category")
-    )
-    # one fold per receipt over its pairs in choosing order
-    choice = F.struct("e_idx", F.when(F.col("hit"), 0).otherwise(1).alias("miss"), F.when(F.col("hit"), 0.0).otherwise(-F.col("score")).alias("rank"), "a_idx", "score", "a_sku", "a_name", "a_category")
-    listed = edges.groupBy(*key).agg(F.array_sort(F.collect_list(choice)).alias("choices"))
-    none = F.array().cast(listed.schema["choices"].dataType)
-
-    def choose(won: Column, c: Column) -> Column:
-        chosen = F.get(won, F.size(won) - 1)["e_idx"]
-        free = (F.size(won) == 0) | (chosen != c["e_idx"])
-        return F.when(free & ~F.exists(won, lambda w: w["a_idx"] == c["a_idx"]), F.concat(won, F.array(c))).otherwise(won)
-
-    won = listed.select(*key, F.explode(F.aggregate("choices", none, choose)).alias("c")).select(*key, *[F.col(f"c.{n}").alias(n) for n in ["e_idx", "a_idx", "score", "a_sku", "a_name", "a_category"]])
-    return e.join(won, key + ["e_idx"], "left").select(*key, "e_idx", "e_sku", "e_name", "e_category", "a_idx", "a_sku", "a_name", "a_category", "score")
+    both = side(expected, F.col("name"), "e").unionByName(side(actual, F.coalesce("name", F.lit("")), "a"), allowMissingColumns=True).repartition(*key)
+    met = both.groupBy(*key).agg(F.collect_list("e").alias("wanted"), F.collect_list("a").alias("given")).filter(F.size("wanted") > 0)
+
+    def choice(e: Column, a: Column, miss: int, grams: Column) -> Column:
+        score = dice_of_numbered(a["text"], e["text"], numbered_bigrams(a["text"]), grams)
+        return let(score, lambda s: F.struct(
+            F.lit(miss).alias("miss"), (-s if miss else F.lit(0.0)).alias("rank"), a["idx"].alias("a_idx"), s.alias("score"), a["sku"].alias("a_sku"), a["name"].alias("a_name"), a["category"].alias("a_category")))
+
+    def by_name(e: Column, free: Column) -> Column:
+        same = F.exists(free, lambda a: a["text"] == e["text"])
+        # where a name is the same, only names of the same length can be as similar
+        near = F.when(F.coalesce(same, F.lit(False)), F.filter(free, lambda a: F.length(a["text"]) == F.length(e["text"]))).otherwise(free)
+        return let(near, lambda some: F.when(
+            F.forall(some, lambda a: a["text"] == e["text"]), F.array_min(F.transform(some, lambda a: choice(e, a, 1, F.array().cast("array<string>"))))
+        ).otherwise(let(numbered_bigrams(e["text"]), lambda grams: F.array_min(F.transform(some, lambda a: choice(e, a, 1, grams))))))
+
+    def best(e: Column, free: Column) -> Column:
+        hits = F.filter(free, lambda a: present(e["sku"]) & (a["no"] == e["no"]))
+        return let(hits, lambda some: F.when(F.size(some) > 0, F.array_min(F.transform(some, lambda a: choice(e, a, 0, numbered_bigrams(e["text"]))))).otherwise(by_name(e, free)))
+
+    def choose(won: Column, i: Column) -> Column:
+        free = F.filter("given", lambda a: ~F.exists(won, lambda w: w["c"]["a_idx"] == a["idx"]))
+        found = let(free, lambda some: F.array_min(F.transform(F.filter("wanted", lambda e: e["idx"] == i), lambda e: best(e, some))))
+        return let(found, lambda c: F.when(c.isNotNull(), F.concat(won, F.array(F.struct(i.alias("e_idx"), c.alias("c"))))).otherwise(won))
+
+    order = F.sort_array(F.array_distinct(F.transform("wanted", lambda e: e["idx"])))
+    kind = {f.name: f.dataType.simpleString() for f in expected.schema}
+    acts = {f.name: f.dataType.simpleString() for f in actual.schema}
+    won_type = f"array<struct<e_idx:{kind['idx']},c:struct<miss:int,rank:double,a_idx:{acts['idx']},score:double,a_sku:{acts['sku']},a_name:{acts['name']},a_category:{acts['category']}>>>"
+    paired = met.withColumn("won", F.aggregate(order, F.array().cast(won_type), choose))
+    each = paired.select(*key, F.explode("wanted").alias("e"), "won").withColumn("c", F.get(F.filter("won", lambda w: w["e_idx"] == F.col("e.idx")), F.lit(0))["c"])
+    found = ["a_idx", "a_sku", "a_name", "a_category", "score"]
+    out = each.select(*key, *[F.col(f"e.{c}").alias(f"e_{c}") for c in ["idx", "sku", "name", "category"]], *[F.col(f"c.{c}").alias(c) for c in found])
+    # a line without a household or a receipt meets no other
+    alone = expected.filter(~keyed).select(*key, *[F.col(c).alias(f"e_{c}") for c in ["idx", "sku", "name", "category"]])
+    return out.unionByName(alone, allowMissingColumns=True)
 
 
 def grade(pairs: DataFrame, cfg: ReceiptConfig = RECEIPT) -> DataFrame:

@@ -248,6 +248,16 @@ def test_pairing_equals_the_walk(spark):
     assert sorted((r.receipt_id, r.e_idx, -1 if r.a_idx is None else r.a_idx) for r in pairs.collect()) == sorted((r, e, -1 if a is None else a) for r, e, a in want)
 
 
+def test_pairing_groups_a_receipt_once_and_compares_names_only_where_needed(spark):
+    """Names of the same letters pairs score 1 as well, so the earlier of them wins; lines without a receipt stay alone."""
+    schema = "household_id string, receipt_id string, idx bigint, sku string, name string, category string"
+    acts = spark.createDataFrame([("h", "r", 1, None, "xbxax", None), ("h", "r", 2, None, "xaxbx", None), ("h", "r", 3, "007", "other", None), ("h", None, 4, "7", "lost", None)], schema)
+    exps = spark.createDataFrame([("h", "r", 1, None, "XAXBX", None), ("h", "r", 2, "7", "xaxbx", None), ("h", "r", 3, None, None, None), ("h", "r", 4, None, "none left", None), ("h", None, 5, "7", "lost", None)], schema)
+    pairs = quality.pair_items(acts, exps)
+    assert sorted((r.e_idx, r.a_idx, r.score) for r in pairs.collect()) == [(1, 1, 1.0), (2, 3, 0.0), (3, 2, None), (4, None, None), (5, None, None)]
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("n,limit", [(10, 3), (97, 10), (5, 9), (100, 100), (1000, 7), (10, 0), (10, None)])
 def test_even_sampling(spark, n, limit):
     rows = spark.range(n).select(F.format_string("%05d", "id").alias("id"))
