@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from centwise.functions.text import let, squeeze
+from centwise.functions.text import even, let, squeeze
 
 #: White space that ``squeeze`` would change; looked for first, since few names hold any.
 UNEVEN = r"[\t\n\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]|  |^ | $"
 
 
 def comparable(c: Column) -> Column:
-    return F.lower(F.when(c.rlike(UNEVEN), squeeze(c)).otherwise(c))
+    return F.lower(F.when(even(c) | ~c.rlike(UNEVEN), c).otherwise(squeeze(c)))
 
 
 def bigrams(normal: Column) -> Column:

@@ -46,13 +46,12 @@ def read_bank_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     # the header of a file is found first, so its rows are read twice; the text is cut into cells once
     rows = cut(csv_cells(spark, path), "bank-cells")
     width = F.size(F.filter("cells", lambda c: c.isNotNull()))
-    marked = rows.withColumn("h", F.when(let(F.col("cells"), _may_be_header), header_columns(F.col("cells"))))
+    marked = rows.select("file", "pos", F.when(let(F.col("cells"), _may_be_header), header_columns(F.col("cells"))).alias("h"))
     is_header = (F.col("h.date") >= 0) & (F.col("h.amount") >= 0) & (F.col("h.payee") >= 0)
     # written, they are found once and have a size that the planner knows: the rows need not be shuffled to meet them
-    files = cut(marked.groupBy("file").agg(
-        F.min("pos").alias("start"),
-        F.min(F.when(is_header, F.struct("pos", "h", width.alias("width")))).alias("head"),
-    ), "bank-heads")
+    tops = cut(marked.groupBy("file").agg(F.min("pos").alias("start"), F.min(F.when(is_header, F.col("pos"))).alias("pos")), "bank-tops")
+    heads = rows.join(tops.select("file", "pos"), ["file", "pos"]).select("file", F.struct("pos", header_columns(F.col("cells")).alias("h"), width.alias("width")).alias("head"))
+    files = cut(tops.drop("pos").join(heads, "file", "left"), "bank-heads")
     body = rows.join(files, "file").filter(F.col("head").isNotNull() & (F.col("pos") > F.col("head.pos")))
     body = body.filter(F.exists("cells", lambda c: trim(c) != ""))
 

@@ -119,20 +119,29 @@ def read_digital_receipts(spark: SparkSession, path: str, per_line: bool = False
     fuel = F.col("x.fuelUomCode").isNotNull() | F.col("x.fuelGradeCode").isNotNull()
     count = F.when(fuel, _number(F.col("x.fuelUnitQuantity"))).otherwise(_number(F.col("x.unit")))
     quantity = F.when(F.coalesce(count, F.lit(0.0)) == 0, 1.0).otherwise(F.abs(count))
-    lines = head.select("entry", "barcode", "refund_destination", F.posexplode("lines").alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
     kind = F.when(amount.isNull(), "bad").when(first.startswith("/"), "savings").otherwise("item")
-    lines = lines.select(
-        "entry", "barcode", "refund_destination", "pos", kind.alias("kind"), amount.alias("amount"), F.col("x.itemNumber").alias("sku"), first.alias("printed"),
-        raw_description(first, trim(F.coalesce("x.itemDescription02", F.lit("")))).alias("raw_description"),
-        line_name(_number(F.col("x.itemDepartmentNumber")), first, F.col("x.itemActualName"), fuel, F.col("x.fuelGradeDescription")).alias("canonical_name"),
-        quantity.alias("quantity"), _cents(F.col("x.itemUnitPriceAmount")).alias("unit_price_cents"),
-    )
+
+    def lines_of(heads: DataFrame) -> DataFrame:
+        each = heads.select("entry", "barcode", "refund_destination", F.posexplode("lines").alias("pos", "x")).withColumn("pos", F.col("pos").cast("bigint"))
+        return each.select(
+            "entry", "barcode", "refund_destination", "pos", kind.alias("kind"), amount.alias("amount"), F.col("x.itemNumber").alias("sku"), first.alias("printed"),
+            raw_description(first, trim(F.coalesce("x.itemDescription02", F.lit("")))).alias("raw_description"),
+            line_name(_number(F.col("x.itemDepartmentNumber")), first, F.col("x.itemActualName"), fuel, F.col("x.fuelGradeDescription")).alias("canonical_name"),
+            quantity.alias("quantity"), _cents(F.col("x.itemUnitPriceAmount")).alias("unit_price_cents"),
+        )
+
+    lines = lines_of(head)
     lines = lines.withColumn("row_hash", hash_of(F.col("barcode"), F.col("pos"), F.col("sku"), F.col("amount")))
-    items, orphans = fold_savings(lines, ["entry"])
+    items, _ = fold_savings(lines, ["entry"])
+    # savings follow an item in every receipt whose first line is no savings line and whose amounts can all be read: the others are few
+    unread = F.exists("lines", lambda x: _cents(x["amount"]).isNull())
+    opening = trim(F.coalesce(F.get("lines", F.lit(0))["itemDescription01"], F.lit(""))).startswith("/")
+    odd = lines_of(head.filter(unread | opening)).withColumn("row_hash", F.lit(None).cast("string"))
+    _, orphans = fold_savings(odd, ["entry"])
     # sums need amounts only, and texts would travel with them
     bare = fold_savings(lines.select("entry", "pos", "kind", "amount", F.lit(None).cast("string").alias("row_hash")), ["entry"])[0]
     sums = bare.groupBy("entry").agg(F.count("*").alias("n"), F.sum(F.col("line_price_cents") - F.col("discount_cents")).alias("net"))
-    broken = lines.filter("kind = 'bad'").select("entry").union(orphans.select("entry")).distinct().withColumn("broken", F.lit(True))
+    broken = odd.filter("kind = 'bad'").select("entry").union(orphans.select("entry")).distinct().withColumn("broken", F.lit(True))
     expected = F.coalesce("net", F.lit(0)) + F.coalesce("tax_cents", F.lit(0))
     adds_up = (F.coalesce("n", F.lit(0)) > 0) & (F.abs(expected - F.col("total_cents")) <= RECEIPT.arithmetic_tolerance_cents)
     sign_ok = (F.col("total_cents") == 0) | (F.col("is_refund") == (F.col("total_cents") < 0))
@@ -148,7 +157,7 @@ def read_digital_receipts(spark: SparkSession, path: str, per_line: bool = False
     ref = F.when(F.col("reason").isin("missing or invalid transactionDate", "missing total"), barcode).when(F.col("_corrupt").isNotNull(), "file").otherwise(
         F.concat(F.lit("receipt["), F.col("seq").cast("string"), F.lit("]")))
     rejects = judged.filter("reason IS NOT NULL").select(F.lit("receipts").alias("source"), ref.alias("row_ref"), "reason", "raw")
-    no_amount = lines.filter("kind = 'bad'").select(
+    no_amount = odd.filter("kind = 'bad'").select(
         F.lit("receipts").alias("source"), F.col("barcode").alias("row_ref"), F.concat(F.lit("line without a numeric amount (item "), F.coalesce("sku", F.lit("?")), F.lit(")")).alias("reason"), F.col("raw_description").alias("raw"))
     no_item = orphans.select(
         F.lit("receipts").alias("source"), F.col("barcode").alias("row_ref"), F.concat(F.lit('instant-savings line "'), "printed", F.lit('" has no preceding item')).alias("reason"), F.col("raw_description").alias("raw"))

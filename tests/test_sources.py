@@ -240,3 +240,19 @@ def test_header_words_may_be_spelled_with_signs_and_in_other_rows(spark, tmp_pat
     rows, rejects = read_bank_csv(spark, str(tmp_path))
     assert [(r.amount_cents, r.raw_merchant) for r in rows.collect()] == [(-100, "SHOP")]
     assert [r.row_ref for r in rejects.collect()] == ["b.csv"]
+
+
+def test_rejects_of_digital_receipts_shuffle_no_sound_receipt(spark, tmp_path):
+    line = {"amount": "2.00", "itemNumber": "1", "itemDescription01": "PEN"}
+    off = {"amount": "-0.50", "itemNumber": "1", "itemDescription01": " /1"}
+    sound = record(transactionBarcode="ok", total="1.50", itemArray=[line, off])
+    opening = record(transactionBarcode="b", total="2.00", itemArray=[off, line, off])
+    unread = record(transactionBarcode="c", total="2.00", itemArray=[line, {**line, "amount": "?"}, off])
+    (tmp_path / "r.json").write_text(json.dumps([sound, opening, unread]), encoding="utf-8")
+    receipts, _, rejects = read_digital_receipts(spark, str(tmp_path))
+    assert sorted((r.row_ref, r.reason) for r in rejects.collect()) == [
+        ("b", 'instant-savings line "/1" has no preceding item'), ("c", 'instant-savings line "/1" has no preceding item'), ("c", "line without a numeric amount (item 1)")]
+    assert {r.barcode: r.needs_review for r in receipts.collect()} == {"ok": False, "b": True, "c": True}
+    # a receipt is looked at before its lines are listed
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(") >= 2
