@@ -8,11 +8,13 @@ no linked order is already anchored by a bank line.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Window as W
 
 from centwise.functions.money import bank_to_spend
 from centwise.functions.rules import classified, keyword_category, search_text
 from centwise.operators.candidates import KEY
 from centwise.operators.refunds import event_record
+from centwise.storage import cut
 
 
 def _links(matches: DataFrame, anchor) -> DataFrame:
@@ -69,10 +71,20 @@ def merge_counted(matches: DataFrame, bank: DataFrame, orders: DataFrame, accrua
     return events, links.withColumnRenamed("anchor", "event_id")
 
 
-def event_items(events: DataFrame, links: DataFrame, receipts: DataFrame, receipt_items: DataFrame, order_items: DataFrame) -> DataFrame:
+def _leading(items: DataFrame, parent: str, *order: str) -> DataFrame:
+    """Items with the least ``order`` among those of their receipt or order; several where it repeats."""
+    least = F.min(F.struct(*order)).over(W.partitionBy(KEY, parent))
+    return items.withColumn("_least", least).filter(F.col("_least").eqNullSafe(F.struct(*order))).drop("_least")
+
+
+def event_items(
+    events: DataFrame, links: DataFrame, receipts: DataFrame, receipt_items: DataFrame, order_items: DataFrame, leading: bool = False
+) -> DataFrame:
     """Items of each event, classified: receipt lines first, then order lines that are not returns.
 
     ``item_rank`` orders the items of an event; the least one decides its category.
+    With ``leading`` only the first items of each receipt and order are returned, so
+    an event's first item is among them and few others.
     """
     kept = links.join(events.select(KEY, "event_id"), [KEY, "event_id"], "left_semi")
     merchant = receipts.select(KEY, F.col("id").alias("receipt_id"), F.coalesce("store", F.lit("")).alias("merchant"))
@@ -80,7 +92,7 @@ def event_items(events: DataFrame, links: DataFrame, receipts: DataFrame, receip
         kept.filter("receipt_id IS NOT NULL").select(KEY, "event_id", "receipt_id").distinct()
         .join(receipt_items.select(
             KEY, "receipt_id", F.col("id").alias("receipt_item_id"), F.coalesce("canonical_name", "raw_description").alias("description"), "line_no",
-        ), [KEY, "receipt_id"])
+        ).transform(lambda df: _leading(df, "receipt_id", "line_no") if leading else df), [KEY, "receipt_id"])
         .join(merchant, [KEY, "receipt_id"])
         .select(
             KEY, "event_id", F.struct(F.lit(0).alias("side"), F.col("receipt_id").alias("parent"), F.lit("").alias("shipment"), F.col("line_no").alias("seq")).alias("item_rank"),
@@ -91,14 +103,15 @@ def event_items(events: DataFrame, links: DataFrame, receipts: DataFrame, receip
         kept.filter("order_id IS NOT NULL").select(KEY, "event_id", "order_id").distinct()
         .join(order_items.filter(~F.col("is_return")).select(
             KEY, "order_id", F.col("id").alias("order_item_id"), "description", "shipment_id", "item_seq",
-        ), [KEY, "order_id"])
+        ).transform(lambda df: _leading(df, "order_id", "shipment_id", "item_seq") if leading else df), [KEY, "order_id"])
         .select(
             KEY, "event_id", F.struct(F.lit(1).alias("side"), F.col("order_id").alias("parent"), F.col("shipment_id").alias("shipment"), F.col("item_seq").alias("seq")).alias("item_rank"),
             F.lit(None).cast("string").alias("receipt_item_id"), "order_item_id", F.lit("Amazon").alias("merchant"), "description",
         )
     )
     items = from_receipts.unionByName(from_orders)
-    return classify_items(items)
+    # read twice, for the distinct texts and for the items; the first ones are few, so they are stored
+    return classify_items(cut(items, "leading-items") if leading else items)
 
 
 def classify_items(items: DataFrame) -> DataFrame:

@@ -65,8 +65,9 @@ def amount_anchors(amounts: DataFrame, tolerance: int) -> DataFrame:
 
 def detect_recurring(events: DataFrame, items: DataFrame, cfg: ReconcileConfig = RECONCILE) -> DataFrame:
     """One row per recurring event: household_id, event_id, merchant, category, cadence_days, rationale."""
-    all_charges = charges(events, items)
-    anchored = all_charges.join(amount_anchors(all_charges, cfg.recurring_tolerance_cents), GROUP + ["signed_spend_cents"])
+    # both are read twice
+    all_charges = cut(charges(events, items), "charges")
+    anchored = cut(all_charges.join(amount_anchors(all_charges, cfg.recurring_tolerance_cents), GROUP + ["signed_spend_cents"]), "anchored")
     group = GROUP + ["anchor"]
     daily = anchored.groupBy(*group, "occurred_on").agg(F.count("*").alias("n"), F.min("signed_spend_cents").alias("cents"))
     gap = F.date_diff("occurred_on", F.lag("occurred_on").over(W.partitionBy(*group).orderBy("occurred_on")))

@@ -41,7 +41,8 @@ def match_all(inputs: Inputs, cfg: ReconcileConfig = RECONCILE, names: DataFrame
     return cut(apply_decisions(found, inputs.confirmed), "matches")
 
 
-def reconcile(inputs: Inputs, cfg: ReconcileConfig = RECONCILE) -> Ledger:
+def reconcile(inputs: Inputs, cfg: ReconcileConfig = RECONCILE, leading: bool = False) -> Ledger:
+    """The whole ledger; with ``leading`` its items are the first of each receipt and order, for callers that read an event's first item only."""
     names = cut(name_pairs(inputs.bank, inputs.receipts, cfg), "names")
     found = match_all(inputs, cfg, names)
     accruals = cut(inputs.accruals, "accruals")
@@ -51,7 +52,7 @@ def reconcile(inputs: Inputs, cfg: ReconcileConfig = RECONCILE) -> Ledger:
     part_matches, part_events, drawdowns = partial_payments(inputs.bank, inputs.receipts, accruals, before, cfg, names)
     # partial payments carry their own events, so they are not merged again
     bought, links = merge_counted(found.filter(F.col("status") == "auto_linked"), inputs.bank, inputs.orders, accruals)
-    items = event_items(bought, links, inputs.receipts, inputs.receipt_items, inputs.order_items)
+    items = event_items(bought, links, inputs.receipts, inputs.receipt_items, inputs.order_items, leading)
     events = bought.unionByName(card_events).unionByName(credit_events).unionByName(part_events)
     return Ledger(events, items, before.unionByName(part_matches), drawdowns)
 

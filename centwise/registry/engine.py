@@ -162,13 +162,13 @@ def ledger_matches(spark, d):
 
 @query("ledger_rollup", "SELECT * FROM e_rollup")
 def ledger_rollup(spark, d):
-    ledger = engine.reconcile(inputs(spark, d))
+    ledger = engine.reconcile(inputs(spark, d), leading=True)
     return rollup.ledger_rollup(rollup.event_cells(ledger.events, ledger.items))
 
 
 @query("ledger_rollup_members", "SELECT household_id, category, month, event_id FROM e_cells")
 def ledger_rollup_members(spark, d):
-    ledger = engine.reconcile(inputs(spark, d))
+    ledger = engine.reconcile(inputs(spark, d), leading=True)
     return rollup.event_cells(ledger.events, ledger.items).select("household_id", "category", "month", "event_id")
 
 

@@ -72,9 +72,9 @@ _FLAG = """household_id, code, subject, observed_cents, comparison_cents,
     ELSE 'New recurring charge for ' || subject || ' detected' END AS message"""
 
 
-def _ledger(spark, d, *parts):
+def _ledger(spark, d, *parts, leading=False):
     """The ledger, with the parts stored that a query reads several times."""
-    return engine.written(engine.reconcile(inputs(spark, d)), *parts)
+    return engine.written(engine.reconcile(inputs(spark, d), leading=leading), *parts)
 
 
 def _rollup(ledger):
@@ -83,7 +83,7 @@ def _rollup(ledger):
 
 @query("recurring_charges", "SELECT * FROM r_recurring")
 def recurring_charges(spark, d):
-    ledger = _ledger(spark, d, "events", "items")
+    ledger = _ledger(spark, d, "events", "items", leading=True)
     return recurring.detect_recurring(ledger.events, ledger.items)
 
 
@@ -91,31 +91,31 @@ def recurring_charges(spark, d):
 def merchant_month_spend(spark, d):
     from centwise.functions.dates import month_text
 
-    ledger = engine.reconcile(inputs(spark, d))
+    ledger = engine.reconcile(inputs(spark, d), leading=True)
     return insights.merchant_month_spend(ledger.events, ledger.items).select("household_id", "merchant", month_text(F.col("month_idx")).alias("month"), "cents")
 
 
 @query("insight_merchant_above_average", f"SELECT {_FLAG} FROM r_above")
 def insight_merchant_above_average(spark, d):
-    ledger = _ledger(spark, d, "events")
+    ledger = _ledger(spark, d, "events", leading=True)
     return insights.merchant_above_average(ledger.events, ledger.items)
 
 
 @query("insight_category_over_last_month", f"SELECT {_FLAG} FROM r_over")
 def insight_category_over_last_month(spark, d):
-    ledger = _ledger(spark, d, "events", "items")
+    ledger = _ledger(spark, d, "events", "items", leading=True)
     return insights.category_over_last_month(_rollup(ledger), ledger.events)
 
 
 @query("insight_new_recurring", f"SELECT {_FLAG} FROM r_new")
 def insight_new_recurring(spark, d):
-    ledger = _ledger(spark, d, "events", "items")
+    ledger = _ledger(spark, d, "events", "items", leading=True)
     return insights.new_recurring_charge(ledger.events, recurring.detect_recurring(ledger.events, ledger.items))
 
 
 @query("insights", f"SELECT {_FLAG} FROM (SELECT * FROM r_above UNION ALL SELECT * FROM r_over UNION ALL SELECT * FROM r_new)")
 def all_insights(spark, d):
-    ledger = _ledger(spark, d, "events", "items")
+    ledger = _ledger(spark, d, "events", "items", leading=True)
     found = recurring.detect_recurring(ledger.events, ledger.items)
     return insights.derive_insights(ledger.events, ledger.items, _rollup(ledger), found)
 

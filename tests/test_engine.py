@@ -442,3 +442,20 @@ def test_an_interval_touches_fewer_than_two_cells_on_average(spark):
     assert days.agg(F.max(F.size("t")), F.avg(F.size("t")) < 1.75).first() == (2, True)
     missed = days.withColumn("y", F.explode(F.sequence(F.col("id") - 7, F.col("id") + 7))).filter(~F.array_contains("t", cells.cell(F.col("y"), 7)))
     assert missed.isEmpty()
+
+
+def test_leading_items_hold_every_first_item(spark):
+    from centwise.operators.merge import event_items
+    from centwise.operators.rollup import first_items
+
+    links = spark.createDataFrame([("h", "e1", "r2", None), ("h", "e1", "r1", None), ("h", "e2", "r3", "o1"), ("h", "e3", None, "o1"), ("h", "e4", "r4", "o2")], "household_id string, event_id string, receipt_id string, order_id string")
+    events = spark.createDataFrame([("h", f"e{i}") for i in range(1, 5)], "household_id string, event_id string")
+    receipts = spark.createDataFrame([("h", f"r{i}", "Shop") for i in range(1, 5)], "household_id string, id string, store string")
+    lines = [("r1", 2, "cotton shirt"), ("r1", 3, "usb-c cable"), ("r2", 1, "garden hose"), ("r2", 1, "cat litter"), ("r3", 1, "usb-c cable"), ("r3", 1, "cat litter"), ("r3", 2, "pen"), ("r3", None, "hose")]
+    slips = spark.createDataFrame([("h", r, f"{r}-{i}", None, d, n) for i, (r, n, d) in enumerate(lines)], "household_id string, receipt_id string, id string, canonical_name string, raw_description string, line_no bigint")
+    bought = spark.createDataFrame(
+        [("h", "o1", "a", "pen", "s2", 1, False), ("h", "o1", "b", "cat litter", "s1", 2, False), ("h", "o1", "c", "hose", "s1", 1, True), ("h", "o2", "d", "cable", "s", 1, False)],
+        "household_id string, order_id string, id string, description string, shipment_id string, item_seq bigint, is_return boolean")
+    whole, few = (event_items(events, links, receipts, slips, bought, leading) for leading in (False, True))
+    assert sorted(map(tuple, first_items(few).collect())) == sorted(map(tuple, first_items(whole).collect()))
+    assert few.count() == 7 and whole.count() == 13
