@@ -45,27 +45,29 @@ def build_receipts(extractions: DataFrame, dictionary: DataFrame, answers: DataF
     An unreadable image becomes a flagged receipt without items, stored under an
     empty store and a zero total.
     """
-    rid = F.concat(F.lit("r-"), F.sha2(F.concat_ws(":", KEY, "image_hash"), 256))
-    base = extractions.withColumn("receipt_id", rid)
-    lines = base.select(KEY, "receipt_id", F.coalesce("store", F.lit("")).alias("store"), F.posexplode("lines").alias("pos", "x")).select(
-        KEY, "receipt_id", "store", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("x.sku").alias("sku"), F.col("x.rawDescription").alias("raw_description"),
+    # an id is the hash of this text; rows are dealt by the text, since hashes cannot be compressed, and hashed at the end
+    rid = F.concat(F.lit("r-"), F.sha2(F.col("_doc"), 256))
+    base = extractions.withColumn("_doc", F.concat_ws(":", KEY, "image_hash"))
+    lines = base.select(KEY, "_doc", F.coalesce("store", F.lit("")).alias("store"), F.posexplode("lines").alias("pos", "x")).select(
+        KEY, "_doc", "store", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("x.sku").alias("sku"), F.col("x.rawDescription").alias("raw_description"),
         F.col("x.quantity").alias("quantity"), F.col("x.unitPrice").alias("unit_price_cents"), F.col("x.linePrice").alias("line_price_cents"), F.col("x.discount").alias("discount_cents"),
     )
     items = resolve_items(lines, dictionary, answers).withColumn(
         "needs_review", item_needs_review(F.col("name_confidence"), F.col("category_confidence"), cfg.review_threshold)
-    ).withColumn("id", F.concat("receipt_id", F.lit("-"), F.col("line_no").cast("string")))
-    per = items.groupBy("receipt_id").agg(
+    )
+    per = items.groupBy("_doc").agg(
         F.sum("line_price_cents").alias("price"), F.sum("discount_cents").alias("off"), F.max("needs_review").alias("any_review")
     )
     fee = F.aggregate("fees", F.lit(0).cast("bigint"), lambda a, f: a + f["amount"])
     computed = F.coalesce("price", F.lit(0)) - F.coalesce("off", F.lit(0)) + F.coalesce("tax_cents", F.lit(0)) + fee
     ok = F.col("total_cents").isNotNull() & (F.abs(computed - F.col("total_cents")) <= cfg.arithmetic_tolerance_cents)
-    receipts = base.join(per, "receipt_id", "left").select(
-        F.col("receipt_id").alias("id"), KEY, F.lit("photo").alias("source"), "image_hash", F.coalesce("store", F.lit("")).alias("store"), "purchased_raw",
+    receipts = base.join(per, "_doc", "left").select(
+        rid.alias("id"), KEY, F.lit("photo").alias("source"), "image_hash", F.coalesce("store", F.lit("")).alias("store"), "purchased_raw",
         F.when(F.col("readable"), F.coalesce(F.col("price") - F.col("off"), F.lit(0))).alias("subtotal_cents"), "tax_cents", F.coalesce("total_cents", F.lit(0)).alias("total_cents"), "payment_last4",
         (~F.col("readable") | ~F.coalesce(ok, F.lit(False)) | F.coalesce("any_review", F.lit(False))).alias("needs_review"), "readable",
     )
-    return receipts, items
+    named = items.select(KEY, rid.alias("receipt_id"), *[c for c in items.columns if c not in (KEY, "_doc")])
+    return receipts, named.withColumn("id", F.concat("receipt_id", F.lit("-"), F.col("line_no").cast("string")))
 
 
 def reread(receipts: DataFrame, items: DataFrame, built: DataFrame, built_items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -213,7 +213,7 @@ def _reading_files(spark, d):
             F.when(F.col("source") == "photo", F.col("tax_cents") - 5).otherwise(F.col("tax_cents")).alias("tax"),
             F.when(F.col("source") == "photo", F.array(F.struct(F.lit("bag").alias("kind"), F.lit("BAG").alias("label"), F.lit(5).alias("amount")))).alias("fees"),
             F.struct(F.lit("card").alias("method"), F.lit("9876").alias("last4")).alias("paymentHint"), "lineItems",
-        ).write.json(path)
+        ).write.option("compression", "gzip").json(path)
 
     return _once(spark, d, "readings", write)
 

@@ -256,3 +256,19 @@ def test_rejects_of_digital_receipts_shuffle_no_sound_receipt(spark, tmp_path):
     # a receipt is looked at before its lines are listed
     plan = rejects._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("exists(") >= 2
+
+
+def test_readings_are_written_compressed_and_dealt_without_hashes(spark):
+    import os
+
+    from centwise.operators import dictionary, receipts
+    from centwise.registry import imports
+    from centwise.registry.stored import household
+
+    d = "/root/testdata/sf0.001"
+    path = imports._reading_files(spark, d).removeprefix("file://")
+    assert {n.rsplit(".", 1)[-1] for n in os.listdir(path) if n.startswith("part-")} == {"gz"}
+    heads, items = receipts.build_receipts(read_extractions(spark, path), dictionary.rekey(household(spark, d, "sku_dictionary")))
+    # a receipt is hashed once, when it is put out, not once a line before lines are dealt
+    assert heads._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    assert items.join(heads, items.receipt_id == heads.id, "left_anti").count() == 0
